@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tickloom.llm import quality_rules
+from tickloom.llm import chat_format, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
+        "op3_url_filters": url_filters.query,
+        "op6_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filters": url_filters.SQL,
+        "op6_chat_format": chat_format.SQL,
+    }
