@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_format, quality_rules, url_filters
+from tickloom.llm import chat_format, fingerprints, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filters.query,
         "op6_chat_format": chat_format.query,
+        "op8_fingerprints": fingerprints.query,
         "op9_quality_rules": quality_rules.query,
     }
 
