@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_format, fingerprints, quality_rules, url_filters
+from tickloom.llm import chat_format, fingerprints, quality_rules, sentencepiece_bpe, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_sentencepiece": sentencepiece_bpe.query,
         "op3_url_filters": url_filters.query,
         "op6_chat_format": chat_format.query,
         "op8_fingerprints": fingerprints.query,
