@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_format, fingerprints, quality_rules, sentencepiece_bpe, url_filters
+from tickloom.llm import chat_format, fingerprints, quality_rules, sentencepiece_bpe, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_sentencepiece": sentencepiece_bpe.query,
         "op3_url_filters": url_filters.query,
         "op6_chat_format": chat_format.query,
+        "op7_toxicity": toxicity.query,
         "op8_fingerprints": fingerprints.query,
         "op9_quality_rules": quality_rules.query,
     }
