@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_format, fingerprints, quality_rules, sentencepiece_bpe, toxicity, url_filters
+from tickloom.llm import chat_format, fingerprints, packing, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op2_sentencepiece": sentencepiece_bpe.query,
         "op3_url_filters": url_filters.query,
+        "op4_token_counts": token_counts.query,
+        "op5_packing": packing.query,
         "op6_chat_format": chat_format.query,
         "op7_toxicity": toxicity.query,
         "op8_fingerprints": fingerprints.query,
@@ -19,5 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.SQL,
+        "op4_token_counts": token_counts.query,
+        "op5_packing": packing.query,
         "op6_chat_format": chat_format.SQL,
     }
