@@ -11,14 +11,13 @@ branches in which two fingerprints differ locate an edit. The likeness of two fi
 distinct leaves, 1 for equal roots.
 
 Edge cases: a NULL text counts as empty; an empty text has a root, one empty section and no leaves, and is like nothing but
-itself; paragraphs of white space only have no leaves. In ``edit_pairs`` a document with a NULL doc_id has no next document
-and stands last in no order; where a doc_id repeats, a row is given for each pair of a document and its next one. Extra
-columns are ignored.
+itself; paragraphs of white space only have no leaves. In ``with_next`` a document with a NULL doc_id has no next one, a sole
+document follows itself, and rows that share a doc_id follow each other in order of their texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import let, materialize, table
@@ -102,17 +101,19 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.array_except(each(a), each(b))
 
 
-#: Bits of doc_id that each level of next_ids leaves to one group: at most 2^12, 2^16, 2^16 and 2^20 rows.
-SHIFTS = (12, 28, 44, 64)
+#: Documents are put in order by runs of 2^RUN_BITS doc_ids; so many at most share a task's window.
+RUN_BITS = 12
+#: Bits of a key that each level of ``lower_keys`` leaves to one group.
+SHIFTS = (16, 32, 64)
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next smaller doc_id of each distinct one, and the largest after the smallest.
+def lower_keys(keys: DataFrame) -> DataFrame:
+    """(key, lower): the next smaller key of each distinct one, and the largest after the smallest.
 
-    A tree of fixed fan-out over the bits of doc_id stands in for a global sort: a window never holds more than the ids
-    that a group's range can have, whatever their distribution.
+    A tree of fixed fan-out over the bits of the key stands in for a global sort: a window never holds more keys than a
+    group's range has, whatever their distribution.
     """
-    level = ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().select(F.col("doc_id").alias("key"), F.col("doc_id").alias("top"))
+    level = keys.select("key", F.col("key").alias("top"))
     levels = []
     for k, shift in enumerate(SHIFTS):
         group = F.lit(0).cast("long") if shift == 64 else F.shiftright("key", shift - (SHIFTS[k - 1] if k else 0))
@@ -126,37 +127,45 @@ def next_ids(ids: DataFrame) -> DataFrame:
         if above is not None:
             rows = rows.join(above.select(F.col("key").alias("group"), F.col("prev").alias("up")), "group", "left").withColumn("prev", F.coalesce("prev", "up"))
         above = rows.select("key", "prev")
-    return above.crossJoin(F.broadcast(first)).select(F.col("key").alias("doc_id"), F.coalesce("prev", "first").alias("next_id"))
+    return above.crossJoin(F.broadcast(first)).select("key", F.coalesce("prev", "first").alias("lower"))
 
 
-def edit_pairs(docs: DataFrame) -> DataFrame:
-    """Each document with its edited text and the next document's fingerprint root and leaves.
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text): each document with the text of the next in descending order of (doc_id, text).
 
-    The edited text is the document with its last floor(n_chars / 2) code points replaced by the next document's first as
-    many. Only those code points of the next document travel, not its whole text.
+    Texts are shuffled once, by runs of doc_ids; the first document of each run is also sent, as a guest, to the run that it
+    follows, and that of the last run to the first.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = materialize(next_ids(docs), "next_ids")
-    halves = texts.select("doc_id", F.expr("length(text) div 2").alias("half")).join(order, "doc_id")
-    wanted = halves.groupBy("next_id").agg(F.max("half").alias("half"))
-    right = texts.withColumn("fp", printed(F.col("text"))).join(wanted, F.col("doc_id") == F.col("next_id"))
-    right = right.select("next_id", F.expr("substring(text, 1, half)").alias("head"), F.substring("fp.print", 1, 64).alias("next_root"), F.col("fp.leaves").alias("next_leaves"))
-    half = F.expr("length(text) div 2")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
-    left = texts.join(order, "doc_id", "left")
-    return left.join(right, "next_id", "left").select("doc_id", "text", edited.alias("edited"), "next_root", "next_leaves")
+    known, run = texts.where(F.col("doc_id").isNotNull()), F.shiftright("doc_id", RUN_BITS)
+    tops = materialize(known.groupBy(run.alias("key")).agg(F.max("doc_id").alias("top")), "run_tops")
+    order = lower_keys(tops).join(tops.select(F.col("key").alias("lower"), "top"), "lower")
+    guests = order.select(F.col("top").alias("doc_id"), F.col("key").alias("run"), (F.col("lower") >= F.col("key")).alias("wraps"))
+    own = known.select("doc_id", "text", run.alias("run"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
+    sent = known.join(guests, "doc_id").select("doc_id", "text", "run", "wraps", F.lit(True).alias("guest"))
+    line = Window.partitionBy("run").orderBy("wraps", F.desc("doc_id"), "text")
+    rows = own.unionByName(sent).withColumn("next_text", F.lead("text").over(line)).where(~F.col("guest"))
+    return rows.select("doc_id", "text", "next_text").unionByName(texts.where(F.col("doc_id").isNull()).withColumn("next_text", F.lit(None).cast("string")))
+
+
+def edited(text: Column, next_text: Column) -> Column:
+    """The text with its last floor(n / 2) code points replaced by the first as many (or all) of the next."""
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(F.coalesce(next_text, F.lit("")), F.lit(1), half))
 
 
 def query(spark, sf_dir):
-    rows = edit_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = rows.withColumns({"own": printed(F.col("text")), "new": printed(F.col("edited"))})
-    a, b, none = F.col("own.print"), F.col("new.print"), F.array().cast("array<int>")
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumns({"own": printed(F.col("text")), "new": printed(F.col("edited")), "next": printed(F.col("next_text"))})
+    a, b, c = (F.col(x)["print"] for x in ("own", "new", "next"))
+    la, lb, lc = (F.col(x)["leaves"] for x in ("own", "new", "next"))
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         a.alias("fingerprint"),
         b.alias("edited_fingerprint"),
-        likeness(a, b, F.col("own.leaves"), F.col("new.leaves")).alias("near_edited"),
-        likeness(a, F.coalesce("next_root", F.lit("")), F.col("own.leaves"), F.coalesce("next_leaves", none)).alias("near_next"),
+        likeness(a, b, la, lb).alias("near_edited"),
+        F.when(F.col("next_text").isNull(), 0.0).otherwise(likeness(a, c, la, lc)).alias("near_next"),
     )
