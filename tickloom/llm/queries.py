@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat_format, fingerprints, minhash_dedup, packing, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters
+from tickloom.llm import chat_format, fingerprints, minhash_dedup, packing, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash_dedup.query,
+        "op10_suffix_dedup": suffix_dedup.query,
         "op2_sentencepiece": sentencepiece_bpe.query,
         "op3_url_filters": url_filters.query,
         "op4_token_counts": token_counts.query,
