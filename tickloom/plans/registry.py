@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import prices
+from tickloom.plans import feeds, prices, serving
 
-MODULES = (prices,)
+MODULES = (prices, feeds, serving)
 
 
 def queries() -> dict:
