@@ -64,7 +64,7 @@ def top_per_source(news: DataFrame, n: int = 5) -> DataFrame:
 def context_lines(news: DataFrame, n: int = 15, empty: str = "no recent news") -> DataFrame:
     """One row: lines "[source] title" of the newest items, or the text for none."""
     rows = newest(news, "published_at", n)
-    item = F.struct((-F.unix_micros("published_at")).alias("at"), "id", F.concat(F.lit("["), "source", F.lit("] "), "title").alias("line"))
+    item = F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), "id", F.concat(F.lit("["), "source", F.lit("] "), "title").alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"])
     return rows.agg(lines.alias("lines")).select(F.when(F.size("lines") > 0, F.array_join("lines", "\n")).otherwise(F.lit(empty)).alias("context"))
 

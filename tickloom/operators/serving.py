@@ -38,7 +38,7 @@ def trailing_counts(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
 
     All requests count, also those that a limiter would refuse; ``limit_requests`` has the exact rule.
     """
-    line = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    line = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return requests.withColumn("n_window", F.count("*").over(line)).withColumn("over_cap", F.col("n_window") > cap)
 
 
@@ -48,7 +48,7 @@ def limit_requests(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
     Acceptance feeds back, so each key is walked in order, as a fold over its sorted array of times inside Spark.
     """
     micros = seconds * 1_000_000
-    keys = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("times"))
+    keys = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
     start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<struct<at:bigint,allowed:boolean>>").alias("done"))
 
     def step(acc, t):

@@ -90,7 +90,7 @@ QUERIES = {
     "bar_upsert": _gold(bar_upsert),
     "bar_insert_if_absent": _gold(bar_insert),
     "dollar_synth_upsert": lambda spark, sf_dir: dollar_upsert(dollar_bars(spark, sf_dir)),
-    "sma_bollinger": _gold(lambda b: _round(ind.bollinger(b), 2, "sma", "upper", "lower")),
+    "sma_bollinger": _gold(lambda b: _round(ind.bollinger(b), 0, "sma", "upper", "lower")),
     "rsi": _gold(lambda b: _round(ind.rsi(b), 4, "rsi")),
     "macd": _gold(lambda b: _round(ind.macd(b), 4, "macd")),
     "support_resistance": _gold(ind.support_resistance),
@@ -183,7 +183,7 @@ SELECT coalesce(b.date, t.date) AS date, coalesce(t.prev, b.open_price) AS open_
   least(b.low_price, t.price, t.prev) AS low_price, coalesce(t.price, b.close_price) AS close_price, 0 AS volume,
   CASE WHEN t.date IS NULL THEN 0.0 ELSE (t.price - t.prev) / t.prev * 100 END AS change_percent FROM base b FULL JOIN tick t ON b.date = t.date""",
     "sma_bollinger": f"""{_G}, w AS (SELECT *, count(close_price) {_LINE.format(n=19)} AS c, avg(close_price) {_LINE.format(n=19)} AS m, stddev_pop(close_price) {_LINE.format(n=19)} AS s FROM gold)
-SELECT date, open_price, high_price, low_price, close_price, volume, CASE WHEN c = 20 THEN round(m, 2) END AS sma, CASE WHEN c = 20 THEN round(m + 2 * s, 2) END AS upper, CASE WHEN c = 20 THEN round(m - 2 * s, 2) END AS lower FROM w""",
+SELECT date, open_price, high_price, low_price, close_price, volume, CASE WHEN c = 20 THEN round(m, 0) END AS sma, CASE WHEN c = 20 THEN round(m + 2 * s, 0) END AS upper, CASE WHEN c = 20 THEN round(m - 2 * s, 0) END AS lower FROM w""",
     "rsi": f"""{_G}, v AS (SELECT *, close_price - lag(close_price) OVER (ORDER BY date) AS move FROM gold),
 w AS (SELECT *, count(move) {_LINE.format(n=13)} AS c, sum(CASE WHEN move > 0 THEN move ELSE 0.0 END) {_LINE.format(n=13)} AS g, sum(CASE WHEN move < 0 THEN -move ELSE 0.0 END) {_LINE.format(n=13)} AS l FROM v)
 SELECT date, open_price, high_price, low_price, close_price, volume, CASE WHEN c = 14 THEN round(CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END, 4) END AS rsi FROM w""",
