@@ -9,11 +9,13 @@ key in common, without exception. At a Jaccard similarity of 0.8 the distance ha
 Links, not pairs:
 
 1. Documents with equal shingle sets become one class by a digest of the set; its smallest doc_id stands for it.
-2. In every bucket of a key the members point to its smallest member. Each batch first resolves its own repeated keys, so a
-   key sends one row per batch to the shuffle however common it is.
-3. Each class is checked against its nearest few pointers, on full shingle sets; the links found give first components.
-4. What is left are pairs of one bucket in different components. All of those within the signature distance, each once at its
-   first common key, are checked on full sets too. Final components come from all links.
+2. Every bucket of a key is put in a random order of its own, and neighbours meet: a bucket of n members gives n - 1 pairs.
+   Each batch first chains its own repeats of a key, so a key sends one row per batch to the shuffle however common it is.
+3. Each class is checked against the nearest few that it met, on full shingle sets; the links found give first components.
+   A large group falls into one piece here, since its members met many random partners.
+4. What is left are pairs of one bucket in different components. All of those within the signature distance and that of a
+   long one-bit sketch, each once at its first common key, are checked on full sets too. Final components come from all
+   links.
 
 Edge cases: words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is one
 shingle, a NULL, empty or blank text has none and is linked with nothing. Rows with a repeated doc_id share its component. A
@@ -34,8 +36,10 @@ from tickloom.llm.kernels import FOLD, U64, Rolling, mix, ranges, slices, text_b
 SYMBOLS, CHUNK, DISTANCE = 65, 5, 25
 CHUNKS = SYMBOLS // CHUNK
 assert DISTANCE < 2 * CHUNKS, "a pair within the distance must have a chunk with one error at most"
-#: Pointers of a class that are checked before components are formed.
-POINTERS = 3
+#: The nearest classes that a class is checked against before components are formed.
+NEAREST = 8
+#: One-bit MinHashes of the sketch that narrows down what is left after that.
+SKETCH = 2048
 BYTES_AT_ONCE = 2_000_000
 FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 OFFSETS = mix(np.arange(101, SYMBOLS + 101, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -117,25 +121,36 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), CHUNKS * CHUNK).view(np.int64)
 
 
-def bucket_pointers(classes: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket and the smallest member, a > b, repeats left out."""
+def bucket_neighbours(classes: DataFrame) -> DataFrame:
+    """(a, b): neighbours in the buckets of all keys, each bucket in a random order of its own; a > b, repeats left out.
+
+    A bucket of n members gives n - 1 pairs, and a member of many buckets meets many random partners.
+    """
 
     def run(batches):
         for batch in batches:
             ids = np.array(batch.column("id"))
             key, row = chunk_keys(_read(batch.column("sig"))).ravel(), np.repeat(ids, CHUNKS * CHUNK)
-            order = np.lexsort((row, key))
+            order = np.lexsort((mix(row.view(U64) + mix(key.view(U64))), key))
             key, row = key[order], row[order]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
-            low = row[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+            before = np.concatenate([row[:1], row[:-1]])
             # a repeat within the batch is settled here and goes on under a key of its own
             key = np.where(head, key, mix(row.view(U64) ^ key.view(U64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(low, mask=head)], ["key", "a", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(before, mask=head)], ["key", "a", "settled"])
 
     rows = classes.select("id", "sig").mapInArrow(run, "key bigint, a bigint, settled bigint")
-    low = F.coalesce("settled", F.min(F.when(F.col("settled").isNull(), F.col("a"))).over(Window.partitionBy("key")))
-    return rows.withColumn("b", low).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    line = Window.partitionBy("key", F.col("settled").isNull()).orderBy(F.xxhash64("key", "a"))
+    rows = rows.withColumn("b", F.coalesce("settled", F.lag("a").over(line))).where(F.col("a") != F.col("b"))
+    return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def nearest_pairs(near: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b, distance) that are among the nearest few of either end."""
+    ends = near.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("end"))
+    line = Window.partitionBy("end").orderBy("distance", "a", "b")
+    return ends.withColumn("k", F.row_number().over(line)).where(F.col("k") <= most).select("a", "b").distinct()
 
 
 def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -152,26 +167,62 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, distance bigint")
 
 
-def cross_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of classes(id, component, sig) in one bucket, of different components and within DISTANCE, once each."""
+def sketch(sets: DataFrame) -> DataFrame:
+    """(id, n, bits): the size of a set and SKETCH one-bit MinHashes of it, as array<bigint>."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            counts = np.array(lists.value_lengths(), np.int64)
+            hashes = np.array(lists.flatten(), np.int64).view(U64)
+            start, some = np.cumsum(counts) - counts, counts > 0
+            words = np.zeros((len(counts), SKETCH // 64), U64)
+            for k in range(SKETCH):
+                factor = U64(pow(0x9E3779B97F4A7C15, k + 7, 1 << 64) | 1)
+                bit = mix(_sums(hashes * factor + factor, start, some, np.minimum)) & U64(1)
+                words[:, k // 64] |= bit << U64(k % 64)
+            offsets = pa.array((np.arange(len(words) + 1) * words.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64).ravel()))], ["id", "n", "bits"])
+
+    return sets.mapInArrow(run, "id bigint, n bigint, bits array<bigint>")
+
+
+def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes(id, component, sig) in one bucket, of different components and within DISTANCE, once each.
+
+    A long one-bit sketch leaves out those that are too far apart: its Hamming distance has mean SKETCH * (1 - J) / 2, and
+    the limit is 4.5 deviations above that at the least similarity, so a link is lost with a probability of 3 in a million.
+    """
 
     def run(batches):
         for batch in batches:
             sig = _read(batch.column("sig"))
-            again = np.repeat(np.arange(batch.num_rows), CHUNKS * CHUNK)
+            again = pa.array(np.repeat(np.arange(batch.num_rows), CHUNKS * CHUNK))
             spot = pa.array(np.tile(np.arange(CHUNKS * CHUNK, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel()), spot, *(batch.column(n).take(again) for n in ("id", "component"))], ["key", "spot", "id", "component"])
+
+    def split(batches):
+        for batch in batches:
+            sig = _read(batch.column("sig"))
             cells = pa.ListArray.from_arrays(pa.array((np.arange(len(sig) + 1) * SYMBOLS).astype(np.int32)), pa.array(sig.view(np.int16).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel()), spot, *(x.take(pa.array(again)) for x in (batch.column("id"), batch.column("component"), cells))], ["key", "spot", "id", "component", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), cells], ["id", "cells"])
 
-    rows = classes.select("id", "component", "sig").mapInArrow(run, "key bigint, spot int, id bigint, component bigint, cells array<smallint>")
+    rows = classes.select("id", "component", "sig").mapInArrow(run, "key bigint, spot int, id bigint, component bigint")
     # buckets of one component have nothing to offer
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rows = materialize(rows.join(mixed, "key", "left_semi"), "mixed_buckets")
+    ids = rows.select("id").distinct()
+    more = sketch(sets.join(ids, "id", "left_semi")).join(classes.select("id", "sig").mapInArrow(split, "id bigint, cells array<smallint>"), "id")
+    rows = materialize(rows.join(materialize(more, "sketches"), "id"), "sketched_buckets")
     x, y = rows.alias("x"), rows.alias("y")
+    odds = (1 - percent / 100) / 2
+    limit = int(SKETCH * odds + 4.5 * (SKETCH * odds * (1 - odds)) ** 0.5)
     errors = f"transform(sequence(0, {CHUNKS - 1}), c -> size(filter(slice(wrong, c * {CHUNK} + 1, {CHUNK}), e -> e)))"
     first_key = f"""x.spot div {CHUNK} = array_position(transform(errs, e -> e <= 1), true) - 1
       and if(errs[x.spot div {CHUNK}] = 0, x.spot % {CHUNK} = 0, wrong[x.spot])"""
-    near = F.expr(f"""transform(array(zip_with(x.cells, y.cells, (p, q) -> p != q)), wrong -> size(filter(wrong, e -> e)) <= {DISTANCE}
+    apart = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, e) -> s + e)"
+    near = F.expr(f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= {limit}
+      and transform(array(zip_with(x.cells, y.cells, (p, q) -> p != q)), wrong -> size(filter(wrong, e -> e)) <= {DISTANCE}
       and transform(array({errors}), errs -> {first_key})[0])[0]""")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
@@ -204,15 +255,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = materialize(sign(docs, words), "signatures")
     usable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("d1", "d2", "n_shingles", "sig").agg(F.min("doc_id").alias("id")), "classes")
-    pointers = materialize(bucket_pointers(classes), "pointers")
-    met = materialize(pointers.select(F.col("a").alias("id")).union(pointers.select("b")).distinct(), "met")
+    pairs = materialize(bucket_neighbours(classes), "neighbours")
+    met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "met")
     sets = materialize(full_sets(docs, met, words), "full_sets")
-    nearest = Window.partitionBy("a").orderBy("distance", "b")
-    first = within_distance(pointers, classes).withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= POINTERS)
-    links = materialize(confirm(first, sets, percent), "first_links")
+    links = materialize(confirm(nearest_pairs(within_distance(pairs, classes), NEAREST), sets, percent), "first_links")
     partial = components(links)
     left = classes.select("id", "sig").join(met, "id", "left_semi").join(partial, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = confirm(cross_pairs(left), sets, percent)
+    more = confirm(cross_pairs(left, sets, percent), sets, percent)
     found = components(links.union(more))
     names = classes.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     own = signed.select("doc_id", "n_shingles", "d1", "d2")
