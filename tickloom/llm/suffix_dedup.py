@@ -35,7 +35,8 @@ from tickloom.llm.common import materialize, table
 from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
-BYTES_AT_ONCE = 3_000_000
+#: Bytes of text that are packed together, and that the arrays of the anchor search cover at a time.
+BYTES_AT_ONCE, PIECE = 3_000_000, 500_000
 #: Documents that are sampled for splitters, bytes of text for a bucket, and the smallest number of buckets.
 SAMPLED, BUCKET_BYTES, LEAST_BUCKETS = 2000, 32_000_000, 256
 HOT_RUNS = 20_000
@@ -48,8 +49,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """
     window, low7 = length - gram + 1, U64(127)
     out = []
-    for at in range(0, max(len(data) - length + 1, 0), BYTES_AT_ONCE):
-        piece = data[at : at + BYTES_AT_ONCE + length - 1]
+    for at in range(0, max(len(data) - length + 1, 0), PIECE):
+        piece = data[at : at + PIECE + length - 1]
         rolling = Rolling(piece)
         place = np.arange(len(piece) - gram + 1)
         hashes = mix(rolling.raw(place, place + gram))
@@ -338,14 +339,14 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
 
 def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with a distinct ``_key`` in order of (doc_id, text), and whether that is another than the doc_id.
+    """docs with a distinct ``_suffix_key`` in order of (doc_id, text), and whether that is another than the doc_id.
 
     The key is NULL where the doc_id is.
     """
     if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1):
-        return docs.withColumn("_key", F.col("doc_id")), False
-    ordered = docs.orderBy("doc_id", "text").withColumn("_key", F.monotonically_increasing_id())
-    return materialize(ordered.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.col("_key"))), "keyed"), True
+        return docs.withColumn("_suffix_key", F.col("doc_id")), False
+    ordered = docs.orderBy("doc_id", "text").withColumn("_suffix_key", F.monotonically_increasing_id())
+    return materialize(ordered.withColumn("_suffix_key", F.when(F.col("doc_id").isNotNull(), F.col("_suffix_key"))), "keyed"), True
 
 
 def _spans_by_key(usable: DataFrame, length: int, gram: int, hot_runs: int) -> DataFrame:
@@ -369,11 +370,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: i
     """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256."""
     keyed, renamed = _with_key(docs.select("doc_id", "text"))
     # the same two columns here and in removed_starts, so that both joins read one shuffle of the texts
-    usable = keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    usable = keyed.where(F.col("_suffix_key").isNotNull()).select(F.col("_suffix_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = usable.join(_spans_by_key(usable, length, gram, hot_runs), "doc_id", "left")
     if renamed:
-        rows = rows.withColumnRenamed("doc_id", "_key").join(keyed.select("_key", "doc_id"), "_key")
-    loose = keyed.where(F.col("_key").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        rows = rows.withColumnRenamed("doc_id", "_suffix_key").join(keyed.select("_suffix_key", "doc_id"), "_suffix_key")
+    loose = keyed.where(F.col("_suffix_key").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", "_spans").unionByName(loose, allowMissingColumns=True)
 
     def run(batches):
@@ -398,8 +399,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: i
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """docs with the repeated passages cut out of ``text``; every row stays, and so does a NULL text."""
     keyed, _ = _with_key(docs)
-    usable = keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = keyed.join(_spans_by_key(usable, length, gram, hot_runs).withColumnRenamed("doc_id", "_key"), "_key", "left")
+    usable = keyed.where(F.col("_suffix_key").isNotNull()).select(F.col("_suffix_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = keyed.join(_spans_by_key(usable, length, gram, hot_runs).withColumnRenamed("doc_id", "_suffix_key"), "_suffix_key", "left")
     names = [f.name for f in docs.schema]
 
     def run(batches):
