@@ -23,7 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.SQL,
-        "op4_token_counts": token_counts.query,
-        "op5_packing": packing.query,
         "op6_chat_format": chat_format.SQL,
     }
