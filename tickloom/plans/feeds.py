@@ -37,16 +37,16 @@ def news_dedup(spark, sf_dir):
 
 
 def factor_upsert(all_factors):
-    """The factors of even ids as the table, merged with every third by (type, title)."""
+    """The factors of even ids as the table, merged with the others and every third by (type, title)."""
     cols = ["type", "title", "subtitle", "description", "impact"]
     base = all_factors.where("id % 2 = 0").groupBy("type", "title").agg(*(F.max_by(c, "id").alias(c) for c in cols[2:])).select(cols)
-    new = all_factors.where("id % 3 = 0").select(*cols, F.col("id").alias("seq")).withColumn("impact", F.when(F.col("seq") % 5 != 0, F.col("impact")))
+    new = all_factors.where("id % 2 = 1 OR id % 3 = 0").select(*cols, F.col("id").alias("seq")).withColumn("impact", F.when(F.col("seq") % 5 != 0, F.col("impact")))
     return up.upsert_by_key(base, new, ["type", "title"], {"impact": "medium", "subtitle": "", "description": ""})
 
 
 def institution_upsert(all_rows):
     base = all_rows.where("id % 2 = 0").select("institution_name", "logo", "rating", "target_price")
-    new = all_rows.where("id % 3 = 0").select("institution_name", F.lit("NEW").alias("logo"), F.lit("neutral").alias("rating"), (F.col("target_price") + 1).alias("target_price"), F.col("id").alias("seq"))
+    new = all_rows.where("id % 2 = 1 OR id % 3 = 0").select("institution_name", F.lit("NEW").alias("logo"), F.lit("neutral").alias("rating"), (F.col("target_price") + 1).alias("target_price"), F.col("id").alias("seq"))
     return up.upsert_by_key(base, new, ["institution_name"], {}, insert_only=("logo",))
 
 
@@ -92,11 +92,11 @@ QUERIES = {
     "news_context_lines": _news(op.context_lines),
     "news_feed_union": feed_union,
     "news_dedup_ingest": news_dedup,
-    "news_tfidf": _news(lambda n: ind.keyword_weights(n.where("id < 500"), 2).select("id", "word", F.round("weight", 6).alias("weight"), "rank")),
+    "news_tfidf": _news(lambda n: ind.keyword_weights(n, 2).select("id", "word", F.round("weight", 6).alias("weight"), "rank")),
     "factor_topn": _factors(lambda f: op.newest(op.filtered(f, type="bullish"), "id", 10).select("id", F.col("type").alias("factor_type"), "title", F.array_join("details", "|").alias("details"), "impact", "confidence")),
     "factor_keyword_id": _factors(lambda f: f.select("id", first_keyword(F.col("title"), KEYWORDS, "other").alias("factor_id"))),
     "high_impact_count": _factors(op.high_impact),
-    "factor_numbered": _factors(lambda f: f.where("id <= 50").select("id", op.numbered(F.slice("details", 1, 20)).alias("lines"))),
+    "factor_numbered": _factors(lambda f: f.select("id", op.numbered(F.slice("details", 1, 20)).alias("lines"))),
     "factor_upsert": _factors(factor_upsert),
     "institution_counts": _inst(op.rating_counts),
     "institution_names": _inst(op.names_by_rating),
@@ -132,22 +132,22 @@ SELECT *, positive::DOUBLE / total AS positive_share, neutral::DOUBLE / total AS
     "news_dedup_ingest": """WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0),
 b AS (SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM a) GROUP BY text),
 u AS (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) SELECT doc_id % 2 AS side, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM u GROUP BY 1""",
-    "news_tfidf": f"""{_N}, s AS (SELECT id, title FROM news WHERE id < 500), w AS (SELECT id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) AS word FROM s),
+    "news_tfidf": f"""{_N}, s AS (SELECT id, title FROM news), w AS (SELECT id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) AS word FROM s),
 tf AS (SELECT id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
 x AS (SELECT id, word, tf * ln((SELECT count(DISTINCT id) FROM s) / df::DOUBLE) AS weight FROM tf JOIN df USING (word)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS INTEGER) AS rank FROM x) SELECT id, word, round(weight, 6) AS weight, rank FROM r WHERE rank <= 2""",
     "factor_topn": f"{_F} SELECT id, type AS factor_type, title, array_to_string(details, '|') AS details, impact, confidence FROM factors WHERE type = 'bullish' ORDER BY id DESC LIMIT 10",
     "factor_keyword_id": f"{_F} SELECT id, {_FIRST('title', KEYWORDS)} ELSE 'other' END AS factor_id FROM factors",
     "high_impact_count": f"{_F} SELECT type, count(*) FILTER (WHERE impact = 'high') AS high, count(*) AS total FROM factors GROUP BY type",
-    "factor_numbered": f"{_F} SELECT id, array_to_string(list_transform(details, lambda x, i: i || '. ' || x), chr(10)) AS lines FROM factors WHERE id <= 50",
+    "factor_numbered": f"{_F} SELECT id, array_to_string(list_transform(details, lambda x, i: i || '. ' || x), chr(10)) AS lines FROM factors",
     "factor_upsert": f"""{_F}, a AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description, id) AS description, arg_max(impact, id) AS impact FROM factors WHERE id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description, id) AS description, arg_max(CASE WHEN id % 5 <> 0 THEN impact ELSE 'medium' END, id) AS impact FROM factors WHERE id % 3 = 0 GROUP BY 1, 2)
+b AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description, id) AS description, arg_max(CASE WHEN id % 5 <> 0 THEN impact ELSE 'medium' END, id) AS impact FROM factors WHERE id % 2 = 1 OR id % 3 = 0 GROUP BY 1, 2)
 SELECT coalesce(a.type, b.type) AS type, coalesce(a.title, b.title) AS title, coalesce(b.subtitle, a.subtitle) AS subtitle, coalesce(b.description, a.description) AS description,
   coalesce(b.impact, a.impact) AS impact FROM a FULL JOIN b ON a.type = b.type AND a.title = b.title""",
     "institution_counts": f"{_I} SELECT count(*) FILTER (WHERE rating = 'bullish') AS bullish, count(*) FILTER (WHERE rating = 'bearish') AS bearish, count(*) FILTER (WHERE rating = 'neutral') AS neutral FROM institutions",
     "institution_names": f"{_I} SELECT rating, string_agg(string_split(institution_name, ' ')[1], '、' ORDER BY string_split(institution_name, ' ')[1]) AS names FROM institutions GROUP BY rating",
     "institution_logo": f"{_I} SELECT id, {_FIRST('logo', LOGOS)} ELSE 'BANK' END AS mark FROM institutions",
-    "institution_upsert": f"""{_I}, a AS (SELECT * FROM institutions WHERE id % 2 = 0), b AS (SELECT * FROM institutions WHERE id % 3 = 0)
+    "institution_upsert": f"""{_I}, a AS (SELECT * FROM institutions WHERE id % 2 = 0), b AS (SELECT * FROM institutions WHERE id % 2 = 1 OR id % 3 = 0)
 SELECT coalesce(a.institution_name, b.institution_name) AS institution_name, CASE WHEN a.id IS NULL THEN 'NEW' ELSE a.logo END AS logo,
   CASE WHEN b.id IS NULL THEN a.rating ELSE 'neutral' END AS rating, coalesce(b.target_price + 1, a.target_price) AS target_price FROM a FULL JOIN b ON a.institution_name = b.institution_name""",
     "target_range": f"{_I} SELECT min(target_price) AS lowest, max(target_price) AS highest, round(avg(target_price), 4) AS average, (SELECT rating FROM institutions GROUP BY rating ORDER BY count(*) DESC, rating LIMIT 1) AS consensus FROM institutions",

@@ -35,10 +35,10 @@ def _both(run):
 
 
 def _halves(bars):
-    """Test inputs of an upsert: bars of even days as the table, those of days divisible by 3 as incoming, scaled."""
+    """Test inputs of an upsert: bars of even days as the table, those of odd days and of days divisible by 3 as incoming, changed."""
     day = F.unix_date("date")
     base = up.seed_bars(bars.where(day % 2 == 0)).select(*up.BAR)
-    new = bars.where(day % 3 == 0)
+    new = bars.where((day % 2 == 1) | (day % 3 == 0))
     new = new.withColumns({"open_price": F.when(day % 5 == 0, 0.0).otherwise(F.col("open_price")), "high_price": F.when(day % 7 == 0, 0.0).otherwise(F.col("high_price") + 10), "low_price": F.col("low_price") - 10, "close_price": F.col("close_price") + 1})
     return base, up.seed_bars(new).select(*up.BAR)
 
@@ -54,7 +54,7 @@ def bar_insert(bars):
 
 def dollar_upsert(bars):
     day = F.unix_date("date")
-    ticks = bars.where(day % 3 == 0).select("date", F.col("close_price").alias("price"))
+    ticks = bars.where((day % 2 == 1) | (day % 3 == 0)).select("date", F.col("close_price").alias("price"))
     before = bars.select(F.date_add("date", 1).alias("date"), "close_price")
     base = bars.where(day % 2 == 0).withColumns({"volume": F.lit(0), "change_percent": F.lit(0.0)}).select(*up.BAR)
     return up.merge_bars(base, up.synthesize_bars(ticks, before), keep_open=False)
@@ -113,7 +113,7 @@ _DAY = "CAST(date - DATE '1970-01-01' AS INTEGER)"
 _HALVES = f""", seeded AS (SELECT *, {_DAY} AS n FROM gold),
 base AS (SELECT date, open_price, high_price, low_price, close_price, volume, (close_price - open_price) / open_price * 100 AS change_percent FROM seeded WHERE n % 2 = 0),
 inc0 AS (SELECT date, CASE WHEN n % 5 = 0 THEN 0.0 ELSE open_price END AS open_price, CASE WHEN n % 7 = 0 THEN 0.0 ELSE high_price + 10 END AS high_price,
-  low_price - 10 AS low_price, close_price + 1 AS close_price, volume FROM seeded WHERE n % 3 = 0),
+  low_price - 10 AS low_price, close_price + 1 AS close_price, volume FROM seeded WHERE n % 2 = 1 OR n % 3 = 0),
 inc AS (SELECT *, CASE WHEN open_price = 0 THEN 0.0 ELSE (close_price - open_price) / open_price * 100 END AS change_percent FROM inc0)"""
 _LINE = "OVER (ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 
@@ -177,7 +177,7 @@ UNION ALL SELECT DATE '{AS_OF}', {QUOTE}, (SELECT dollar_index FROM pairs ORDER
 FROM base b FULL JOIN inc i ON b.date = i.date""",
     "bar_insert_if_absent": f"{_G}{_HALVES} SELECT * FROM base UNION ALL SELECT * FROM inc WHERE date NOT IN (SELECT date FROM base)",
     "dollar_synth_upsert": f"""WITH {DOLLAR_SQL}, n AS (SELECT *, {_DAY} AS k FROM dollar),
-tick AS (SELECT a.date, a.close_price AS price, coalesce(p.close_price, a.close_price) AS prev FROM n a LEFT JOIN n p ON p.date + 1 = a.date WHERE a.k % 3 = 0),
+tick AS (SELECT a.date, a.close_price AS price, coalesce(p.close_price, a.close_price) AS prev FROM n a LEFT JOIN n p ON p.date + 1 = a.date WHERE a.k % 2 = 1 OR a.k % 3 = 0),
 base AS (SELECT * FROM n WHERE k % 2 = 0)
 SELECT coalesce(b.date, t.date) AS date, coalesce(t.prev, b.open_price) AS open_price, greatest(b.high_price, t.price, t.prev) AS high_price,
   least(b.low_price, t.price, t.prev) AS low_price, coalesce(t.price, b.close_price) AS close_price, 0 AS volume,

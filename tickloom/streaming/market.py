@@ -40,10 +40,11 @@ def upsert_into(read: Callable[[], DataFrame], write: Callable[[DataFrame, int],
     return merge
 
 
-def limited(requests: DataFrame, seconds: int = 60, cap: int = 60) -> DataFrame:
+def limited(requests: DataFrame, seconds: int = 60, cap: int = 60, delay: str = "1 minute") -> DataFrame:
     """A request stream(key, ts) with ``allowed``: fewer than cap allowed requests of the key lie in the seconds before.
 
-    The state of a key are the times of its allowed requests, cap at most; it goes when the key has been silent.
+    Requests that come later than the watermark are left out. The state of a key are the times of its allowed requests, cap
+    at most; it goes when the watermark has passed them by the window.
     """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,16 +53,18 @@ def limited(requests: DataFrame, seconds: int = 60, cap: int = 60) -> DataFrame:
             return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
+        out, newest = [], max(times, default=0)
         for t in rows["ts"]:
             at = int(t.value // 1000)
             times = [x for x in times if x > at - seconds * 1_000_000]
             ok = len(times) < cap
             if ok:
                 times.append(at)
+            newest = max(newest, at)
             out.append((key[0], t, ok))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
 
-    return requests.groupBy("key").applyInPandasWithState(walk, "key string, ts timestamp, allowed boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = requests.withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(walk, "key string, ts timestamp, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
