@@ -282,7 +282,11 @@ def compare_open(open_runs: DataFrame, texts: DataFrame, splitters: np.ndarray,
 
 
 def compare_hot(hot_runs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """As compare_open, for grams with too many runs for a bucket: strings meet by a 128-bit fingerprint."""
+    """As compare_open, for grams with too many runs for a bucket: strings meet by a 128-bit fingerprint.
+
+    Fingerprints are computed once for the first of each string and once for the join, as they are cheaper than a table of
+    them, and so that one shuffle of the texts serves this, compare_open and the cutting.
+    """
     per_doc = hot_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def expand(batches):
@@ -296,7 +300,6 @@ def compare_hot(hot_runs: DataFrame, texts: DataFrame, length: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(mix(raw).view(np.int64)), pa.array(mix(half ^ U64(0x5DEECE66D)).view(np.int64)), pa.array([doc.as_py()] * len(start), pa.int64()), pa.array(start.astype(np.int32))], ["f1", "f2", "doc_id", "start"])
 
     rows = texts.join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(expand, "f1 long, f2 long, doc_id long, start int")
-    rows = materialize(rows, "hot_starts")
     first = rows.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = rows.join(first, ["f1", "f2"]).where(F.struct("doc_id", "start") != F.col("first"))
     return later.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
@@ -329,10 +332,9 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     splitters = _splitters(docs, length, gram)
     runs = materialize(settle(packed_runs(docs, splitters, length, gram)), "runs")
     still = runs.where("open").select("gram", "doc_id", "lo", "hi")
-    hot = still.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram")
+    hot = materialize(still.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram"), "hot_grams")
     out = runs.where("not open").select("doc_id", "lo", "hi")
     if hot.take(1):
-        hot = materialize(hot, "hot_grams")
         out = out.unionByName(compare_hot(still.join(hot, "gram", "left_semi"), docs, length))
         still = still.join(hot, "gram", "left_anti")
     return out.unionByName(compare_open(still, docs, splitters, length))
