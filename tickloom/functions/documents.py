@@ -87,3 +87,31 @@ def quote_c(payload: Column) -> Column:
     d = F.from_json(payload, "data struct<f43:bigint,f44:bigint,f45:bigint,f46:bigint,f60:bigint>")["data"]
     cents = lambda k: d[k] / F.lit(100.0)
     return F.when(d["f43"].isNotNull(), F.struct(cents("f43").alias("price"), cents("f44").alias("high"), cents("f45").alias("low"), cents("f46").alias("open"), cents("f60").alias("prev_close"), pct_change(cents("f43"), cents("f60")).alias("change_pct")))
+
+
+def is_filled(items: Column) -> Column:
+    """Whether a document's required array is there and not empty."""
+    return F.coalesce(F.size(items) > 0, F.lit(False))
+
+
+def with_defaults(doc: Column, defaults: dict[str, Column]) -> Column:
+    """The document with defaults for its NULL fields; a NULL document stays NULL."""
+    out = doc
+    for name, value in defaults.items():
+        out = out.withField(name, F.coalesce(doc[name], value))
+    return out
+
+
+def override(doc: Column, field: str, value: Column) -> Column:
+    """The document with a realtime value in place of the field's own, where there is one."""
+    return doc.withField(field, F.coalesce(value, doc[field]))
+
+
+def with_metadata(doc: Column, cached: Column, source: str, generated_at: Column) -> Column:
+    """The document with a metadata struct: cached, source, generated_at."""
+    return doc.withField("metadata", F.struct(cached.alias("cached"), F.lit(source).alias("source"), generated_at.alias("generated_at")))
+
+
+def pretty(doc: Column) -> Column:
+    """Indented JSON, non-ASCII kept."""
+    return F.to_json(doc, {"pretty": "true", "ignoreNullFields": "false"})

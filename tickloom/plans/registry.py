@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import feeds, prices, serving
+from tickloom.plans import feeds, prices, reports, serving
 
-MODULES = (prices, feeds, serving)
+MODULES = (prices, feeds, serving, reports)
 
 
 def queries() -> dict:
