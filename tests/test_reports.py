@@ -28,11 +28,12 @@ def test_lines_of_nulls(spark):
 
 def test_running_extremes_are_those_so_far(spark):
     at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k * 1700)
-    rows = [(at(k), float(k * 7919 % 101), "x") for k in range(150)] + [(at(3), None, "null")]
+    rows = [(at(k), float(k * 7919 % 101), "x") for k in range(150)] + [(at(3), None, "null"), (None, 999.0, "no time")]
     got = reports.running_extremes(spark.createDataFrame(rows, "ts timestamp, price double, _hi string")).collect()
     assert len(got) == len(rows)
-    for r in got:
-        so_far = [p for t, p, _ in rows if p is not None and t.date() == r.ts.date() and t <= r.ts]
+    assert [(r.day_high, r.day_low) for r in got if r.ts is None] == [(None, None)]
+    for r in (r for r in got if r.ts is not None):
+        so_far = [p for t, p, _ in rows if p is not None and t is not None and t.date() == r.ts.date() and t <= r.ts]
         assert (r.day_high, r.day_low) == (max(so_far), min(so_far))
 
 

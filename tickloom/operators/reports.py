@@ -63,7 +63,7 @@ def trailing_days(bars: DataFrame, as_of: str, days: int = 10) -> DataFrame:
 def running_extremes(ticks: DataFrame) -> DataFrame:
     """ticks(ts, price, ...) with day_high and day_low: the extremes of the day so far, ticks of the same time included.
 
-    A day may hold very many ticks, so windows run inside minutes; the extremes of the minutes before come from a window
+    A NULL price changes nothing; a tick with a NULL time stays and gets NULLs. A day may hold very many ticks, so windows run inside minutes; the extremes of the minutes before come from a window
     over at most 1440 sums of a day.
     """
     base = ticks.drop("day_high", "day_low")
@@ -72,8 +72,9 @@ def running_extremes(ticks: DataFrame) -> DataFrame:
     before = Window.partitionBy("_tick_day").orderBy("_tick_minute").rowsBetween(Window.unboundedPreceding, -1)
     minutes = minutes.select("_tick_minute", F.max("hi").over(before).alias("_high_before"), F.min("lo").over(before).alias("_low_before"))
     inside = Window.partitionBy("_tick_minute").orderBy("ts")
-    rows = t.withColumns({"_high_inside": F.max("price").over(inside), "_low_inside": F.min("price").over(inside)}).join(minutes, "_tick_minute")
-    return rows.select(*base.columns, F.greatest("_high_inside", "_high_before").alias("day_high"), F.least("_low_inside", "_low_before").alias("day_low"))
+    rows = t.withColumns({"_high_inside": F.max("price").over(inside), "_low_inside": F.min("price").over(inside)}).join(minutes, "_tick_minute", "left")
+    timed = lambda c: F.when(F.col("ts").isNotNull(), c)
+    return rows.select(*base.columns, timed(F.greatest("_high_inside", "_high_before")).alias("day_high"), timed(F.least("_low_inside", "_low_before")).alias("day_low"))
 
 
 def extended_stats(bars: DataFrame, anchor: str) -> DataFrame:
