@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": minhash_dedup.SQL,
         "op3_url_filters": url_filters.SQL,
         "op6_chat_format": chat_format.SQL,
     }
