@@ -47,6 +47,17 @@ def test_hot_grams_take_the_other_way(frame):
     check(frame, passages(2, 60), hot_runs=2)
 
 
+def test_common_grams_are_spread(frame, monkeypatch):
+    monkeypatch.setattr(op, "LEAST_COMMON", 1)
+    rows = passages(5, 60)
+    docs = frame(rows).select("doc_id", "text")
+    assert len(op._steer(docs, 100, 32)[1])
+    check(frame, rows)
+    monkeypatch.setattr(op, "LEAST_COMMON", 10**9)
+    assert not len(op._steer(docs, 100, 32)[1])
+    check(frame, rows)
+
+
 def test_split_buffers_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(op, "PIECE", 700)
     rows = passages(3, 10)

@@ -7,7 +7,8 @@ A full suffix array of the corpus would shuffle every byte's suffix. Only suffix
    have equal anchors, so the starts of a document fall into runs that share an anchor, about one run in 35 bytes.
 2. Sampled splitters range-partition the anchors by their leading token, the 64-bit fingerprint of the gram. A bucket sorts
    its anchors. Where the bytes that a run's strings cover are the same (by fingerprint) as those of an earlier run, the run
-   is settled. Batches settle their own repeats first, so a gram sends one row per batch however common it is.
+   is settled. Batches settle their own repeats first, so equal runs send one row per batch however many they are. The runs
+   of a gram that the sample finds common are spread over all buckets by their covered bytes, so equal ones still meet.
 3. Runs that share a gram but not all of their bytes lie at the ends of repeated passages. Their suffixes go to the bucket of
    their leading token with their bytes, are sorted by multikey quicksort over eight-byte words and compared with their
    neighbours. Splitters stand between different grams, so equal suffixes never lie in two buckets.
@@ -37,8 +38,12 @@ from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are packed together, and that the arrays of the anchor search cover at a time.
 BYTES_AT_ONCE, PIECE = 3_000_000, 500_000
-#: Documents that are sampled for splitters, bytes of text for a bucket, and the smallest number of buckets.
-SAMPLED, BUCKET_BYTES, LEAST_BUCKETS = 2000, 32_000_000, 256
+#: Documents and runs that are sampled for splitters, on average, bytes of text for a bucket, and the smallest number of buckets.
+SAMPLED, SAMPLED_RUNS, BUCKET_BYTES, LEAST_BUCKETS = 4000, 2_000_000, 32_000_000, 256
+#: Runs of the sample that make a gram common, if they are also half of a bucket's share of it.
+LEAST_COMMON = 8
+#: Bytes of text for a run, about.
+RUN_BYTES = 35
 HOT_RUNS = 20_000
 
 
@@ -105,7 +110,7 @@ def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
-def packed_runs(docs: DataFrame, splitters: np.ndarray, length: int, gram: int) -> DataFrame:
+def packed_runs(docs: DataFrame, splitters: np.ndarray, common: np.ndarray, length: int, gram: int) -> DataFrame:
     """Rows (bucket, settled, base, wide, rows, blob) of packed anchor runs; settled ones repeat an earlier run of their batch."""
 
     def run(batches):
@@ -126,6 +131,11 @@ def packed_runs(docs: DataFrame, splitters: np.ndarray, length: int, gram: int)
                 for settled, keep in ((False, new), (True, ~new)):
                     own = {n: x[keep] for n, x in columns.items()}
                     bucket = np.searchsorted(splitters, own["gram"], side="right")
+                    spread = np.isin(own["gram"], common)
+                    if not settled and spread.any():
+                        bucket[spread] = (mix(own["gram"][spread] + mix(own["covered"][spread].astype(U64))) % U64(len(splitters) + 1)).astype(np.int64)
+                        order = np.argsort(bucket, kind="stable")
+                        bucket, own = bucket[order], {n: x[order] for n, x in own.items()}
                     cut = np.searchsorted(bucket, np.arange(len(splitters) + 2))
                     if settled and len(bucket):  # goes anywhere
                         cut = np.linspace(0, len(bucket), min(8, len(splitters) + 1) + 1).astype(np.int64)
@@ -141,8 +151,11 @@ def packed_runs(docs: DataFrame, splitters: np.ndarray, length: int, gram: int)
     return docs.mapInArrow(run, "bucket int, settled boolean, base long, wide boolean, rows int, blob binary")
 
 
-def settle(packed: DataFrame) -> DataFrame:
-    """(open, gram, doc_id, anchor, lo, hi): runs that an earlier run settles, and open ones that share a gram only."""
+def settle(packed: DataFrame, common: np.ndarray) -> DataFrame:
+    """(open, gram, doc_id, anchor, lo, hi): runs that an earlier run settles, and open ones that share a gram only.
+
+    The first of equal runs of a common gram is open in any case, as no bucket sees all that share the gram.
+    """
     names = ["open", "gram", "doc_id", "anchor", "lo", "hi"]
 
     def rows(x, keep, is_open):
@@ -159,7 +172,7 @@ def settle(packed: DataFrame) -> DataFrame:
         group = np.cumsum(_first_of_equal(x["gram"])) - 1
         classes = np.bincount(group, weights=new)
         yield rows(x, ~new, False)
-        yield rows(x, new & (classes[group] > 1), True)
+        yield rows(x, new & ((classes[group] > 1) | np.isin(x["gram"], common)), True)
 
     def run(batches):
         bucket, parts = None, []
@@ -305,23 +318,31 @@ def compare_hot(hot_runs: DataFrame, texts: DataFrame, length: int) -> DataFrame
     return later.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
-def _splitters(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Quantiles of the gram fingerprints of a bounded sample of documents; they steer balance, not results."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _steer(docs: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(splitters, common grams) from the gram fingerprints of a bounded sample of all documents.
+
+    They steer balance, not results. Splitters are quantiles of the fingerprints.
+    """
+    total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).first()
+    size, share = total["size"] or 0, min(1.0, SAMPLED / max(total["rows"], 1))
     n = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    step = max(1, int(size * share) // RUN_BYTES // SAMPLED_RUNS)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", BYTES_AT_ONCE):
                 g = anchor_runs(*text_bytes(part.column("text")), length, gram)[0]
                 if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array([np.sort(g)[:: max(1, len(g) // 2000)].tobytes()], pa.binary())], ["g"])
+                    yield pa.RecordBatch.from_arrays([pa.array([np.sort(g)[::step].tobytes()], pa.binary())], ["g"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).limit(SAMPLED).mapInArrow(run, "g binary").collect()
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = chosen.mapInArrow(run, "g binary").collect()
     grams = np.sort(np.concatenate([np.frombuffer(r["g"], U64) for r in sample])) if sample else np.zeros(0, U64)
+    found, times = np.unique(grams, return_counts=True)
+    common = found[times >= max(LEAST_COMMON, len(grams) // (2 * n))]
     if len(grams) < 2 * n:
-        return (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(U64)
-    return np.unique(grams[(np.arange(1, n) * len(grams)) // n])
+        return (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(U64), common
+    return np.unique(grams[(np.arange(1, n) * len(grams)) // n]), common
 
 
 def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -329,8 +350,8 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     docs(doc_id, text) must have distinct doc_ids that are not NULL.
     """
-    splitters = _splitters(docs, length, gram)
-    runs = materialize(settle(packed_runs(docs, splitters, length, gram)), "runs")
+    splitters, common = _steer(docs, length, gram)
+    runs = materialize(settle(packed_runs(docs, splitters, common, length, gram), common), "runs")
     still = runs.where("open").select("gram", "doc_id", "lo", "hi")
     hot = materialize(still.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram"), "hot_grams")
     out = runs.where("not open").select("doc_id", "lo", "hi")
