@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from tickloom.llm import suffix_dedup as op
+from tickloom.llm.kernels import U64, Rolling, mix
 
 
 def brute(rows, length):
@@ -58,6 +59,21 @@ def test_common_grams_are_spread(frame, monkeypatch):
     check(frame, rows)
 
 
+def test_half_a_fingerprint_settles_nothing(frame):
+    """Texts of one gram whose covered hashes agree in their upper or lower 32 bits are no repeats."""
+    rng, n = np.random.default_rng(7), 300_000
+    letters = rng.integers(97, 123, 5000, np.uint8)
+    place = np.arange(len(letters) - 31)
+    at = int(np.argmin(mix(Rolling(letters).raw(place, place + 32))))
+    data = np.hstack([np.tile(letters[at : at + 32], (n, 1)), rng.integers(97, 123, (n, 68), np.uint8)])
+    _, covered, row, anchor, _, _ = op.anchor_runs(data.ravel(), np.arange(n + 1) * 100, 100, 32)
+    covered, row = covered[anchor == 0], row[anchor == 0]
+    for half in (covered >> U64(32), covered & U64(0xFFFFFFFF)):
+        order = np.argsort(half, kind="stable")
+        k = int(np.flatnonzero(half[order][1:] == half[order][:-1])[0])
+        check(frame, [(i, data[row[order[k + i]]].tobytes().decode()) for i in range(2)])
+
+
 def test_split_buffers_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(op, "PIECE", 700)
     rows = passages(3, 10)

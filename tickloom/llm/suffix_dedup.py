@@ -16,7 +16,8 @@ A full suffix array of the corpus would shuffle every byte's suffix. Only suffix
    fingerprint, grouped with partial aggregation and joined back by a join that Spark can split.
 
 Texts are shuffled once, by doc_id, for steps 3 and the cutting; nothing of the corpus passes through the driver but a
-bounded sample of fingerprints for the splitters. Fingerprints have 64 bits, those of whole runs 96 with their gram's.
+bounded sample of fingerprints for the splitters. Fingerprints have 64 bits. Runs are settled by those of their gram and of
+their covered bytes, so 64 bits tell the runs of one gram apart: of k such runs about k * k / 2 ** 65 are settled wrongly.
 
 Edge cases: NULL and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that share a doc_id come in
 order of their texts; a row with a NULL doc_id takes no part and keeps its text. Extra columns are ignored by ``repeats``;
@@ -86,7 +87,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 #: The columns of packed rows, stored byte plane by byte plane: gram, covered bytes, document, anchor, anchor - first start,
 #: last - first start.
-PACKED = (("gram", np.uint64), ("covered", np.uint32), ("doc", np.uint32), ("anchor", np.uint32), ("before", np.uint8), ("span", np.uint8))
+PACKED = (("gram", np.uint64), ("covered", np.uint64), ("doc", np.uint32), ("anchor", np.uint32), ("before", np.uint8), ("span", np.uint8))
 WIDE = tuple((n, np.int64 if n == "doc" else t) for n, t in PACKED)
 
 
@@ -120,7 +121,7 @@ def packed_runs(docs: DataFrame, splitters: np.ndarray, common: np.ndarray, leng
                 if not len(g):
                     continue
                 ids = np.array(part.column("doc_id"), np.int64)
-                doc, c = ids[row], (c >> U64(32)).astype(np.uint32)
+                doc = ids[row]
                 order = np.lexsort((a, doc, c, g))
                 g, c, doc, a, lo, hi = (x[order] for x in (g, c, doc, a, lo, hi))
                 new = _first_of_equal(g, c)
@@ -133,7 +134,7 @@ def packed_runs(docs: DataFrame, splitters: np.ndarray, common: np.ndarray, leng
                     bucket = np.searchsorted(splitters, own["gram"], side="right")
                     spread = np.isin(own["gram"], common)
                     if not settled and spread.any():
-                        bucket[spread] = (mix(own["gram"][spread] + mix(own["covered"][spread].astype(U64))) % U64(len(splitters) + 1)).astype(np.int64)
+                        bucket[spread] = (mix(own["gram"][spread] + mix(own["covered"][spread])) % U64(len(splitters) + 1)).astype(np.int64)
                         order = np.argsort(bucket, kind="stable")
                         bucket, own = bucket[order], {n: x[order] for n, x in own.items()}
                     cut = np.searchsorted(bucket, np.arange(len(splitters) + 2))
