@@ -116,3 +116,27 @@ def test_limiter_does_not_count_refusals(spark):
         if ok:
             allowed.append(t)
     assert [r.allowed for r in serving.limit_requests(df, 60, 5).orderBy("ts").collect()] == expected
+
+
+def test_limiter_walks_a_key_across_batches(spark):
+    """Keys go through in sorted batches: no array of a key's requests exists, and nothing is lost where batches part."""
+    rnd = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", "", None]), start + dt.timedelta(seconds=rnd.randint(0, 400))) for _ in range(600)]
+    df = spark.createDataFrame(rows + [("b", None)], "key string, ts timestamp")
+    expected, allowed = [], {}
+    for k, t in sorted(rows, key=lambda r: r[1]):
+        times = allowed.setdefault(k, [])
+        ok = sum(1 for x in times if x > t - dt.timedelta(seconds=30)) < 3
+        if ok:
+            times.append(t)
+        expected.append((k, t, ok))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = serving.limit_requests(df, 30, 3)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+        assert serving.limit_requests(df, 30, 0).where("allowed").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in out._jdf.queryExecution().toString()

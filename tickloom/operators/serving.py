@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +48,26 @@ def trailing_counts(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
 def limit_requests(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
     """requests(key, ts) with ``allowed``: fewer than cap allowed requests of its key lie in the seconds before.
 
-    Acceptance feeds back, so each key is walked in order, as a fold over its sorted array of times inside Spark.
+    Acceptance feeds back, so each key is walked in order: Spark's sort brings its requests one after another, and the walk
+    holds the last cap allowed times only. Requests without a time are left out.
     """
-    micros = seconds * 1_000_000
-    keys = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<struct<at:bigint,allowed:boolean>>").alias("done"))
-
-    def step(acc, t):
-        still = F.filter(acc["open"], lambda x: x > t - micros)
-        ok = F.size(still) < cap
-        return F.struct(F.when(ok, F.concat(still, F.array(t))).otherwise(still).alias("open"), F.concat(acc["done"], F.array(F.struct(t.alias("at"), ok.alias("allowed")))).alias("done"))
-
-    walked = keys.select("key", F.explode(F.aggregate("times", start, step, lambda a: a["done"])).alias("r"))
-    return walked.select("key", F.timestamp_micros("r.at").alias("ts"), F.col("r.allowed").alias("allowed"))
+    micros, cap = seconds * 1_000_000, max(cap, 0)
+    kind = requests.schema["key"].dataType.simpleString()
+
+    def walk(batches):
+        # no key equals the object that stands before the first
+        key, times = object(), deque(maxlen=cap)
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if k != key and (k == k or key == key):  # NaN is one key
+                    key, times = k, deque(maxlen=cap)
+                ok = len(times) < cap or (cap > 0 and times[0] <= at - micros)
+                if ok:
+                    times.append(at)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.array(out, pa.bool_())], ["key", "at", "allowed"])
+
+    timed = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL")
+    walked = timed.repartition("key").sortWithinPartitions("key", "at").mapInArrow(walk, f"key {kind}, at bigint, allowed boolean")
+    return walked.select("key", F.timestamp_micros("at").alias("ts"), "allowed")
