@@ -68,6 +68,17 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.chat_examples(df.limit(0))).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    """All examples together exceed what one row can hold; each comes as a row of its own."""
+    n, size = 5_000, 400
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("x"), F.lit(size)).alias("text"))
+    got = chat_format.chat_examples(turns).agg(F.count("*").alias("n"), F.sum(F.length("formatted")).alias("chars"), F.max("loss_start").alias("last")).first()
+    user, assistant = (len(f"{chat_format.START}{x}\n{chat_format.END}") + size for x in ("user", "assistant"))
+    pairs = n // 2
+    assert (got.n, got.chars) == (pairs, (user + assistant) * pairs * (pairs + 1) // 2) and got.chars > 2**31
+    assert got.last == pairs * (user + assistant) - size - len(chat_format.END)
+
+
 def test_fingerprints_of_edits(spark, frame):
     text = "\n".join(" ".join(f"w{i}_{j}" for j in range(20)) for i in range(30)).replace("\nw15", "\n\nw15")
     edited = text.replace("w20_3 ", "changed ")

@@ -4,8 +4,9 @@ A turn is written as ``<|im_start|>role``, a newline, the text and ``<|im_end|>`
 ``<|`` becomes ``<\\|``, so no text can close its turn; unescaping drops one backslash before any character. An example is the
 formatted prefix with the place and length of the reply inside it, which is the loss mask.
 
-Turns of a conversation are put together in its one group (its own output holds it whole); conversations never meet, so
-common first turns or copies of conversations make no hot key.
+Turns of a conversation are put together in its one group (its own output holds it whole); the examples become rows before
+their prefixes are written, so memory is linear in the longest conversation though all of its examples together are quadratic.
+Conversations never meet, so common first turns or copies of conversations make no hot key.
 
 Edge cases: NULL texts and roles count as empty; turns are ordered by (turn, role, text), NULL turns first, repeated rows
 stay as turns of their own; NULL conv_id is one conversation; a conversation that does not end with a reply gets a last
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import let, table
+from tickloom.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -50,22 +51,18 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
     )
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     written = F.transform("turns", lambda t: F.concat(t["header"], t["body"], F.lit(END)))
-
-    def examples(parts: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            context, reply = F.array_join(F.slice(parts, 1, i), ""), t["role"] == "assistant"
-            return F.struct(
-                i.alias("example"),
-                F.concat(context, F.get(parts, i)).alias("formatted"),
-                F.when(reply, F.length(context) + F.length(t["header"])).alias("loss_start"),
-                F.when(reply, F.length(t["body"])).alias("loss_chars"),
-            )
-
-        wanted = lambda t, i: (t["role"] == "assistant") | (i == F.size("turns") - 1)
-        places = F.filter(F.transform("turns", lambda t, i: F.struct(t.alias("t"), i.alias("i"), wanted(t, i).alias("w"))), lambda x: x["w"])
-        return F.transform(places, lambda x: one(x["t"], x["i"]))
-
-    return grouped.select("conv_id", F.inline(let(written, examples)))
+    place = lambda t, i: F.struct(
+        i.alias("example"),
+        (t["role"] == "assistant").alias("reply"),
+        F.length(t["body"]).alias("body_chars"),
+    )
+    wanted = lambda x: x["reply"] | (x["example"] == F.size("turns") - 1)
+    places = F.filter(F.transform("turns", place), wanted)
+    # formatted prefixes are written after the examples are rows of their own, so no row holds more than one
+    rows = grouped.select("conv_id", written.alias("parts"), places.alias("places")).select("conv_id", "parts", F.inline("places"))
+    rows = rows.select("*", F.array_join(F.slice("parts", F.lit(1), F.col("example") + 1), "").alias("formatted"))
+    start = F.length("formatted") - len(END) - F.col("body_chars")
+    return rows.select("conv_id", "example", "formatted", F.when(F.col("reply"), start).alias("loss_start"), F.when(F.col("reply"), F.col("body_chars")).alias("loss_chars"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
