@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,20 +28,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it where a column of df has it; for columns that an operator adds on its way."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, as in tests, the warehouse folder serves.
+    Where it is unset in local mode, as in tests, the warehouse folder serves; a cluster must set it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
+
+
+#: Where the tables of materialized frames lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: later steps neither recompute it nor need its lineage.
 
-    The table outlives lost executors. It stays until the folder is cleaned, as the frames that read it are lazy.
+    The table outlives lost executors. It stays until ``release`` or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``materialize`` returned, once nothing lazy reads them any more."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +21,20 @@ def components(links: DataFrame) -> DataFrame:
     label = materialize(nodes.withColumn("component", F.col("id")), "labels")
     while edges.take(1):
         # every component is linked to a smaller one or a local minimum; pointers lead downwards only
-        parent = materialize(edges.groupBy("a").agg(F.min("b").alias("p")), "parents")
-        while True:
+        parent = materialize(edges.groupBy("a").agg(F.min("b").alias("p"), F.lit(True).alias("moved")), "parents")
+        while parent.where("moved").take(1):
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            parent = materialize(parent.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
-            if not parent.where("moved").take(1):
-                break
-            parent = parent.select("a", "p")
+            doubled = materialize(parent.select("a", "p").join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+            release(parent)
+            parent = doubled
         root = parent.select(F.col("a").alias("old"), F.col("p").alias("new"))
-        label = materialize(label.join(root, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "labels")
         ends = edges.join(root.select(F.col("old").alias("a"), F.col("new").alias("x")), "a", "left").join(root.select(F.col("old").alias("b"), F.col("new").alias("y")), "b", "left")
         ends = ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where(F.col("x") != F.col("y"))
-        edges = materialize(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
+        after = (
+            materialize(label.join(root, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "labels"),
+            materialize(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links"),
+        )
+        release(parent, label, edges)
+        label, edges = after
+    release(edges)
     return label
