@@ -1,6 +1,10 @@
 import random
 import re
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from tickloom.llm import minhash_dedup as op
 from tickloom.llm.components import components
 
@@ -88,3 +92,64 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 140)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_buckets_are_split(frame):
+    """With buckets of two classes split already, nearly all cross pairs come by rare shingles."""
+    for seed in (4, 5):
+        rows = near_copies(seed, 30, 6)
+        got = op.near_duplicates(frame(rows), 4, 80, hot=1).collect()
+        assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 80)
+
+
+def boilerplate(n, own):
+    """Texts of one template with words of their own: alike at about 0.6, so their buckets are large and hold no links."""
+    template = " ".join(f"t{i}" for i in range(120))
+    return [(k, template + " " + " ".join(f"w{k}x{i}" for i in range(own))) for k in range(n)]
+
+
+def test_texts_that_share_boilerplate_are_not_compared_in_pairs(spark, frame):
+    rows = boilerplate(600, 60) + [(1000 + k, t + " more words at the end") for k, t in boilerplate(20, 60)]
+    got = op.near_duplicates(frame(rows), 4, 80).collect()
+    component = {r.doc_id: r.component_id for r in got}
+    assert all(component[1000 + k] == k for k in range(20)) and all(component[k] == k for k in range(600))
+    sets = op.full_sets(frame(rows), spark.range(2000), 4)
+    classes = spark.createDataFrame([(k, k) for k, _ in rows], "id long, component long")
+    pairs = op.rare_pairs(classes, sets, op.bit_maps(sets), 80)
+    assert pairs.count() == 20  # of 192,510
+
+
+def test_bit_maps_never_refuse_a_link(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        n = int(rnd.choice([1, 5, 40, 300, 5000]))
+        pool = rnd.integers(-(2**63), 2**63 - 1, n)
+        for side in range(2):
+            keep = rnd.random(n) < rnd.choice([0.85, 0.93, 1.0])
+            rows.append((2 * k + side, sorted(set(pool[keep].tolist()) or {int(pool[0])})))
+    sets = {k: set(v) for k, v in rows}
+    maps = op.bit_maps(spark.createDataFrame(rows, "id long, shingles array<long>"))
+    x, y = maps.alias("x"), maps.alias("y")
+    passed = {r.id for r in x.join(y, F.expr("x.id % 2 = 0 and y.id = x.id + 1 and " + op._may_link(80))).select("x.id").collect()}
+    links = {k for k in range(0, 400, 2) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])}
+    assert len(links) > 50 and links <= passed
+
+
+def test_one_row_of_a_repeated_id_stays(frame):
+    rows = frame([(1, "a b c d e"), (1, "a b c d e"), (1, None), (2, "x y z"), (None, "q"), (None, "q")], gone="g", many="m", place="p")
+    got = op.deduplicate(rows)
+    assert got.columns == rows.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None", "None"]
+
+
+def test_lower_similarities_are_refused(frame):
+    with pytest.raises(ValueError, match="80"):
+        op.near_duplicates(frame([]), 4, 70)
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = duckdb.sql(op.SQL.replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
+    assert sorted(map(tuple, op.query(spark, folder).collect())) == sorted(rows)

@@ -13,9 +13,13 @@ Links, not pairs:
    Each batch first chains its own repeats of a key, so a key sends one row per batch to the shuffle however common it is.
 3. Each class is checked against the nearest few that it met, on full shingle sets; the links found give first components.
    A large group falls into one piece here, since its members met many random partners.
-4. What is left are pairs of one bucket in different components. All of those within the signature distance and that of a
-   long one-bit sketch, each once at its first common key, are checked on full sets too. Final components come from all
-   links.
+4. What is left are pairs of one bucket in different components. All of those within the signature distance, each once at
+   its first common key, are checked on full sets too, but for those that a bit map of their shingles proves to be no links:
+   a bit that only one of two maps has is a shingle that only one of the sets has. Nothing is left to chance there.
+5. Buckets of more than HOT_BUCKET classes, as those of unlike texts that share boilerplate, are split by a further key
+   instead of comparing all members with each other: two linked sets have a shingle in common among the rarest fifth of
+   either one, in any common order, so their classes meet there. Common shingles come last in that order, so classes that
+   share only these do not meet. Final components come from all links.
 
 Edge cases: words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is one
 shingle, a NULL, empty or blank text has none and is linked with nothing. Rows with a repeated doc_id share its component. A
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, UPPER, materialize, table
+from tickloom.llm.common import LOWER, UPPER, materialize, release, table, unused
 from tickloom.llm.components import components
 from tickloom.llm.kernels import FOLD, U64, Rolling, mix, ranges, slices, text_bytes, word_spans
 
@@ -38,8 +42,12 @@ CHUNKS = SYMBOLS // CHUNK
 assert DISTANCE < 2 * CHUNKS, "a pair within the distance must have a chunk with one error at most"
 #: The nearest classes that a class is checked against before components are formed.
 NEAREST = 8
-#: One-bit MinHashes of the sketch that narrows down what is left after that.
-SKETCH = 2048
+#: Bits of the map of a class's shingles.
+MAP_BITS = 2048
+#: Classes from which a bucket is split by a further key.
+HOT_BUCKET = 256
+#: The least similarity, in percent, that DISTANCE is made for.
+LEAST_PERCENT = 80
 BYTES_AT_ONCE = 2_000_000
 FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 OFFSETS = mix(np.arange(101, SYMBOLS + 101, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -167,31 +175,39 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, distance bigint")
 
 
-def sketch(sets: DataFrame) -> DataFrame:
-    """(id, n, bits): the size of a set and SKETCH one-bit MinHashes of it, as array<bigint>."""
+def bit_maps(sets: DataFrame) -> DataFrame:
+    """(id, n, bits): the size of a set and the map of its shingles as array<bigint>: bit h modulo MAP_BITS for each hash h."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("shingles")
             counts = np.array(lists.value_lengths(), np.int64)
             hashes = np.array(lists.flatten(), np.int64).view(U64)
-            start, some = np.cumsum(counts) - counts, counts > 0
-            words = np.zeros((len(counts), SKETCH // 64), U64)
-            for k in range(SKETCH):
-                factor = U64(pow(0x9E3779B97F4A7C15, k + 7, 1 << 64) | 1)
-                bit = mix(_sums(hashes * factor + factor, start, some, np.minimum)) & U64(1)
-                words[:, k // 64] |= bit << U64(k % 64)
-            offsets = pa.array((np.arange(len(words) + 1) * words.shape[1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64).ravel()))], ["id", "n", "bits"])
+            cells = np.zeros((len(counts), MAP_BITS), bool)
+            cells[np.repeat(np.arange(len(counts)), counts), (hashes % U64(MAP_BITS)).astype(np.int64)] = True
+            longs = np.packbits(cells, axis=1, bitorder="little").view(np.int64)
+            offsets = pa.array((np.arange(len(longs) + 1) * longs.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(longs.ravel()))], ["id", "n", "bits"])
 
     return sets.mapInArrow(run, "id bigint, n bigint, bits array<bigint>")
 
 
-def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of classes(id, component, sig) in one bucket, of different components and within DISTANCE, once each.
+def _may_link(percent: int) -> str:
+    """SQL condition on x and y (n, bits) that every link meets.
 
-    A long one-bit sketch leaves out those that are too far apart: its Hamming distance has mean SKETCH * (1 - J) / 2, and
-    the limit is 4.5 deviations above that at the least similarity, so a link is lost with a probability of 3 in a million.
+    A link has percent / (100 + percent) of both sizes in common at least; the shingles that only one has are at least as
+    many as the bits that only its map has.
+    """
+    alone = "aggregate(zip_with({0}.bits, {1}.bits, (p, q) -> bit_count(p & ~q)), 0, (s, e) -> s + e)"
+    enough = "{2} * ({0}.n - " + alone + ") >= {3} * (x.n + y.n)"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {enough.format('x', 'y', 100 + percent, percent)} and {enough.format('y', 'x', 100 + percent, percent)}"
+
+
+def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int, hot: int = HOT_BUCKET) -> DataFrame:
+    """(a, b): the pairs of classes(id, component, sig) in one bucket, of different components, that may be links.
+
+    Pairs of buckets of ``hot`` classes at most are those within DISTANCE, each once; larger buckets leave theirs to
+    ``rare_pairs``.
     """
 
     def run(batches):
@@ -209,23 +225,44 @@ def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = classes.select("id", "component", "sig").mapInArrow(run, "key bigint, spot int, id bigint, component bigint")
     # buckets of one component have nothing to offer
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(rows.join(mixed, "key", "left_semi"), "mixed_buckets")
-    ids = rows.select("id").distinct()
-    more = sketch(sets.join(ids, "id", "left_semi")).join(classes.select("id", "sig").mapInArrow(split, "id bigint, cells array<smallint>"), "id")
-    rows = materialize(rows.join(materialize(more, "sketches"), "id"), "sketched_buckets")
-    x, y = rows.alias("x"), rows.alias("y")
-    odds = (1 - percent / 100) / 2
-    limit = int(SKETCH * odds + 4.5 * (SKETCH * odds * (1 - odds)) ** 0.5)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    rows = materialize(rows.join(mixed.select("key", (F.col("members") > hot).alias("hot")), "key"), "mixed_buckets")
+    ids = materialize(rows.groupBy("id", "component").agg(F.max("hot").alias("hot"), F.min("hot").alias("only_hot")), "mixed_ids")
+    maps = materialize(bit_maps(sets.join(ids, "id", "left_semi")), "bit_maps")
+    more = maps.join(classes.select("id", "sig").mapInArrow(split, "id bigint, cells array<smallint>"), "id")
+    cool = materialize(rows.where(~F.col("hot")).drop("hot").join(more.join(ids.where("not only_hot").select("id"), "id"), "id"), "mapped_buckets")
+    x, y = cool.alias("x"), cool.alias("y")
     errors = f"transform(sequence(0, {CHUNKS - 1}), c -> size(filter(slice(wrong, c * {CHUNK} + 1, {CHUNK}), e -> e)))"
     first_key = f"""x.spot div {CHUNK} = array_position(transform(errs, e -> e <= 1), true) - 1
       and if(errs[x.spot div {CHUNK}] = 0, x.spot % {CHUNK} = 0, wrong[x.spot])"""
-    apart = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, e) -> s + e)"
-    near = F.expr(f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= {limit}
+    near = F.expr(f"""{_may_link(percent)}
       and transform(array(zip_with(x.cells, y.cells, (p, q) -> p != q)), wrong -> size(filter(wrong, e -> e)) <= {DISTANCE}
       and transform(array({errors}), errs -> {first_key})[0])[0]""")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+    pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+    split_up = rare_pairs(ids.where("hot").select("id", "component"), sets, maps, percent)
+    out = materialize(pairs.union(split_up), "cross_pairs")
+    release(rows, ids, maps, cool)
+    return out
+
+
+def rare_pairs(classes: DataFrame, sets: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes(id, component) of different components that may be links and share a rare shingle.
+
+    Of two sets with this similarity each has n - ceil(percent * n / 100) + 1 shingles, first in any order common to both,
+    of which the two have one in common. The order is by the number of classes that have a shingle; those that
+    a single class has take their places in it but need no row.
+    """
+    each = sets.join(classes, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    own = Window.partitionBy("id")
+    rows = each.join(common, "shingle").withColumns({"place": F.row_number().over(own.orderBy("classes", "shingle")), "shared": F.count("*").over(own)})
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = rows.where(F.col("place") + F.col("n") - F.col("shared") <= first).select("shingle", "id", "component")
+    rows = rows.join(maps, "id")
+    x, y = rows.alias("x"), rows.alias("y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & F.expr(_may_link(percent)))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -249,8 +286,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = HOT_BUCKET) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id and kept (doc_id is its component's smallest)."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the signature distance finds links of {LEAST_PERCENT} percent and more, not of {percent}")
     docs = docs.select("doc_id", "text")
     signed = materialize(sign(docs, words), "signatures")
     usable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -259,10 +298,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "met")
     sets = materialize(full_sets(docs, met, words), "full_sets")
     links = materialize(confirm(nearest_pairs(within_distance(pairs, classes), NEAREST), sets, percent), "first_links")
+    release(pairs)
     partial = components(links)
     left = classes.select("id", "sig").join(met, "id", "left_semi").join(partial, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = confirm(cross_pairs(left, sets, percent), sets, percent)
-    found = components(links.union(more))
+    cross = cross_pairs(left, sets, percent, hot)
+    found = components(links.union(confirm(cross, sets, percent)))
+    release(met, sets, links, partial, cross)
     names = classes.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     own = signed.select("doc_id", "n_shingles", "d1", "d2")
     out = own.join(names, ["d1", "d2", "n_shingles"], "left")
@@ -272,9 +313,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with all of its columns."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that stay: one document of each group, with all of its columns.
+
+    Of rows that share a doc_id, the one with the smallest text stays; those with a NULL doc_id all do.
+    """
+    gone, many, place = unused(docs, "gone", "many", "place")
+    found = near_duplicates(docs, words, percent).where(F.col("doc_id").isNotNull())
+    marked = found.groupBy("doc_id").agg((~F.bool_or("kept")).alias(gone), (F.count("*") > 1).alias(many)).where(F.col(gone) | F.col(many))
+    marked = materialize(marked, "marked")
+    kept = docs.join(marked, "doc_id", "left").where(~F.coalesce(gone, F.lit(False)))
+    once, again = kept.where(F.col(many).isNull()), kept.where(F.col(many))
+    if marked.where(F.col(many) & ~F.col(gone)).take(1):
+        first = again.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1)
+        once = once.unionByName(first.drop(place))
+    return once.select(docs.columns)
 
 
 def query(spark, sf_dir):
