@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tickloom.llm import suffix_dedup as op
-from tickloom.llm.kernels import U64, Rolling, mix
+from tickloom.llm.kernels import U64
 
 
 def brute(rows, length):
@@ -48,30 +49,54 @@ def test_hot_grams_take_the_other_way(frame):
     check(frame, passages(2, 60), hot_runs=2)
 
 
-def test_common_grams_are_spread(frame, monkeypatch):
-    monkeypatch.setattr(op, "LEAST_COMMON", 1)
-    rows = passages(5, 60)
-    docs = frame(rows).select("doc_id", "text")
-    assert len(op._steer(docs, 100, 32)[1])
-    check(frame, rows)
-    monkeypatch.setattr(op, "LEAST_COMMON", 10**9)
-    assert not len(op._steer(docs, 100, 32)[1])
+def test_equal_rows_of_multikey_quicksort():
+    rnd = np.random.default_rng(2)
+    for _ in range(60):
+        n, depth = int(rnd.integers(0, 200)), int(rnd.integers(1, 5))
+        table, group = rnd.integers(0, 4, (n, depth)), rnd.integers(0, 5, n)
+        size = 1 + group % depth if n else group
+        rows, found = op.multikey_groups(lambda r, d: table[r, d].astype(U64), group, size)  # noqa: B023
+        key = [(g, *table[i, : size[i]]) for i, g in enumerate(group)]
+        expected = {k: {i for i in range(n) if key[i] == k} for k in key}
+        got = {}
+        for r, g in zip(rows.tolist(), found.tolist(), strict=True):
+            got.setdefault(g, set()).add(r)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in expected.values() if len(v) > 1)
+
+
+def test_many_small_batches_and_ranges(spark, frame, monkeypatch):
+    """Settling inside batches, single starts in parts, and splitters change nothing."""
+    for name, value in (("RUNS_AT_ONCE", 50), ("STARTS_AT_ONCE", 37), ("SORTED_AT_ONCE", 500), ("ONE_IN", 1), ("BUCKET_BYTES", 100), ("MOST_RANGES", 5)):
+        monkeypatch.setattr(op, name, value)
+    rows = passages(5, 40)
     check(frame, rows)
+    check(frame, rows, hot_runs=1)
+    docs = frame(rows).select("doc_id", "text")
+    splitters, parts = op.splitters_of(op.repeated_grams(op.gram_rows(docs, 7, 100, 32)), 100)
+    assert len(splitters) > 2 and parts > 2
+
 
+@pytest.mark.parametrize(("length", "gram"), [(159, 32), (160, 32), (300, 32), (500, 32), (64, 64), (40, 8)])
+def test_other_lengths(frame, length, gram):
+    text = "".join(random.Random(9).choice("abcdefgh ") for _ in range(900))
+    rows = [*passages(6, 25), (100, text), (101, "x" + text[:600] + "y"), (102, text[100:])]
+    check(frame, rows, length=length, gram=gram)
 
-def test_half_a_fingerprint_settles_nothing(frame):
-    """Texts of one gram whose covered hashes agree in their upper or lower 32 bits are no repeats."""
-    rng, n = np.random.default_rng(7), 300_000
-    letters = rng.integers(97, 123, 5000, np.uint8)
-    place = np.arange(len(letters) - 31)
-    at = int(np.argmin(mix(Rolling(letters).raw(place, place + 32))))
-    data = np.hstack([np.tile(letters[at : at + 32], (n, 1)), rng.integers(97, 123, (n, 68), np.uint8)])
-    _, covered, row, anchor, _, _ = op.anchor_runs(data.ravel(), np.arange(n + 1) * 100, 100, 32)
-    covered, row = covered[anchor == 0], row[anchor == 0]
-    for half in (covered >> U64(32), covered & U64(0xFFFFFFFF)):
-        order = np.argsort(half, kind="stable")
-        k = int(np.flatnonzero(half[order][1:] == half[order][:-1])[0])
-        check(frame, [(i, data[row[order[k + i]]].tobytes().decode()) for i in range(2)])
+
+def test_lengths_out_of_range_are_refused(frame):
+    for length, gram in ((20, 32), (100, 7), (70_000, 32)):
+        with pytest.raises(ValueError, match="gram"):
+            op.repeats(frame([]), length=length, gram=gram)
+
+
+def test_one_hot_gram_around_unlike_bytes(frame):
+    """A phrase with the smallest hash of all texts, each with bytes of its own around it."""
+    rnd = random.Random(8)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = own(140)
+    rows = [(k, own(90) + passage + own(90)) for k in range(150)]
+    check(frame, rows, hot_runs=20)
+    check(frame, rows)
 
 
 def test_split_buffers_change_nothing(frame, monkeypatch):
@@ -79,7 +104,7 @@ def test_split_buffers_change_nothing(frame, monkeypatch):
     rows = passages(3, 10)
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     runs = op.anchor_runs(data, np.array([0, len(data)]), 100, 32)
-    assert (runs[5] - runs[4] + 1).sum() == len(data) - 99
+    assert (runs[4] - runs[3] + 1).sum() == len(data) - 99
 
 
 def test_short_strings(frame):
@@ -98,7 +123,7 @@ def test_repeated_ids(frame):
 def test_empty_table_and_cut(frame):
     assert op.repeats(frame([])).count() == 0
     text = "é" * 30 + " a passage that many documents share and that is longer than a hundred bytes in all of them, surely so. " * 2
-    rows = frame([(1, text), (2, "own start. " + text), (3, None)], _key="clash")
+    rows = frame([(1, text), (2, "own start. " + text), (3, None)], suffix_key="clash", removed_spans="clash", _spans="clash", spans=1, key="k")
     out = op.cut(rows)
     assert out.columns == [c for c in rows.columns]
     got = {r.doc_id: r.text for r in out.collect()}

@@ -1,23 +1,24 @@
 """Suffix-array dedup: remove every byte that a string of ``length`` bytes covers which also starts earlier in the corpus.
 
 Earlier means a smaller doc_id, or the same document and an earlier start; overlaps count; strings are judged on the input.
-A full suffix array of the corpus would shuffle every byte's suffix. Only suffixes that can repeat are sorted:
-
-1. Every string of ``length`` bytes has an anchor, the leftmost of its ``GRAM``-byte grams with the smallest hash. Equal strings
-   have equal anchors, so the starts of a document fall into runs that share an anchor, about one run in 35 bytes.
-2. Sampled splitters range-partition the anchors by their leading token, the 64-bit fingerprint of the gram. A bucket sorts
-   its anchors. Where the bytes that a run's strings cover are the same (by fingerprint) as those of an earlier run, the run
-   is settled. Batches settle their own repeats first, so equal runs send one row per batch however many they are. The runs
-   of a gram that the sample finds common are spread over all buckets by their covered bytes, so equal ones still meet.
-3. Runs that share a gram but not all of their bytes lie at the ends of repeated passages. Their suffixes go to the bucket of
-   their leading token with their bytes, are sorted by multikey quicksort over eight-byte words and compared with their
-   neighbours. Splitters stand between different grams, so equal suffixes never lie in two buckets.
-4. A gram with more than ``HOT_RUNS`` such runs would make a bucket too large. Its suffixes are compared across all buckets by
-   fingerprint, grouped with partial aggregation and joined back by a join that Spark can split.
-
-Texts are shuffled once, by doc_id, for steps 3 and the cutting; nothing of the corpus passes through the driver but a
-bounded sample of fingerprints for the splitters. Fingerprints have 64 bits. Runs are settled by those of their gram and of
-their covered bytes, so 64 bits tell the runs of one gram apart: of k such runs about k * k / 2 ** 65 are settled wrongly.
+A full suffix array of the corpus would shuffle every byte's suffix with its bytes. Only suffixes that can repeat are sorted:
+
+1. Every string of ``length`` bytes has an anchor, the leftmost of its ``gram``-byte grams with the smallest hash. Equal strings
+   have equal anchors, so the starts of a document fall into runs that share an anchor, about one run in 35 bytes. Runs whose
+   gram has no equal hash anywhere hold no repeat and go; hashes decide nothing else.
+2. The runs that are left get their bytes from their texts. Sampled splitters range-partition them by their leading tokens, the
+   first bytes of the gram. A bucket sorts its runs by multikey quicksort over eight-byte words. Runs that equal an earlier
+   neighbour, byte by byte, are repeats as a whole; of the others with one gram the suffixes of all starts are sorted and
+   compared with their neighbours in the same way.
+3. Equal strings have equal grams and so equal leading tokens: no splitter can stand between them, and nothing is left to compare
+   across the boundaries of buckets.
+
+Hot groups: batches sort their own runs first and send one of equal ones, so copies of a passage send one row a batch, however
+many they are. A gram with more than ``hot_runs`` runs would still make a bucket too large, where the bytes around it differ:
+the starts of its runs go on their own, each to the bucket of its own leading tokens, and are sorted there as the others are.
+
+Texts are shuffled once, by doc_id, for step 2 and the cutting; nothing of the corpus passes through the driver but a
+bounded sample of leading tokens for the splitters, which steer balance and not results.
 
 Edge cases: NULL and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that share a doc_id come in
 order of their texts; a row with a NULL doc_id takes no part and keeps its text. Extra columns are ignored by ``repeats``;
@@ -33,27 +34,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, table
+from tickloom.llm.common import materialize, release, table, unused
 from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that are packed together, and that the arrays of the anchor search cover at a time.
-BYTES_AT_ONCE, PIECE = 3_000_000, 500_000
-#: Documents and runs that are sampled for splitters, on average, bytes of text for a bucket, and the smallest number of buckets.
-SAMPLED, SAMPLED_RUNS, BUCKET_BYTES, LEAST_BUCKETS = 4000, 2_000_000, 32_000_000, 256
-#: Runs of the sample that make a gram common, if they are also half of a bucket's share of it.
-LEAST_COMMON = 8
-#: Bytes of text for a run, about.
-RUN_BYTES = 35
+#: Bytes of text that are searched for anchors together, that its arrays cover at a time, and whose runs are sorted together.
+BYTES_AT_ONCE, PIECE, SORTED_AT_ONCE = 3_000_000, 500_000, 8_000_000
+#: Runs that a task packs together, and starts of hot grams that it sends together.
+RUNS_AT_ONCE, STARTS_AT_ONCE = 1_000_000, 100_000
+#: One gram in so many is sampled for splitters, leading bytes that these look at, and the most samples that the driver gets.
+ONE_IN, LEAD, MOST_SAMPLES = 16, 16, 200_000
+#: Bytes of runs for a bucket, the least number of buckets, and ranges that they are parts of at most.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_RANGES = 8_000_000, 256, 4096
 HOT_RUNS = 20_000
 
 
+def check_lengths(length: int, gram: int) -> None:
+    if not 8 <= gram <= length < 1 << 16:
+        raise ValueError(f"needs 8 <= gram <= length < 65536, not gram {gram} and length {length}")
+
+
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(gram hash, covered bytes' hash, row, anchor, first start, last start) of each run; places are those in the row.
+    """(gram hash, row, anchor, first start, last start) of each run; places are those in the row.
 
     The buffer is worked on in pieces; a run that a piece's end splits is two runs, which changes nothing in the result.
     """
-    window, low7 = length - gram + 1, U64(127)
+    window = length - gram + 1
+    low = U64((1 << window.bit_length()) - 1)
     out = []
     for at in range(0, max(len(data) - length + 1, 0), PIECE):
         piece = data[at : at + PIECE + length - 1]
@@ -63,14 +70,14 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         # the leftmost smallest hash of each window, from the running minima of blocks to the right and to the left
         blocks = -(-len(hashes) // window)
         key = np.full(blocks * window, ~U64(0), U64)
-        key[: len(hashes)] = hashes & ~low7
+        key[: len(hashes)] = hashes & ~low
         key = key.reshape(blocks, window) | np.arange(window, dtype=U64)
         after = np.minimum.accumulate(key, axis=1).ravel()
         before = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
         start = np.arange(len(piece) - length + 1)
         one, two = before[: len(start)], after[window - 1 : window - 1 + len(start)]
-        first = (one & ~low7) <= (two & ~low7)
-        anchor = np.where(first, start // window * window + (one & low7).astype(np.int64), (start + window - 1) // window * window + (two & low7).astype(np.int64))
+        first = (one & ~low) <= (two & ~low)
+        anchor = np.where(first, start // window * window + (one & low).astype(np.int64), (start + window - 1) // window * window + (two & low).astype(np.int64))
         row = np.searchsorted(offsets, start + at, side="right") - 1
         inside = start + at + length <= offsets[row + 1]
         start, anchor, row = start[inside], anchor[inside], row[inside]
@@ -79,28 +86,39 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
         last = start[np.append(head[1:], len(start)) - 1]
         lo, a, r = start[head], anchor[head], row[head]
-        covered = rolling.hash(lo, last + length) ^ mix((a - lo).astype(U64) + U64(1))
         base = at - offsets[r]
-        out.append((hashes[a], covered, r, a + base, lo + base, last + base))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (U64, U64, *[np.int64] * 4))
+        out.append((hashes[a], r, a + base, lo + base, last + base))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (U64, *[np.int64] * 4))
 
 
-#: The columns of packed rows, stored byte plane by byte plane: gram, covered bytes, document, anchor, anchor - first start,
-#: last - first start.
-PACKED = (("gram", np.uint64), ("covered", np.uint64), ("doc", np.uint32), ("anchor", np.uint32), ("before", np.uint8), ("span", np.uint8))
-WIDE = tuple((n, np.int64 if n == "doc" else t) for n, t in PACKED)
+#: The columns of packed rows, stored byte plane by byte plane: gram, its leading bytes where it is sampled (else 0), document,
+#: anchor, anchor - first start, last - first start, and the number of runs that the row stands for, 2 for more than one.
+GRAMS = (("gram", np.uint64), ("lead1", np.uint64), ("lead2", np.uint64), ("doc", np.uint32), ("anchor", np.uint32), ("before", np.uint16), ("span", np.uint16), ("times", np.uint8))
+#: Those of runs with bytes.
+RUNS = (("gram", np.uint64), ("doc", np.uint32), ("lo", np.uint32), ("before", np.uint16), ("span", np.uint16))
+SPANS = (("doc", np.uint32), ("lo", np.uint32), ("hi", np.uint32))
 
 
-def _pack(columns: dict[str, np.ndarray], layout) -> bytes:
-    return b"".join(np.ascontiguousarray(columns[n].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T).tobytes() for n, t in layout)
+def _pack(columns: dict[str, np.ndarray], layout) -> tuple[int, bool, bytes]:
+    """(base of the documents, whether they need 64 bits, bytes)."""
+    doc = columns["doc"]
+    base = int(doc.min()) if len(doc) else 0
+    wide = len(doc) > 0 and int(doc.max()) - base >= 1 << 32
+    columns = columns | {"doc": doc if wide else doc - base}
+    types = ((n, np.int64 if wide and n == "doc" else t) for n, t in layout)
+    return base, wide, b"".join(np.ascontiguousarray(columns[n].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T).tobytes() for n, t in types)
 
 
-def _unpack(blob: bytes, rows: int, layout) -> dict[str, np.ndarray]:
+def _unpack(base: int, wide: bool, blob: bytes, rows: int, layout) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for n, t in layout:
+        t = np.int64 if wide and n == "doc" else t
         size = np.dtype(t).itemsize
         planes = np.frombuffer(blob, np.uint8, rows * size, at).reshape(size, rows)
-        out[n], at = np.ascontiguousarray(planes.T).view(t).ravel(), at + rows * size
+        own = np.ascontiguousarray(planes.T).view(t).ravel()
+        out[n], at = own if t == np.uint64 else own.astype(np.int64), at + rows * size
+    if not wide:
+        out["doc"] = out["doc"] + base
     return out
 
 
@@ -111,239 +129,324 @@ def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
-def packed_runs(docs: DataFrame, splitters: np.ndarray, common: np.ndarray, length: int, gram: int) -> DataFrame:
-    """Rows (bucket, settled, base, wide, rows, blob) of packed anchor runs; settled ones repeat an earlier run of their batch."""
+def _word(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number, the first byte highest."""
+    out = np.zeros(len(place), U64)
+    for k in range(8):
+        out |= data[place + k].astype(U64) << U64(56 - 8 * k)
+    return out
+
+
+def gram_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Rows (bucket, sure, base, wide, rows, blob) of packed anchor runs.
+
+    Runs that share their gram with another one of the batch are sure to be looked at; one row per gram tells its bucket so.
+    """
+
+    def packed(parts):
+        x = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+        order = np.argsort(x["gram"], kind="stable")
+        x = {n: v[order] for n, v in x.items()}
+        head = _first_of_equal(x["gram"])
+        many = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1] > 1
+        x["times"] = np.where(many, 2, 1)
+        out = []
+        own = {n: v[head] for n, v in x.items()}
+        cut = np.searchsorted(own["gram"], (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets).clip(0, (1 << 64) - 1).astype(U64))
+        cut[-1] = len(own["gram"])
+        parts = [(False, b, {n: v[cut[b] : cut[b + 1]] for n, v in own.items()}) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        # these go anywhere
+        sure = {n: v[many] for n, v in x.items()}
+        some = np.linspace(0, int(many.sum()), 9).astype(np.int64)
+        shift = int(x["doc"][0]) % buckets
+        parts += [(True, (shift + k) % buckets, {n: v[some[k] : some[k + 1]] for n, v in sure.items()}) for k in np.flatnonzero(np.diff(some)).tolist()]
+        for is_sure, b, own in parts:
+            base, wide, blob = _pack(own, GRAMS)
+            out.append((b, is_sure, base, wide, len(own["gram"]), blob))
+        types = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "sure", "base", "wide", "rows", "blob"])
 
     def run(batches):
+        parts, n = [], 0
         for batch in batches:
             for part in slices(batch, "text", BYTES_AT_ONCE):
-                g, c, row, a, lo, hi = anchor_runs(*text_bytes(part.column("text")), length, gram)
+                data, offsets = text_bytes(part.column("text"))
+                g, row, a, lo, hi = anchor_runs(data, offsets, length, gram)
                 if not len(g):
                     continue
-                ids = np.array(part.column("doc_id"), np.int64)
-                doc = ids[row]
-                order = np.lexsort((a, doc, c, g))
-                g, c, doc, a, lo, hi = (x[order] for x in (g, c, doc, a, lo, hi))
-                new = _first_of_equal(g, c)
-                base = int(doc.min())
-                wide = int(doc.max()) - base >= 1 << 32
-                columns = {"gram": g, "covered": c, "doc": doc if wide else doc - base, "anchor": a, "before": a - lo, "span": hi - lo}
-                out = []
-                for settled, keep in ((False, new), (True, ~new)):
-                    own = {n: x[keep] for n, x in columns.items()}
-                    bucket = np.searchsorted(splitters, own["gram"], side="right")
-                    spread = np.isin(own["gram"], common)
-                    if not settled and spread.any():
-                        bucket[spread] = (mix(own["gram"][spread] + mix(own["covered"][spread])) % U64(len(splitters) + 1)).astype(np.int64)
-                        order = np.argsort(bucket, kind="stable")
-                        bucket, own = bucket[order], {n: x[order] for n, x in own.items()}
-                    cut = np.searchsorted(bucket, np.arange(len(splitters) + 2))
-                    if settled and len(bucket):  # goes anywhere
-                        cut = np.linspace(0, len(bucket), min(8, len(splitters) + 1) + 1).astype(np.int64)
-                    shift = int(ids[0]) % (len(splitters) + 1) if settled else 0
-                    for b in np.flatnonzero(np.diff(cut)).tolist():
-                        x, y = int(cut[b]), int(cut[b + 1])
-                        blob = _pack({n: v[x:y] for n, v in own.items()}, WIDE if wide else PACKED)
-                        out.append(((b + shift) % (len(splitters) + 1), settled, base, wide, y - x, blob))
-                columns = list(zip(*out, strict=True))
-                types = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["bucket", "settled", "base", "wide", "rows", "blob"])
-
-    return docs.mapInArrow(run, "bucket int, settled boolean, base long, wide boolean, rows int, blob binary")
-
-
-def settle(packed: DataFrame, common: np.ndarray) -> DataFrame:
-    """(open, gram, doc_id, anchor, lo, hi): runs that an earlier run settles, and open ones that share a gram only.
-
-    The first of equal runs of a common gram is open in any case, as no bucket sees all that share the gram.
+                sampled = (g >> U64(24)) % U64(ONE_IN) == 0
+                lead = np.zeros((2, len(g)), U64)
+                padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
+                lead[:, sampled] = [_word(padded, (offsets[row] + a)[sampled] + k) for k in (0, 8)]
+                doc = np.array(part.column("doc_id"), np.int64)[row]
+                parts.append({"gram": g, "lead1": lead[0], "lead2": lead[1], "doc": doc, "anchor": a, "before": a - lo, "span": hi - lo})
+                n += len(g)
+                if n >= RUNS_AT_ONCE:
+                    yield packed(parts)
+                    parts, n = [], 0
+        if parts:
+            yield packed(parts)
+
+    return docs.mapInArrow(run, "bucket int, sure boolean, base long, wide boolean, rows int, blob binary")
+
+
+def repeated_grams(rows: DataFrame) -> DataFrame:
+    """(gram, lead, doc_id, anchor, lo, hi): the runs whose gram occurs in another run too, by its hash.
+
+    lead are the gram's first bytes, for one gram in ONE_IN.
     """
-    names = ["open", "gram", "doc_id", "anchor", "lo", "hi"]
 
-    def rows(x, keep, is_open):
-        doc, a = x["doc"][keep].astype(np.int64), x["anchor"][keep].astype(np.int64)
+    def emit(x, keep):
+        doc, a = x["doc"][keep], x["anchor"][keep]
         lo = a - x["before"][keep]
-        gram = pa.array(x["gram"][keep].view(np.int64)) if is_open else pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_open)), gram, pa.array(doc), *(pa.array(v.astype(np.int32)) for v in (a, lo, lo + x["span"][keep]))], names)
+        leads = np.stack([x["lead1"][keep], x["lead2"][keep]], axis=1).astype(">u8")
+        sampled = (x["gram"][keep] >> U64(24)) % U64(ONE_IN) == 0
+        lead = pa.array([leads[i].tobytes() if s else None for i, s in enumerate(sampled.tolist())], pa.binary())
+        ints = (pa.array(v.astype(np.int32)) for v in (a, lo, lo + x["span"][keep]))
+        return pa.RecordBatch.from_arrays([pa.array(x["gram"][keep].view(np.int64)), lead, pa.array(doc), *ints], ["gram", "lead", "doc_id", "anchor", "lo", "hi"])
 
     def finish(parts):
-        x = {n: np.concatenate([p[n] for p in parts]) for n, _ in PACKED}
-        order = np.lexsort((x["anchor"], x["doc"], x["covered"], x["gram"]))
+        x = {n: np.concatenate([p[n] for p in parts]) for n, _ in GRAMS}
+        order = np.argsort(x["gram"], kind="stable")
         x = {n: v[order] for n, v in x.items()}
-        new = _first_of_equal(x["gram"], x["covered"])
         group = np.cumsum(_first_of_equal(x["gram"])) - 1
-        classes = np.bincount(group, weights=new)
-        yield rows(x, ~new, False)
-        yield rows(x, new & ((classes[group] > 1) | np.isin(x["gram"], common)), True)
+        times = np.bincount(group, weights=x["times"])[group]
+        return emit(x, (times > 1) & (x["times"] == 1))
 
     def run(batches):
         bucket, parts = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                x = _unpack(r["blob"], r["rows"], WIDE if r["wide"] else PACKED)
-                if not r["wide"]:
-                    x["doc"] = x["doc"].astype(np.int64) + r["base"]
-                if r["settled"]:
-                    yield rows(x, np.ones(r["rows"], bool), False)
+                x = _unpack(r["base"], r["wide"], r["blob"], r["rows"], GRAMS)
+                if r["sure"]:
+                    yield emit(x, np.ones(r["rows"], bool))
                     continue
                 if r["bucket"] != bucket and parts:
-                    yield from finish(parts)
+                    yield finish(parts)
                     parts = []
                 bucket = r["bucket"]
                 parts.append(x)
         if parts:
-            yield from finish(parts)
+            yield finish(parts)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "open boolean, gram long, doc_id long, anchor int, lo int, hi int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, lead binary, doc_id long, anchor int, lo int, hi int")
 
 
-def multikey_groups(words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Multikey quicksort of suffixes by their words (rows by depth): group numbers of equal rows, -1 for rows without an equal.
+def multikey_groups(words, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows by their words, of all groups side by side: (rows, group numbers) of the rows that have an equal.
 
-    Partitions of one depth are split together: rows are ordered by (partition, word at that depth), and partitions of one
-    row are done. ``words`` is called with row numbers and the depth.
+    A partition is split three ways around the word of its middle row at its depth; the middle part goes on at the next
+    depth. Partitions of one row are done, and so are those whose depth has passed their ``size`` in words; rows of one
+    group and equal words have one size. ``words`` is called with row numbers and their depths.
     """
-    active = np.arange(len(group))
-    depth = 0
-    while len(active):
-        value = words(active, depth)
-        if value is None:
+    rows = np.argsort(group, kind="stable")
+    group = np.cumsum(_first_of_equal(group[rows])) - 1 if len(rows) else rows
+    depth = np.zeros(group[-1] + 1 if len(rows) else 0, np.int64)
+    done_rows, done_groups, n_done = [], [], 0
+    while len(rows):
+        many = np.bincount(group) > 1
+        over = many & (depth >= size[rows[np.flatnonzero(_first_of_equal(group))]])
+        if over.any():
+            at = over[group]
+            done_rows.append(rows[at])
+            done_groups.append(np.unique(group[at], return_inverse=True)[1] + n_done)
+            n_done += int(over.sum())
+        at = (many & ~over)[group]
+        rows, group = rows[at], group[at]
+        if not len(rows):
             break
-        order = np.lexsort((value, group))
-        active, value, group = active[order], value[order], group[order]
-        group = np.cumsum(_first_of_equal(group, value)) - 1
-        many = np.bincount(group)[group] > 1
-        active, group = active[many], group[many]
-        depth += 1
-    return active, group
-
-
-def later_starts(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int):
-    """(doc, start) of the starts whose string also starts earlier in the given rows; row i has the bytes from lo[i] to hi[i] + length."""
-    size = hi - lo + 1
-    row = np.repeat(np.arange(len(doc)), size)
-    start = ranges(lo, size)
-    place = offsets[row] + start - lo[row]
+        head = _first_of_equal(group)
+        depth, group = depth[group[head]], np.cumsum(head) - 1
+        count = np.bincount(group)
+        value = words(rows, depth[group])
+        pivot = value[np.cumsum(count) - count + count // 2][group]
+        side = (value >= pivot).astype(np.int64) + (value > pivot)
+        key = group * 3 + side
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        head = _first_of_equal(key)
+        depth, group = depth[key[head] // 3] + (key[head] % 3 == 1), np.cumsum(head) - 1
+    if not done_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(done_rows), np.concatenate(done_groups)
+
+
+def _later(rows: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of rows in groups of equal ones, all but the first of each by (document, start)."""
+    order = np.lexsort((start[rows], doc[rows], group))
+    rows, group = rows[order], group[order]
+    return rows[~_first_of_equal(group)] if len(rows) else rows
+
+
+def equal_runs(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Mask of the runs that have the bytes of an earlier one around the same gram; place is where a run's bytes begin in data."""
+    shape, size = (x["before"].astype(U64) << U64(16)) | x["span"].astype(U64), x["span"] + length
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+
+    def words(rows, depth):
+        at = np.minimum(np.maximum(depth - 1, 0) * 8, size[rows] - 8)
+        return np.where(depth == 0, shape[rows], _word(padded, place[rows] + at))
+
+    found = multikey_groups(words, x["gram"], -(-size // 8) + 1)
+    out = np.zeros(len(size), bool)
+    out[_later(*found, x["doc"], x["lo"])] = True
+    return out
+
+
+def later_starts(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the starts whose string also starts earlier in the given runs, all of one gram or different ones."""
+    size = x["span"] + 1
+    run = np.repeat(np.arange(len(size)), size)
+    start, at = ranges(x["lo"], size), ranges(place, size)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.zeros(len(data) + 1, U64)
     for k in range(8):
         eight |= padded[k : k + len(data) + 1].astype(U64) << U64(56 - 8 * k)
+    offset = (x["before"][run] - (start - x["lo"][run])).astype(U64)
 
-    def words(active, depth):
-        if depth * 8 >= length:
-            return None
-        return eight[place[active] + min(depth * 8, length - 8)]
+    def words(rows, depth):
+        # strings around one gram can be equal only where they begin as far before it
+        return np.where(depth == 0, offset[rows], eight[at[rows] + np.minimum(np.maximum(depth - 1, 0) * 8, length - 8)])
 
-    active, group = multikey_groups(words, np.unique(gram, return_inverse=True)[1][row])
-    order = np.lexsort((start[active], doc[row[active]], group))
-    active, group = active[order], group[order]
-    later = active[~_first_of_equal(group)] if len(active) else active
-    return doc[row[later]], start[later]
+    found = multikey_groups(words, x["gram"][run], np.full(len(run), -(-length // 8) + 1))
+    later = _later(*found, x["doc"][run], start)
+    return x["doc"][run[later]], start[later]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring starts: (doc, first, last)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+    """(doc, lo, hi) put together where one ends right before the next."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
     if not len(doc):
-        return doc, start, start
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
-    return doc[head], start[head], start[np.append(head[1:], len(start)) - 1]
+        return {"doc": doc, "lo": lo, "hi": hi}
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1)]))
+    return {"doc": doc[head], "lo": lo[head], "hi": hi[np.append(head[1:], len(doc)) - 1]}
+
 
+def _single_starts(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray, length: int):
+    """The starts of runs as runs of their own, some at a time, grouped by a hash of their whole strings: (runs, places)."""
+    size = x["span"] + 1
+    run, start, at = np.repeat(np.arange(len(size)), size), ranges(x["lo"], size), ranges(place, size)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for k in range(0, len(run), STARTS_AT_ONCE):
+        r, s, p = (v[k : k + STARTS_AT_ONCE] for v in (run, start, at))
+        value = np.zeros(len(r), U64)
+        for depth in range(0, length, 8):
+            value = mix(value ^ _word(padded, p + min(depth, length - 8)))
+        yield {"gram": value, "doc": x["doc"][r], "lo": s, "before": np.zeros(len(r), np.int64), "span": np.zeros(len(r), np.int64)}, p
 
-def compare_open(open_runs: DataFrame, texts: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
-    """(doc_id, lo, hi): the starts of open runs whose strings start earlier in a run of the same gram."""
-    per_doc = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs"))
 
-    def fetch(batches):
+def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int) -> DataFrame:
+    """Rows (bucket, settled, base, wide, rows, blob, bytes): runs for their buckets, and spans that repeat an earlier one of a batch.
+
+    rows(doc_id, text, runs) has the runs of each text. A bucket is one of ``parts`` of a range between two splitters.
+    """
+    buckets = (len(splitters) + 1) * parts
+    schema = ["bucket", "settled", "base", "wide", "rows", "blob", "bytes"]
+    types = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+
+    def sent(x, data, place, lead):
+        """One row for each bucket."""
+        padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
+        leads = np.ascontiguousarray(padded[lead[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
+        bucket = np.searchsorted(splitters, leads, side="right") * parts + (mix(x["gram"]) % U64(parts)).astype(np.int64)
+        order = np.lexsort((x["gram"], bucket))
+        bucket, place, x = bucket[order], place[order], {n: v[order] for n, v in x.items()}
+        size = x["span"] + length
+        whole = data[ranges(place, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
+        out = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out.append((int(bucket[a]), False, *_row({n: v[a:b] for n, v in x.items()}, RUNS), whole[ends[a] : ends[b]].tobytes()))
+        return out
+
+    def _row(x, layout):
+        base, wide, blob = _pack(x, layout)
+        return base, wide, len(x["doc"]), blob
+
+    def run(batches):
         for batch in batches:
-            bucket, grams, docs, los, his, blobs = [], [], [], [], [], []
-            for doc, text, runs in zip(*(batch.column(n) for n in ("doc_id", "text", "runs")), strict=True):
-                data = (text.as_py() or "").encode()
-                for r in runs.as_py():
-                    grams.append(r["gram"])
-                    docs.append(doc.as_py())
-                    los.append(r["lo"])
-                    his.append(r["hi"])
-                    blobs.append(data[r["lo"] : r["hi"] + length])
-            bucket = np.searchsorted(splitters, np.array(grams, np.int64).view(U64), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "gram", "doc_id", "lo", "hi", "bytes"])
+            for part in slices(batch, "text", SORTED_AT_ONCE):
+                data, offsets = text_bytes(part.column("text"))
+                lists = part.column("runs")
+                flat, row = lists.flatten(), np.repeat(np.arange(part.num_rows), np.array(lists.value_lengths(), np.int64))
+                if not len(row):
+                    continue
+                anchor, lo, hi = (np.array(flat.field(n), np.int64) for n in ("anchor", "lo", "hi"))
+                hot = np.array(flat.field("hot"))
+                x = {"gram": np.array(flat.field("gram"), np.int64).view(U64), "doc": np.array(part.column("doc_id"), np.int64)[row], "lo": lo, "before": anchor - lo, "span": hi - lo}
+                place = offsets[row] + lo
+                known = equal_runs(x, data, place, length)
+                spans = _spans(x["doc"][known], lo[known], hi[known])
+                out = []
+                if len(spans["doc"]):
+                    out.append((int(spans["doc"][0]) % buckets, True, *_row(spans, SPANS), b""))
+                keep = ~known & ~hot
+                out += sent({n: v[keep] for n, v in x.items()}, data, place[keep], (place + x["before"])[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 7, types, strict=True)], schema)
+                keep = ~known & hot
+                for own, at in _single_starts({n: v[keep] for n, v in x.items()}, data, place[keep], length):
+                    known = equal_runs(own, data, at, length)
+                    spans = _spans(own["doc"][known], own["lo"][known], own["lo"][known])
+                    out = [(int(spans["doc"][0]) % buckets, True, *_row(spans, SPANS), b"")] if known.any() else []
+                    out += sent({n: v[~known] for n, v in own.items()}, data, at[~known], at[~known])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], schema)
+
+    return rows.mapInArrow(run, "bucket int, settled boolean, base long, wide boolean, rows int, blob binary, bytes binary")
+
+
+def sort_buckets(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, hi): the starts whose strings start earlier, from the rows of ``send_runs``."""
+
+    def spans(x):
+        return pa.RecordBatch.from_arrays([pa.array(x["doc"]), *(pa.array(x[n].astype(np.int32)) for n in ("lo", "hi"))], ["doc_id", "lo", "hi"])
 
     def finish(parts):
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        gram, doc, lo, hi = (np.array(whole.column(n), np.int64) for n in ("gram", "doc_id", "lo", "hi"))
-        data, offsets = text_bytes(whole.column("bytes"))
-        found = _spans(*later_starts(doc, lo, hi, gram, data, offsets, length))
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), *(pa.array(x.astype(np.int32)) for x in found[1:])], ["doc_id", "lo", "hi"])
+        x = {n: np.concatenate([p[n] for p, _ in parts]) for n, _ in RUNS}
+        data = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
+        size = x["span"] + length
+        place = np.cumsum(size) - size
+        known = equal_runs(x, data, place, length)
+        yield spans(_spans(x["doc"][known], x["lo"][known], (x["lo"] + x["span"])[known]))
+        x, place = {n: v[~known] for n, v in x.items()}, place[~known]
+        group = np.unique(x["gram"], return_inverse=True)[1]
+        open_ = np.bincount(group, minlength=1)[group] > 1
+        doc, start = later_starts({n: v[open_] for n, v in x.items()}, data, place[open_], length)
+        yield spans(_spans(doc, start, start))
 
-    def compare(batches):
+    def run(batches):
         bucket, parts = None, []
         for batch in batches:
-            own = np.array(batch.column("bucket"))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if x == y:
+            for r in batch.to_pylist():
+                x = _unpack(r["base"], r["wide"], r["blob"], r["rows"], SPANS if r["settled"] else RUNS)
+                if r["settled"]:
+                    yield spans(x)
                     continue
-                if own[x] != bucket and parts:
+                if r["bucket"] != bucket and parts:
                     yield from finish(parts)
                     parts = []
-                bucket = own[x]
-                parts.append(batch.slice(x, y - x))
+                bucket = r["bucket"]
+                parts.append((x, r["bytes"]))
         if parts:
             yield from finish(parts)
 
-    fetched = texts.join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(fetch, "bucket int, gram long, doc_id long, lo int, hi int, bytes binary")
-    return fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "doc_id long, lo int, hi int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, lo int, hi int")
 
 
-def compare_hot(hot_runs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """As compare_open, for grams with too many runs for a bucket: strings meet by a 128-bit fingerprint.
-
-    Fingerprints are computed once for the first of each string and once for the join, as they are cheaper than a table of
-    them, and so that one shuffle of the texts serves this, compare_open and the cutting.
-    """
-    per_doc = hot_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-
-    def expand(batches):
-        for batch in batches:
-            for doc, text, runs in zip(*(batch.column(n) for n in ("doc_id", "text", "runs")), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                start = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs.as_py()]))
-                rolling = Rolling(data)
-                raw = rolling.raw(start, start + length)
-                half = rolling.raw(start, start + length // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(raw).view(np.int64)), pa.array(mix(half ^ U64(0x5DEECE66D)).view(np.int64)), pa.array([doc.as_py()] * len(start), pa.int64()), pa.array(start.astype(np.int32))], ["f1", "f2", "doc_id", "start"])
-
-    rows = texts.join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(expand, "f1 long, f2 long, doc_id long, start int")
-    first = rows.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = rows.join(first, ["f1", "f2"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return later.select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-
-
-def _steer(docs: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(splitters, common grams) from the gram fingerprints of a bounded sample of all documents.
-
-    They steer balance, not results. Splitters are quantiles of the fingerprints.
-    """
-    total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).first()
-    size, share = total["size"] or 0, min(1.0, SAMPLED / max(total["rows"], 1))
-    n = max(LEAST_BUCKETS, size // BUCKET_BYTES)
-    step = max(1, int(size * share) // RUN_BYTES // SAMPLED_RUNS)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", BYTES_AT_ONCE):
-                g = anchor_runs(*text_bytes(part.column("text")), length, gram)[0]
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array([np.sort(g)[::step].tobytes()], pa.binary())], ["g"])
-
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    sample = chosen.mapInArrow(run, "g binary").collect()
-    grams = np.sort(np.concatenate([np.frombuffer(r["g"], U64) for r in sample])) if sample else np.zeros(0, U64)
-    found, times = np.unique(grams, return_counts=True)
-    common = found[times >= max(LEAST_COMMON, len(grams) // (2 * n))]
-    if len(grams) < 2 * n:
-        return (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(U64), common
-    return np.unique(grams[(np.arange(1, n) * len(grams)) // n]), common
+def splitters_of(runs: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """(splitters, parts of each range): quantiles of the sampled leading bytes, for buckets of about BUCKET_BYTES."""
+    total = runs.agg(F.sum(F.col("hi") - F.col("lo") + length).alias("size"), F.count("lead").alias("sampled")).first()
+    n = max(LEAST_BUCKETS, (total["size"] or 0) // BUCKET_BYTES)
+    parts = -(-n // MOST_RANGES)
+    one_in = -(-total["sampled"] // MOST_SAMPLES)
+    sample = runs.where("lead is not null")
+    if one_in > 1:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", "lo"), F.lit(one_in)) == 0)
+    leads = np.sort(np.array([bytes(r["lead"]) for r in sample.select("lead").collect()], f"S{LEAD}"))
+    if not len(leads):
+        return leads, parts
+    return np.unique(leads[np.arange(1, n // parts) * len(leads) // (n // parts)]), parts
 
 
 def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -351,32 +454,32 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     docs(doc_id, text) must have distinct doc_ids that are not NULL.
     """
-    splitters, common = _steer(docs, length, gram)
-    runs = materialize(settle(packed_runs(docs, splitters, common, length, gram), common), "runs")
-    still = runs.where("open").select("gram", "doc_id", "lo", "hi")
-    hot = materialize(still.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram"), "hot_grams")
-    out = runs.where("not open").select("doc_id", "lo", "hi")
-    if hot.take(1):
-        out = out.unionByName(compare_hot(still.join(hot, "gram", "left_semi"), docs, length))
-        still = still.join(hot, "gram", "left_anti")
-    return out.unionByName(compare_open(still, docs, splitters, length))
+    check_lengths(length, gram)
+    buckets = max(LEAST_BUCKETS, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = materialize(repeated_grams(gram_rows(docs, buckets, length, gram)), "runs")
+    splitters, parts = splitters_of(runs, length)
+    hot = materialize(runs.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram", F.lit(True).alias("hot")), "hot_grams")
+    marked = runs.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "anchor", "lo", "hi", "hot")).alias("runs"))
+    rows = docs.join(per_doc, "doc_id").select("doc_id", "text", "runs")
+    return sort_buckets(send_runs(rows, splitters, parts, length), length)
 
 
-def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with a distinct ``_suffix_key`` in order of (doc_id, text), and whether that is another than the doc_id.
+def _with_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a distinct key, the column ``name``, in order of (doc_id, text); NULL where the doc_id is.
 
-    The key is NULL where the doc_id is.
+    It is the doc_id itself where no two rows share one.
     """
     if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1):
-        return docs.withColumn("_suffix_key", F.col("doc_id")), False
-    ordered = docs.orderBy("doc_id", "text").withColumn("_suffix_key", F.monotonically_increasing_id())
-    return materialize(ordered.withColumn("_suffix_key", F.when(F.col("doc_id").isNotNull(), F.col("_suffix_key"))), "keyed"), True
+        return docs.withColumn(name, F.col("doc_id"))
+    ordered = docs.orderBy("doc_id", "text").withColumn(name, F.monotonically_increasing_id())
+    return materialize(ordered.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.col(name))), "keyed")
 
 
-def _spans_by_key(usable: DataFrame, length: int, gram: int, hot_runs: int) -> DataFrame:
-    """(doc_id, spans): the removed (first start, last start) runs of the documents that have some."""
+def _spans_by_key(usable: DataFrame, length: int, gram: int, hot_runs: int, name: str) -> DataFrame:
+    """(doc_id, the removed (first start, last start) runs) of the documents that have some."""
     starts = removed_starts(usable, length, gram, hot_runs)
-    return starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    return starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
 
 
 def _cut(data: np.ndarray, spans: list | None, length: int) -> tuple[np.ndarray, int]:
@@ -392,19 +495,19 @@ def _cut(data: np.ndarray, spans: list | None, length: int) -> tuple[np.ndarray,
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256."""
-    keyed, renamed = _with_key(docs.select("doc_id", "text"))
+    keyed = _with_key(docs.select("doc_id", "text"), "key")
     # the same two columns here and in removed_starts, so that both joins read one shuffle of the texts
-    usable = keyed.where(F.col("_suffix_key").isNotNull()).select(F.col("_suffix_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = usable.join(_spans_by_key(usable, length, gram, hot_runs), "doc_id", "left")
-    if renamed:
-        rows = rows.withColumnRenamed("doc_id", "_suffix_key").join(keyed.select("_suffix_key", "doc_id"), "_suffix_key")
-    loose = keyed.where(F.col("_suffix_key").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", "_spans").unionByName(loose, allowMissingColumns=True)
+    usable = keyed.where(F.col("key").isNotNull()).select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = usable.join(_spans_by_key(usable, length, gram, hot_runs, "spans"), "doc_id", "left")
+    if keyed.where(~F.col("doc_id").eqNullSafe(F.col("key"))).take(1):
+        rows = rows.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id"), "key")
+    loose = keyed.where(F.col("key").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", "spans").unionByName(loose, allowMissingColumns=True)
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = (text.as_py() or "").encode()
                 spans = spans.as_py()
                 if spans:
@@ -417,20 +520,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: i
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """docs with the repeated passages cut out of ``text``; every row stays, and so does a NULL text."""
-    keyed, _ = _with_key(docs)
-    usable = keyed.where(F.col("_suffix_key").isNotNull()).select(F.col("_suffix_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = keyed.join(_spans_by_key(usable, length, gram, hot_runs).withColumnRenamed("doc_id", "_suffix_key"), "_suffix_key", "left")
+    key, spans_name = unused(docs, "suffix_key", "removed_spans")
+    keyed = _with_key(docs, key)
+    usable = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = keyed.join(_spans_by_key(usable, length, gram, hot_runs, spans_name).withColumnRenamed("doc_id", key), key, "left")
     names = [f.name for f in docs.schema]
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column(spans_name), strict=True):
                 value, spans = text.as_py(), spans.as_py()
                 if spans:
                     data = np.frombuffer(value.encode(), np.uint8)
@@ -442,7 +546,7 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int =
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*names, "_spans").mapInArrow(run, schema)
+    return rows.select(*names, spans_name).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir):
