@@ -54,14 +54,14 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: later steps neither recompute it nor need its lineage.
 
-    The table outlives lost executors. It stays until ``release`` or until the folder is cleaned.
+    The table outlives lost executors. It stays until ``release`` or until the folder is cleaned. ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

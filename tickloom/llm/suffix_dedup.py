@@ -15,7 +15,8 @@ A full suffix array of the corpus would shuffle every byte's suffix with its byt
 
 Hot groups: batches sort their own runs first and send one of equal ones, so copies of a passage send one row a batch, however
 many they are. A gram with more than ``hot_runs`` runs would still make a bucket too large, where the bytes around it differ:
-the starts of its runs go on their own, each to the bucket of its own leading tokens, and are sorted there as the others are.
+the starts of its runs go on their own, each to a bucket that a hash of its whole string draws, and are sorted there as the
+others are.
 
 Texts are shuffled once, by doc_id, for step 2 and the cutting; nothing of the corpus passes through the driver but a
 bounded sample of leading tokens for the splitters, which steer balance and not results.
@@ -34,21 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, release, table, unused
+from tickloom.llm.common import materialize, table, unused
 from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are searched for anchors together, that its arrays cover at a time, and whose runs are sorted together.
-BYTES_AT_ONCE, PIECE, SORTED_AT_ONCE = 3_000_000, 500_000, 8_000_000
+BYTES_AT_ONCE, PIECE, SORTED_AT_ONCE = 3_000_000, 500_000, 32_000_000
 #: Runs that a task packs together, and starts of hot grams that it sends together.
-RUNS_AT_ONCE, STARTS_AT_ONCE = 1_000_000, 100_000
+RUNS_AT_ONCE, STARTS_AT_ONCE = 500_000, 100_000
 #: One gram in so many is sampled for splitters, leading bytes that these look at, and the most samples that the driver gets.
 ONE_IN, LEAD, MOST_SAMPLES = 16, 16, 200_000
 #: Bytes of runs for a bucket, the least number of buckets, and ranges that they are parts of at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_RANGES = 8_000_000, 256, 4096
 HOT_RUNS = 20_000
-
-
 def check_lengths(length: int, gram: int) -> None:
     if not 8 <= gram <= length < 1 << 16:
         raise ValueError(f"needs 8 <= gram <= length < 65536, not gram {gram} and length {length}")
@@ -94,11 +93,20 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 #: The columns of packed rows, stored byte plane by byte plane: gram, its leading bytes where it is sampled (else 0), document,
 #: anchor, anchor - first start, last - first start, and the number of runs that the row stands for, 2 for more than one.
 GRAMS = (("gram", np.uint64), ("lead1", np.uint64), ("lead2", np.uint64), ("doc", np.uint32), ("anchor", np.uint32), ("before", np.uint16), ("span", np.uint16), ("times", np.uint8))
-#: Those of runs with bytes.
-RUNS = (("gram", np.uint64), ("doc", np.uint32), ("lo", np.uint32), ("before", np.uint16), ("span", np.uint16))
+#: Those of runs with bytes; gram tells groups apart, and if it takes two for one that costs only time.
+RUNS = (("gram", np.uint32), ("doc", np.uint32), ("lo", np.uint32), ("before", np.uint16), ("span", np.uint16))
 SPANS = (("doc", np.uint32), ("lo", np.uint32), ("hi", np.uint32))
 
 
+def _squeeze(data: bytes) -> bytes:
+    """Rows are compressed before they are shuffled, as shuffles by default have no entropy coding."""
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _unsqueeze(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd", 1).decompress(data, size, asbytes=True)
+
+
 def _pack(columns: dict[str, np.ndarray], layout) -> tuple[int, bool, bytes]:
     """(base of the documents, whether they need 64 bits, bytes)."""
     doc = columns["doc"]
@@ -106,13 +114,14 @@ def _pack(columns: dict[str, np.ndarray], layout) -> tuple[int, bool, bytes]:
     wide = len(doc) > 0 and int(doc.max()) - base >= 1 << 32
     columns = columns | {"doc": doc if wide else doc - base}
     types = ((n, np.int64 if wide and n == "doc" else t) for n, t in layout)
-    return base, wide, b"".join(np.ascontiguousarray(columns[n].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T).tobytes() for n, t in types)
+    return base, wide, _squeeze(b"".join(np.ascontiguousarray(columns[n].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T).tobytes() for n, t in types))
 
 
 def _unpack(base: int, wide: bool, blob: bytes, rows: int, layout) -> dict[str, np.ndarray]:
+    layout = [(n, np.int64 if wide and n == "doc" else t) for n, t in layout]
+    blob = _unsqueeze(blob, rows * sum(np.dtype(t).itemsize for _, t in layout))
     out, at = {}, 0
     for n, t in layout:
-        t = np.int64 if wide and n == "doc" else t
         size = np.dtype(t).itemsize
         planes = np.frombuffer(blob, np.uint8, rows * size, at).reshape(size, rows)
         own = np.ascontiguousarray(planes.T).view(t).ravel()
@@ -174,6 +183,7 @@ def gram_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFram
                 g, row, a, lo, hi = anchor_runs(data, offsets, length, gram)
                 if not len(g):
                     continue
+                g &= ~U64(0xFFFF)  # 48 bits find the grams that repeat nearly as well
                 sampled = (g >> U64(24)) % U64(ONE_IN) == 0
                 lead = np.zeros((2, len(g)), U64)
                 padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
@@ -191,19 +201,18 @@ def gram_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFram
 
 
 def repeated_grams(rows: DataFrame) -> DataFrame:
-    """(gram, lead, doc_id, anchor, lo, hi): the runs whose gram occurs in another run too, by its hash.
+    """(gram, lead, doc_id, place): the runs whose gram occurs in another run too, by its hash.
 
-    lead are the gram's first bytes, for one gram in ONE_IN.
+    lead are the gram's first bytes, for one gram in ONE_IN; place holds anchor, anchor - first start and last - first start
+    in 32, 16 and 16 bits.
     """
 
     def emit(x, keep):
-        doc, a = x["doc"][keep], x["anchor"][keep]
-        lo = a - x["before"][keep]
         leads = np.stack([x["lead1"][keep], x["lead2"][keep]], axis=1).astype(">u8")
         sampled = (x["gram"][keep] >> U64(24)) % U64(ONE_IN) == 0
         lead = pa.array([leads[i].tobytes() if s else None for i, s in enumerate(sampled.tolist())], pa.binary())
-        ints = (pa.array(v.astype(np.int32)) for v in (a, lo, lo + x["span"][keep]))
-        return pa.RecordBatch.from_arrays([pa.array(x["gram"][keep].view(np.int64)), lead, pa.array(doc), *ints], ["gram", "lead", "doc_id", "anchor", "lo", "hi"])
+        place = (x["anchor"][keep] << 32) | (x["before"][keep] << 16) | x["span"][keep]
+        return pa.RecordBatch.from_arrays([pa.array(x["gram"][keep].view(np.int64)), lead, pa.array(x["doc"][keep]), pa.array(place)], ["gram", "lead", "doc_id", "place"])
 
     def finish(parts):
         x = {n: np.concatenate([p[n] for p in parts]) for n, _ in GRAMS}
@@ -229,7 +238,7 @@ def repeated_grams(rows: DataFrame) -> DataFrame:
         if parts:
             yield finish(parts)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, lead binary, doc_id long, anchor int, lo int, hi int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, lead binary, doc_id long, place long")
 
 
 def multikey_groups(words, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,6 +332,14 @@ def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndar
     return {"doc": doc[head], "lo": lo[head], "hi": hi[np.append(head[1:], len(doc)) - 1]}
 
 
+def _mixed(padded: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    value = np.zeros(len(place), U64)
+    for depth in range(0, length, 8):
+        value = mix(value ^ _word(padded, place + min(depth, length - 8)))
+    return value
+
+
 def _single_starts(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray, length: int):
     """The starts of runs as runs of their own, some at a time, grouped by a hash of their whole strings: (runs, places)."""
     size = x["span"] + 1
@@ -330,37 +347,37 @@ def _single_starts(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     for k in range(0, len(run), STARTS_AT_ONCE):
         r, s, p = (v[k : k + STARTS_AT_ONCE] for v in (run, start, at))
-        value = np.zeros(len(r), U64)
-        for depth in range(0, length, 8):
-            value = mix(value ^ _word(padded, p + min(depth, length - 8)))
-        yield {"gram": value, "doc": x["doc"][r], "lo": s, "before": np.zeros(len(r), np.int64), "span": np.zeros(len(r), np.int64)}, p
+        yield {"gram": _mixed(padded, p, length), "doc": x["doc"][r], "lo": s, "before": np.zeros(len(r), np.int64), "span": np.zeros(len(r), np.int64)}, p
 
 
-def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int) -> DataFrame:
+def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int, gram: int) -> DataFrame:
     """Rows (bucket, settled, base, wide, rows, blob, bytes): runs for their buckets, and spans that repeat an earlier one of a batch.
 
-    rows(doc_id, text, runs) has the runs of each text. A bucket is one of ``parts`` of a range between two splitters.
+    rows(doc_id, text, runs, hot) has the places of each text's runs, those of hot grams apart. A bucket is one of ``parts`` of
+    a range between two splitters.
     """
     buckets = (len(splitters) + 1) * parts
     schema = ["bucket", "settled", "base", "wide", "rows", "blob", "bytes"]
     types = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
 
-    def sent(x, data, place, lead):
+    def sent(x, data, place, bucket):
         """One row for each bucket."""
-        padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
-        leads = np.ascontiguousarray(padded[lead[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
-        bucket = np.searchsorted(splitters, leads, side="right") * parts + (mix(x["gram"]) % U64(parts)).astype(np.int64)
         order = np.lexsort((x["gram"], bucket))
         bucket, place, x = bucket[order], place[order], {n: v[order] for n, v in x.items()}
         size = x["span"] + length
-        whole = data[ranges(place, size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
         cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
         out = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            out.append((int(bucket[a]), False, *_row({n: v[a:b] for n, v in x.items()}, RUNS), whole[ends[a] : ends[b]].tobytes()))
+            own = _squeeze(data[ranges(place[a:b], size[a:b])].tobytes())
+            out.append((int(bucket[a]), False, *_row({n: v[a:b] for n, v in x.items()}, RUNS), own))
         return out
 
+    def ranged(x, data, place):
+        """The bucket of each run, by the leading bytes of its gram."""
+        padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
+        leads = np.ascontiguousarray(padded[(place + x["before"])[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
+        return np.searchsorted(splitters, leads, side="right") * parts + (mix(x["gram"]) % U64(parts)).astype(np.int64)
+
     def _row(x, layout):
         base, wide, blob = _pack(x, layout)
         return base, wide, len(x["doc"]), blob
@@ -369,28 +386,33 @@ def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int) -
         for batch in batches:
             for part in slices(batch, "text", SORTED_AT_ONCE):
                 data, offsets = text_bytes(part.column("text"))
-                lists = part.column("runs")
-                flat, row = lists.flatten(), np.repeat(np.arange(part.num_rows), np.array(lists.value_lengths(), np.int64))
+                lists = [part.column(n) for n in ("runs", "hot")]
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.array(x.value_lengths(), np.int64)) for x in lists])
                 if not len(row):
                     continue
-                anchor, lo, hi = (np.array(flat.field(n), np.int64) for n in ("anchor", "lo", "hi"))
-                hot = np.array(flat.field("hot"))
-                x = {"gram": np.array(flat.field("gram"), np.int64).view(U64), "doc": np.array(part.column("doc_id"), np.int64)[row], "lo": lo, "before": anchor - lo, "span": hi - lo}
+                at = np.concatenate([np.array(x.flatten(), np.int64) for x in lists])
+                hot = np.arange(len(at)) >= len(lists[0].flatten())
+                before, span = (at >> 16) & 0xFFFF, at & 0xFFFF
+                lo = (at >> 32) - before
+                hi = lo + span
                 place = offsets[row] + lo
+                x = {"gram": _mixed(np.concatenate([data, np.zeros(8, np.uint8)]), place + before, gram), "doc": np.array(part.column("doc_id"), np.int64)[row], "lo": lo, "before": before, "span": span}
                 known = equal_runs(x, data, place, length)
                 spans = _spans(x["doc"][known], lo[known], hi[known])
                 out = []
                 if len(spans["doc"]):
                     out.append((int(spans["doc"][0]) % buckets, True, *_row(spans, SPANS), b""))
                 keep = ~known & ~hot
-                out += sent({n: v[keep] for n, v in x.items()}, data, place[keep], (place + x["before"])[keep])
+                own = {n: v[keep] for n, v in x.items()}
+                out += sent(own, data, place[keep], ranged(own, data, place[keep]))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 7, types, strict=True)], schema)
                 keep = ~known & hot
                 for own, at in _single_starts({n: v[keep] for n, v in x.items()}, data, place[keep], length):
                     known = equal_runs(own, data, at, length)
                     spans = _spans(own["doc"][known], own["lo"][known], own["lo"][known])
                     out = [(int(spans["doc"][0]) % buckets, True, *_row(spans, SPANS), b"")] if known.any() else []
-                    out += sent({n: v[~known] for n, v in own.items()}, data, at[~known], at[~known])
+                    own = {n: v[~known] for n, v in own.items()}
+                    out += sent(own, data, at[~known], (own["gram"] % U64(buckets)).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], schema)
 
     return rows.mapInArrow(run, "bucket int, settled boolean, base long, wide boolean, rows int, blob binary, bytes binary")
@@ -404,8 +426,8 @@ def sort_buckets(rows: DataFrame, length: int) -> DataFrame:
 
     def finish(parts):
         x = {n: np.concatenate([p[n] for p, _ in parts]) for n, _ in RUNS}
-        data = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
         size = x["span"] + length
+        data = np.frombuffer(b"".join(_unsqueeze(b, int(p["span"].sum()) + length * len(p["span"])) for p, b in parts), np.uint8)
         place = np.cumsum(size) - size
         known = equal_runs(x, data, place, length)
         yield spans(_spans(x["doc"][known], x["lo"][known], (x["lo"] + x["span"])[known]))
@@ -436,13 +458,13 @@ def sort_buckets(rows: DataFrame, length: int) -> DataFrame:
 
 def splitters_of(runs: DataFrame, length: int) -> tuple[np.ndarray, int]:
     """(splitters, parts of each range): quantiles of the sampled leading bytes, for buckets of about BUCKET_BYTES."""
-    total = runs.agg(F.sum(F.col("hi") - F.col("lo") + length).alias("size"), F.count("lead").alias("sampled")).first()
+    total = runs.agg(F.sum(F.col("place").bitwiseAND(0xFFFF) + length).alias("size"), F.count("lead").alias("sampled")).first()
     n = max(LEAST_BUCKETS, (total["size"] or 0) // BUCKET_BYTES)
     parts = -(-n // MOST_RANGES)
     one_in = -(-total["sampled"] // MOST_SAMPLES)
     sample = runs.where("lead is not null")
     if one_in > 1:
-        sample = sample.where(F.pmod(F.xxhash64("doc_id", "lo"), F.lit(one_in)) == 0)
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", "place"), F.lit(one_in)) == 0)
     leads = np.sort(np.array([bytes(r["lead"]) for r in sample.select("lead").collect()], f"S{LEAD}"))
     if not len(leads):
         return leads, parts
@@ -456,13 +478,13 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     """
     check_lengths(length, gram)
     buckets = max(LEAST_BUCKETS, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = materialize(repeated_grams(gram_rows(docs, buckets, length, gram)), "runs")
+    runs = materialize(repeated_grams(gram_rows(docs, buckets, length, gram)), "runs", compression="zstd")
     splitters, parts = splitters_of(runs, length)
     hot = materialize(runs.groupBy("gram").count().where(F.col("count") > hot_runs).select("gram", F.lit(True).alias("hot")), "hot_grams")
-    marked = runs.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "anchor", "lo", "hi", "hot")).alias("runs"))
-    rows = docs.join(per_doc, "doc_id").select("doc_id", "text", "runs")
-    return sort_buckets(send_runs(rows, splitters, parts, length), length)
+    marked = runs.join(hot, "gram", "left")
+    per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("place"))).alias("runs"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
+    rows = docs.join(per_doc, "doc_id").select("doc_id", "text", "runs", "hot")
+    return sort_buckets(send_runs(rows, splitters, parts, length, gram), length)
 
 
 def _with_key(docs: DataFrame, name: str) -> DataFrame:
