@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, toxicity.graded(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where("not toxic").select(docs.columns)
 
 

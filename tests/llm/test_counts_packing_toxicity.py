@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import public_tokenizers
 
 from tickloom.llm import packing, token_counts, toxicity
@@ -8,40 +10,77 @@ from tickloom.llm import packing, token_counts, toxicity
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def test_count_tree_equals_a_fresh_count():
+def check_tree(tree, text, split, count):
+    pieces = split(text)
+    assert "".join(tree.texts) == text and tree.tokens == sum(map(count, pieces)) and sum(tree.pretokens) == len(pieces)
+    for k in range(1, tree.base):
+        assert tree.sums[k] == tree.sums[2 * k] + tree.sums[2 * k + 1] and tree.chars[k] == tree.chars[2 * k] + tree.chars[2 * k + 1]
+
+
+def test_count_tree_equals_a_fresh_count(monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAF", 4)
     split, count = token_counts.counter(VOCABULARY, PATTERN)
     rnd, letters = random.Random(5), "ab  \n\t'st.,é中12 the"
     for _ in range(500):
         text = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 20, 200, 900])))
-        tree = token_counts.CountTree(text, split, count)
+        tree = token_counts.CountTree.of(text, split, count)
         for _ in range(4):
             at, size = rnd.randint(-2, len(text) + 2), rnd.choice([0, 0, 1, 2, 5, 50, 300])
             new = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 5, 30, 400])))
             tree.replace(at, size, new)
             at = min(max(at, 0), len(text))
             text = text[:at] + new + text[min(at + size, len(text)) :]
-            pieces = split(text)
-            assert [p for leaf in tree.leaves for p in leaf] == pieces and tree.tokens == sum(map(count, pieces))
+            assert "".join(tree.texts) == text and tree.tokens == sum(map(count, split(text))) and sum(tree.pretokens) == len(split(text))
+            tree = token_counts.CountTree.stored(tree.columns()[:4], split, count)
+        check_tree(tree, text, split, count)
 
 
 def test_edits_recount_little():
     split, count = token_counts.counter(VOCABULARY, PATTERN)
-    tree = token_counts.CountTree("some words in a row, " * 5000, split, count)
+    tree = token_counts.CountTree.of("some words in a row, " * 5000, split, count)
     tree.replace(50_000, 3, "edit")
-    assert tree.recounted < 20
+    assert tree.recounted < 4 * token_counts.LEAF
+
 
+def test_stored_trees_take_batches_of_edits(spark, frame, odd):
+    """Two batches in turn from stored tables; documents without edits encode nothing and stay as they are."""
+    from tickloom.llm.common import materialize
 
-def test_edit_tables(spark, frame, odd):
-    edits = [(4, 1, 0, 1, "O"), (4, 2, 99, 5, "!"), (5, 1, None, None, None), (1, 1, 3, 4, "new text")]
-    docs = token_counts.attach_edits(frame(odd, n_tokens="clash"), spark.createDataFrame(edits, "doc_id long, seq int, start int, length int, replacement string"))
-    got = token_counts.count_edits(docs, VOCABULARY, PATTERN).collect()
-    _, count = token_counts.counter(VOCABULARY, PATTERN)
-    split = token_counts.counter(VOCABULARY, PATTERN)[0]
+    split, count = token_counts.counter(VOCABULARY, PATTERN)
     total = lambda t: sum(map(count, split(t)))
-    assert len(got) == len(odd)
-    by = {r.doc_id: r for r in got}
-    assert by[4].n_tokens_edited == total("One!") and by[1].n_tokens_edited == total("new text") and by[1].n_tokens == 0
-    assert by[5].n_tokens_edited == by[5].n_tokens == total("word " * 20_000)
+    schema = "doc_id long, seq int, start int, length int, replacement string"
+    trees = materialize(token_counts.build_trees(frame(odd, n_tokens="clash", edits="clash"), VOCABULARY, PATTERN), "trees")
+    first = token_counts.apply_edits(trees, spark.createDataFrame([(4, 1, 0, 1, "O"), (4, 2, 99, 5, "!"), (5, 1, None, None, None), (1, 1, 3, 4, "new text"), (77, 1, 0, 0, "x"), (None, 1, 0, 0, "x")], schema), VOCABULARY, PATTERN)
+    assert "edits" in first.columns and first.columns.count("n_tokens") == 1
+    stored = materialize(first, "trees")
+    second = token_counts.apply_edits(stored, spark.createDataFrame([(4, 1, 3, 0, " more"), (6, 1, 25_000, 2, " ")], schema), VOCABULARY, PATTERN)
+    text = {k: t or "" for k, t in odd}
+    one = {r.doc_id: r for r in stored.collect()}
+    two = {r.doc_id: r for r in second.withColumn("text", token_counts.text_of()).collect()}
+    assert one[4].n_tokens == total("One!") and one[1].n_tokens == total("new text")
+    assert two[4].text == "One more!" and two[6].text == "x" * 25_000 + " " + "x" * 24_998
+    for k, r in two.items():
+        assert r.n_tokens == total(r.text) == r.node_tokens[1]
+        assert (k in (4, 6)) == (r.n_recounted > 0)
+        if k not in (1, 4, 6):
+            assert r.text == text[k] and r.leaf_texts == one[k].leaf_texts and one[k].n_recounted <= len(split(text[k]))
+    assert one[2].n_recounted == one[3].n_recounted == one[6].n_recounted == 0
+
+
+def test_query_counts_equal_fresh_ones(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    split, count = token_counts.counter(VOCABULARY, PATTERN)
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{folder}/documents.parquet'").fetchall())
+    for r in token_counts.query(spark, folder).collect():
+        t = texts[r.doc_id]
+        after = t[: len(t) // 3] + "an edit, 2 words" + t[len(t) // 3 + 12 :]
+        half = len(t) // 2
+        after = after[:half] + t[:40] + after[half:]
+        total = lambda x: sum(map(count, split(x)))
+        assert (r.n_tokens, r.n_tokens_edited, r.n_pretokens) == (total(t), total(after[5:]), len(split(t)))
+        assert r.n_recounted <= 12 * token_counts.LEAF + 64
 
 
 def test_bounds_are_optimal():
@@ -100,25 +139,77 @@ def corpus(n, seed):
 def test_toxicity_on_held_out_rows(spark, frame, odd):
     rows, labels = corpus(600, 4)
     docs = frame(rows + [(10_000 + i, t) for i, (_, t) in enumerate(odd)], toxic="clash")
-    known = spark.createDataFrame([x for x in labels if x[0] % 8 < 6] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    known = spark.createDataFrame([x for x in labels if x[0] % 8 < 6] + [(None, 1), (3, None)], "doc_id long, grade int")
     model = toxicity.fit(docs.drop("toxic"), known)
-    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == toxicity.GRADES
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 1
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     truth = {k: bool(y) for k, y in labels}
     wrong = [k for k in truth if got[k].toxic != truth[k]]
     assert len(wrong) <= 6
-    assert all(0 <= r.severity <= toxicity.GRADES for r in got.values()) and not any(got[10_000 + i].toxic for i in range(len(odd)))
+    assert all(0 <= r.severity <= 1 for r in got.values()) and not any(got[10_000 + i].toxic for i in range(len(odd)))
 
 
-def test_severity_follows_evidence(spark, frame):
-    rows, labels = corpus(400, 5)
-    model = toxicity.fit(frame(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    texts = [(k, "word1 word2 " * 10 + "rotten vilely " * k) for k in range(5)]
-    severity = [r.severity for r in sorted(toxicity.score(frame(texts), model).collect(), key=lambda r: r.doc_id)]
-    assert severity == sorted(severity) and severity[4] > severity[0] + 1
+def test_severity_follows_grades(spark, frame):
+    """Three grades by how many vile words a text has; one weight vector and ordered thresholds give their order back."""
+    rnd, rows, grades = random.Random(7), [], []
+    for k in range(500):
+        n = rnd.choice([0, 0, 0, 2, 8])
+        text = [f"word{rnd.randint(0, 200)}" for _ in range(80)] + ["rotten", "vilely"] * n
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text)))
+        grades.append((k, {0: 0, 2: 1, 8: 2}[n]))
+    model = toxicity.fit(frame(rows[:400]), spark.createDataFrame(grades[:400], "doc_id long, grade int"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    severity = {r.doc_id: r.severity for r in toxicity.score(frame(rows[400:]), model).collect()}
+    by = [[severity[k] for k, g in grades[400:] if g == grade] for grade in range(3)]
+    assert max(by[0]) < 0.5 < min(by[1]) and max(by[1]) < 1.5 < min(by[2])
+
+
+def test_both_signs_and_graded_flags(spark, frame):
+    rows, labels = corpus(600, 6)
+    rows = [(k, t if y else t + " gentle kindly" * 3) for (k, t), (_, y) in zip(rows, labels, strict=True)]
+    model = toxicity.fit(frame(rows), spark.createDataFrame(labels, "doc_id long, grade int"))
+    assert (model.weights > 0).any() and (model.weights < 0).any()
+    flags = [(1, 0, 1), (2, 1, 1), (3, None, 1), (4, 0, 0), (5, 1, None)]
+    got = toxicity.graded(spark.createDataFrame(flags, "doc_id long, quality int, toxic int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 1), (3, 1), (4, 0)]
+
+
+def test_likelihood_and_gradient_by_brute_force():
+    rnd = np.random.default_rng(1)
+    n, n_features = 40, 5
+    dense = rnd.integers(0, 3, (n, n_features))
+    row, feature = np.nonzero(dense)
+    x, grade = np.log1p(dense[row, feature]), rnd.integers(0, 4, n)
+    p = rnd.normal(0, 0.5, n_features + 3)
+
+    def plain(p):
+        theta = [p[n_features], p[n_features] + np.exp(p[n_features + 1]), p[n_features] + np.exp(p[n_features + 1]) + np.exp(p[n_features + 2])]
+        total = 0.0
+        for i in range(n):
+            s = sum(p[k] * math.log1p(dense[i, k]) for k in range(n_features))
+            above = [1.0, *(1 / (1 + math.exp(t - s)) for t in theta), 0.0]
+            total += math.log(above[grade[i]] - above[grade[i] + 1])
+        return total / n
+
+    value, gradient = toxicity.likelihood(p, row, feature, x, grade, n_features)
+    assert abs(value - plain(p)) < 1e-12
+    for k in range(len(p)):
+        step = np.zeros(len(p))
+        step[k] = 1e-5
+        assert abs((plain(p + step) - plain(p - step)) / 2e-5 - gradient[k]) < 1e-8
+
+
+def test_repeated_rows_do_not_pass_the_bound(spark, frame, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 40)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda row, feature, count, grade, n: (seen.append(len(grade)), (np.zeros(n), np.zeros(1)))[1])
+    rows, labels = corpus(60, 4)
+    toxicity.fit(frame(rows * 5), spark.createDataFrame(labels, "doc_id long, grade int"))
+    assert seen == [40]
 
 
 def test_toxicity_without_labels(spark, frame):
-    model = toxicity.fit(frame([(1, "a b")]), spark.createDataFrame([], "doc_id long, toxic int"))
+    model = toxicity.fit(frame([(1, "a b")]), spark.createDataFrame([], "doc_id long, grade int"))
     assert [r.severity for r in toxicity.score(frame([(1, "a b")]), model).collect()] == [0.0]
     assert toxicity.score(frame([]), model).count() == 0

@@ -79,26 +79,73 @@ def test_chat_of_a_long_conversation(spark):
     assert got.last == pairs * (user + assistant) - size - len(chat_format.END)
 
 
-def test_fingerprints_of_edits(spark, frame):
+def near(spark, *texts):
+    """Likeness of the first text to each of the others, and the first's changed sections and paragraphs against them."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", fingerprints.fingerprint(F.col("t")).alias("f"))
+    one = df.where("k = 0").select(F.col("f").alias("a"))
+    rows = df.where("k > 0").crossJoin(one).orderBy("k")
+    a, b = F.col("a"), F.col("f")
+    return rows.select((a == b).alias("equal"), fingerprints.likeness(a, b).alias("near"), fingerprints.changed_sections(a, b).alias("sections"), F.size(fingerprints.changed_paragraphs(a, b)).alias("paragraphs")).collect()
+
+
+def test_fingerprints_of_edits(spark):
     text = "\n".join(" ".join(f"w{i}_{j}" for j in range(20)) for i in range(30)).replace("\nw15", "\n\nw15")
-    edited = text.replace("w20_3 ", "changed ")
-    df = spark.createDataFrame([(text, text, edited)], "a string, same string, b string")
-    a, s, b = (fingerprints.fingerprint(F.col(c)) for c in ("a", "same", "b"))
-    row = df.select((a == s).alias("equal"), (a == b).alias("differ"), fingerprints.likeness(a, b).alias("near"), fingerprints.changed_sections(a, b).alias("sections"), F.size(fingerprints.changed_paragraphs(a, b)).alias("paragraphs")).first()
-    assert row.equal and not row.differ and 0.9 < row.near < 1 and row.sections == [1] and row.paragraphs == 1
+    same, changed, front, joined = near(spark, text, text, text.replace("w20_3 ", "changed "), "A new first section.\n\n" + text, text.replace("\n\n", "\n"))
+    assert same.equal and same.near == 1 and same.sections == [] and same.paragraphs == 0
+    assert not changed.equal and 0.9 < changed.near < 1 and changed.sections == [1] and changed.paragraphs == 1
+    assert front.near > 0.95 and front.sections == [] and front.paragraphs == 0
+    assert not joined.equal and joined.near == 1.0 and joined.sections == [0, 1] and joined.paragraphs == 0
+
+
+def test_one_word_in_front_leaves_blocks_as_they_were(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    front, other, half = near(spark, text, "new " + text, " ".join(f"other{i}" for i in range(400)), text[: len(text) // 2] + " ".join(f"x{i}" for i in range(200)))
+    assert front.near > 0.95 and other.near == 0 and 0.3 < half.near < 0.7
+    (unspaced,) = near(spark, "".join(chr(0x4E00 + i * 7 % 5000) for i in range(600)), "".join(chr(0x4E00 + i * 7 % 5000) for i in range(300)) + "x" * 300)
+    assert 0.3 < unspaced.near < 0.8
+
+
+def test_blank_paragraphs_have_no_leaves(spark):
+    df = spark.createDataFrame([("\t",), ("",), (" \x0b \n\t",), (None,), ("\x1f",)], "t string")
+    got = [r.n for r in df.coalesce(1).select(F.size(fingerprints.printed(F.col("t"))["leaves"]).alias("n")).collect()]
+    assert got == [0, 0, 0, 0, 1]
+
+
+def merkle(text):
+    """(root, leaves) in plain Python but for the leaves' hash function, for texts without long words."""
+    parts = re.split(r"\n(?:[\x20\t\r]*\n)+", text)
+    sections = "".join(sha("".join(sha(line) for line in part.split("\n"))) for part in parts)
+    return sha(sections + "/" + "|".join(m.group(0) for m in re.finditer(r"\n(?:[\x20\t\r]*\n)+", text)))
+
+
+def test_query_columns_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.query(spark, folder).collect()}
+    read = lambda f: {x for part in f.split("|")[1:] for p in part.split("=")[1].split(",") if ":" in p for x in p.split(":")[1].split(".")}
+    dice = lambda f, g: 1.0 if f[:64] == g[:64] else 2 * len(read(f) & read(g)) / max(len(read(f)) + len(read(g)), 1)
+    for i, (k, text) in enumerate(docs):
+        below = docs[(i + 1) % len(docs)]
+        half = len(text) // 2
+        new = text[: len(text) - half] + below[1][:half]
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (len(text), sha(new))
+        assert r.fingerprint[:64] == merkle(text) and r.edited_fingerprint[:64] == merkle(new)
+        assert abs(r.near_edited - dice(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - dice(r.fingerprint, got[below[0]].fingerprint)) < 1e-12
 
 
 def test_next_document_and_edit(frame, odd):
     rows = [(k, t) for k, t in odd if k != 4] + [(4, "one"), (1 << 40, "far away"), (-5, "neg ative")]
-    got = {r.doc_id: r for r in fingerprints.with_next(frame(rows)).collect()}
+    got = {r.doc_id: r for r in fingerprints.with_next(frame(rows, next_text="clash", half=1)).collect()}
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
     for i, (k, t) in enumerate(order):
-        assert got[k].next_text == (order[(i + 1) % len(order)][1] or "")
+        assert got[k].next_text == (order[(i + 1) % len(order)][1] or "")[: len(t or "") // 2]
     assert got[None].next_text is None and len(got) == len(rows)
     assert fingerprints.with_next(frame([])).count() == 0
-    assert fingerprints.with_next(frame([(9, "sole text")])).first().next_text == "sole text"
-    repeated = fingerprints.with_next(frame([(1, "b"), (1, "a"), (2, "c")]))
-    assert sorted((r.doc_id, r.text, r.next_text) for r in repeated.collect()) == [(1, "a", "b"), (1, "b", "c"), (2, "c", "a")]
+    assert fingerprints.with_next(frame([(9, "sole text")])).first().next_text == "sole"
+    repeated = fingerprints.with_next(frame([(1, "bbbb"), (1, "aaaa"), (2, "cccc")]))
+    assert sorted((r.doc_id, r.text, r.next_text) for r in repeated.collect()) == [(1, "aaaa", "cc"), (1, "bbbb", "cc"), (2, "cccc", "aa")]
 
 
 def counts(text):
@@ -114,9 +161,10 @@ def counts(text):
 def test_quality_counts(frame, odd):
     texts = [t for _, t in odd] + ["a b c a b c", "a a a a", "é# \x0b x\n\nx\nx \n x", "a b c d a b c\x1cd", "x y\r\nx y\r\n"]
     rows = list(enumerate(texts))
-    got = {r.doc_id: r for r in quality_rules.base_features(frame(rows, n_words="clash")).collect()}
+    got = {r.doc_id: r for r in quality_rules.base_features(frame(rows, n_words="clash", stats="mine", _stats="mine")).collect()}
     for k, t in rows:
         assert tuple(got[k][c] for c in quality_rules.BASE) == counts(t), repr(t)[:60]
+        assert got[k].stats == got[k]._stats == "mine"
 
 
 def test_quality_rules_are_learned(spark, frame):
@@ -135,3 +183,46 @@ def test_covering_keeps_precise_rules_only():
     rnd = np.random.default_rng(0)
     noise = {"x": rnd.random(600)}
     assert quality_rules.learn(noise, rnd.random(600) < 0.2, rnd.random(600) < 0.33) == []
+
+
+def test_rules_must_be_precise_on_rows_kept_back():
+    """A threshold that separates the growing rows but not those kept back gives no rule, nor does one without such rows."""
+    x, bad = np.concatenate([np.zeros(200), np.ones(60)]), np.arange(260) >= 200
+    prune = np.arange(260) % 3 == 0
+    assert len(quality_rules.learn({"x": x}, bad, prune)) == 1
+    spoilt = x.copy()
+    spoilt[np.flatnonzero(prune & ~bad)[:10]] = 1
+    assert quality_rules.learn({"x": spoilt}, bad, prune) == []
+    assert quality_rules.learn({"x": x}, bad, np.zeros(260, bool)) == []
+
+
+def test_repeated_rows_do_not_pass_the_bound(spark, frame, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MAX_LABELLED", 10)
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda x, bad, prune: seen.append(len(bad)) or [])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    quality_rules.fit(frame([(k, f"text {k}") for k in range(40)] * 6), labels)
+    assert seen == [10]
+
+
+def test_query_rows_by_hand(spark):
+    """Every column of the query against plain Python, the verdict by walking the fitted list."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def rejected(t):
+        n, chars, symbols, dup, rep = counts(t)
+        t, per = t or "", max(n, 1)
+        import regex
+
+        f = {"symbols": symbols / per, "word_length": chars / per, "repeats": rep / per, "dup_lines": dup / per, "words": float(n)}
+        f |= {k: len(regex.findall(p, t)) / per for k, p in (("capitals", r"\p{Lu}"), ("stops", "[.?]"), ("bangs", "!"), ("bars", "[|]"), ("digits", "[0-9]"))}
+        return any(all((f[c.feature] >= c.value) == c.above for c in rule) for rule in rules)
+
+    for r in quality_rules.query(spark, folder).collect():
+        n, *_, rep = own = counts(texts[r.doc_id])
+        failed = n < 50 or 100 * rep > 50 * n
+        assert tuple(r[c] for c in quality_rules.BASE) == own and r.base_failed == failed
+        assert r.kept == (not failed and not rejected(texts[r.doc_id]))

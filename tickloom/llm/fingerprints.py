@@ -1,18 +1,21 @@
 """Document fingerprints: a Merkle tree over blocks, paragraphs and sections of a text.
 
-Paragraphs are the lines of a text; runs of blank lines part sections. A paragraph's leaves are blocks of eight words from its
-start, so an edit inside a paragraph leaves the blocks before it and every other paragraph as they were. A node's hash covers
-its children's hashes; the root is the SHA-256 of the sections' hashes. The fingerprint writes the tree out:
+Paragraphs are the lines of a text; runs of blank lines part sections. A paragraph's leaves are blocks of words that end where the
+hash of two neighbouring words says so, six words on average, so an edit changes the blocks it touches and leaves those before
+and behind it as they were. Words are cut after 24 characters, for texts without blanks. A node's hash covers its children's
+whole hashes: paragraphs are hashed by SHA-256, sections over their paragraphs' digests, the root over the sections' digests and
+the breaks between them. The fingerprint writes the tree out:
 
     root|section=paragraph:leaf.leaf,paragraph:leaf|section=...
 
-with 64 hex digits for the root, 16 for sections and paragraphs and 8 for leaves. Equal texts have equal fingerprints; the
-branches in which two fingerprints differ locate an edit. The likeness of two fingerprints is the Dice coefficient of their
-distinct leaves, 1 for equal roots.
+with all 64 hex digits for the root, the first 16 for sections and paragraphs and 8 for leaves. Equal texts have equal
+fingerprints; the branches in which two fingerprints differ locate an edit. The likeness of two fingerprints is the Dice
+coefficient of their distinct leaves, 1 for equal roots.
 
 Edge cases: a NULL text counts as empty; an empty text has a root, one empty section and no leaves, and is like nothing but
-itself; paragraphs of white space only have no leaves. In ``with_next`` a document with a NULL doc_id has no next one, a sole
-document follows itself, and rows that share a doc_id follow each other in order of their texts. Extra columns are ignored.
+itself; paragraphs of white space only have no leaves. A document with a NULL doc_id has no next one; a sole document follows
+itself; rows that share a doc_id have the same next one, and are the next one by the row with the smallest beginning. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,54 +23,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import let, materialize, table
+from tickloom.llm.common import let, materialize, release, table
 
-BLOCK_WORDS = 8
+#: One pair of neighbouring words in so many ends a block; characters of a word.
+BLOCK_WORDS, WORD = 6, 24
+BREAKS = r"\n(?:[\x20\t\r]*\n)+"
 
 
 def _leaves(paragraph: Column) -> Column:
-    """Block hashes of a paragraph, as integers."""
+    """Block hashes of a paragraph, as integers. A block takes the last word before it along, so it has two words or more where
+    its paragraph does."""
 
     def blocks(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w), F.lit(BLOCK_WORDS)), lambda i: F.hash(F.slice(w, i, BLOCK_WORDS)))
+        n = F.size(w)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(BLOCK_WORDS)) == 0))
 
-    return F.when(F.trim(paragraph) == "", F.array().cast("array<int>")).otherwise(let(F.split(paragraph, " "), blocks))
+        def cut(e: Column) -> Column:
+            first = lambda k: F.greatest(F.coalesce(F.get(e, k - 1), F.lit(1)), F.lit(1))
+            return F.transform(e, lambda end, k: F.hash(F.slice(w, first(k), end - first(k) + 1)))
+
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(let(ends, cut))
+
+    return let(F.regexp_extract_all(paragraph, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{WORD}}}"), F.lit(0)), blocks)
 
 
 def _digits(leaf: Column) -> Column:
     return F.lpad(F.lower(F.hex(leaf.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
 
+def _digest(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, "").cast("binary"), 256)
+
+
 def tree(text: Column) -> Column:
-    """The Merkle tree: array of sections, each an array of paragraphs (hash, leaves)."""
-    sections = F.split(F.coalesce(text, F.lit("")), r"\n(?:[\x20\t\r]*\n)+")
+    """The Merkle tree below the root: array of sections (hash, paragraphs (hash, leaves)); hashes in 64 hex digits."""
+    sections = F.split(F.coalesce(text, F.lit("")), BREAKS)
 
     def paragraph(line: Column) -> Column:
-        return F.struct(F.substring(F.sha2(line.cast("binary"), 256), 1, 16).alias("hash"), _leaves(line).alias("leaves"))
+        return F.struct(F.sha2(line.cast("binary"), 256).alias("hash"), _leaves(line).alias("leaves"))
 
-    return F.transform(sections, lambda s: F.transform(F.split(s, "\n"), paragraph))
+    def section(ps: Column) -> Column:
+        return F.struct(_digest(F.transform(ps, lambda p: p["hash"])).alias("hash"), ps.alias("paragraphs"))
 
+    return F.transform(sections, lambda s: let(F.transform(F.split(s, "\n"), paragraph), section))
 
-def _write(sections: Column, text: Column) -> Column:
-    """The written form of a tree. The root also covers the exact breaks between sections, which the tree leaves out."""
 
-    def section(ps: Column) -> Column:
-        digest = F.substring(F.sha2(F.array_join(F.transform(ps, lambda p: p["hash"]), "").cast("binary"), 256), 1, 16)
-        return F.concat(digest, F.lit("="), F.array_join(F.transform(ps, lambda p: F.concat_ws(":", p["hash"], F.when(F.size(p["leaves"]) > 0, F.array_join(F.transform(p["leaves"], _digits), ".")))), ","))
+def _root(sections: Column, text: Column) -> Column:
+    """The root's hash. It also covers the exact breaks between sections, which the tree leaves out."""
+    breaks = F.array_join(F.regexp_extract_all(text, F.lit(BREAKS), F.lit(0)), "|")
+    return F.sha2(F.concat_ws("/", F.array_join(F.transform(sections, lambda s: s["hash"]), ""), breaks).cast("binary"), 256)
+
 
-    def root(written: Column) -> Column:
-        breaks = F.array_join(F.regexp_extract_all(text, F.lit(r"\n(?:[\x20\t\r]*\n)+"), F.lit(0)), "|")
-        hashes = F.array_join(F.transform(written, lambda s: F.substring(s, 1, 16)), "")
-        return F.concat_ws("|", F.sha2(F.concat_ws("/", hashes, breaks).cast("binary"), 256), F.array_join(written, "|"))
+def _written(sections: Column) -> Column:
+    short = lambda node: F.substring(node["hash"], 1, 16)
+    paragraph = lambda p: F.concat_ws(":", short(p), F.when(F.size(p["leaves"]) > 0, F.array_join(F.transform(p["leaves"], _digits), ".")))
+    return F.array_join(F.transform(sections, lambda s: F.concat(short(s), F.lit("="), F.array_join(F.transform(s["paragraphs"], paragraph), ","))), "|")
 
-    return let(F.transform(sections, section), root)
+
+def _own_leaves(sections: Column) -> Column:
+    return F.array_distinct(F.flatten(F.flatten(F.transform(sections, lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"])))))
 
 
 def printed(text: Column) -> Column:
     """struct(print, leaves): the fingerprint of a text and its distinct leaf hashes."""
     text = F.coalesce(text, F.lit(""))
-    own = lambda t: F.array_distinct(F.flatten(F.flatten(F.transform(t, lambda s: F.transform(s, lambda p: p["leaves"])))))
-    return let(tree(text), lambda t: F.struct(_write(t, text).alias("print"), own(t).alias("leaves")))
+    return let(tree(text), lambda t: F.struct(F.concat_ws("|", _root(t, text), _written(t)).alias("print"), _own_leaves(t).alias("leaves")))
+
+
+def rooted(text: Column) -> Column:
+    """struct(root, leaves): what ``likeness`` needs of a text's fingerprint."""
+    text = F.coalesce(text, F.lit(""))
+    return let(tree(text), lambda t: F.struct(_root(t, text).alias("root"), _own_leaves(t).alias("leaves")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -82,17 +108,16 @@ def leaves(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, leaves_a: Column | None = None, leaves_b: Column | None = None) -> Column:
-    """0 to 1: the Dice coefficient of two fingerprints' leaves, 1 for equal roots."""
+    """0 to 1: the Dice coefficient of two fingerprints' leaves, 1 for equal roots; roots alone serve where leaves are given."""
     la, lb = leaves(a) if leaves_a is None else leaves_a, leaves(b) if leaves_b is None else leaves_b
     both, total = F.size(F.array_intersect(la, lb)), F.size(la) + F.size(lb)
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * both / total)
 
 
 def changed_sections(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the sections of ``a`` that are not at that place in ``b``."""
-    sa, sb = (F.slice(F.split(x, "[|]"), 2, 1 << 30) for x in (a, b))
-    differs = F.transform(sa, lambda s, i: F.when(~F.coalesce(F.substring(s, 1, 16) == F.substring(F.get(sb, i), 1, 16), F.lit(False)), i))
-    return F.filter(differs, lambda x: x.isNotNull())
+    """Numbers, from 0, of the sections of ``a`` that ``b`` has nowhere."""
+    sa, sb = (F.transform(F.slice(F.split(x, "[|]"), 2, 1 << 30), lambda s: F.substring(s, 1, 16)) for x in (a, b))
+    return F.filter(F.transform(sa, lambda s, i: F.when(~F.array_contains(sb, s), i)), lambda x: x.isNotNull())
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
@@ -101,7 +126,7 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.array_except(each(a), each(b))
 
 
-#: Documents are put in order by runs of 2^RUN_BITS doc_ids; so many at most share a task's window.
+#: Ids are put in order by runs of 2^RUN_BITS; so many at most share a window.
 RUN_BITS = 12
 #: Bits of a key that each level of ``lower_keys`` leaves to one group.
 SHIFTS = (16, 32, 64)
@@ -130,22 +155,36 @@ def lower_keys(keys: DataFrame) -> DataFrame:
     return above.crossJoin(F.broadcast(first)).select("key", F.coalesce("prev", "first").alias("lower"))
 
 
+def next_ids(ids: DataFrame) -> DataFrame:
+    """ids(doc_id, ...) of distinct doc_ids with next_id: the next smaller one, and the largest behind the smallest."""
+    rows = ids.withColumn("run", F.shiftright("doc_id", RUN_BITS))
+    tops = materialize(rows.groupBy(F.col("run").alias("key")).agg(F.max("doc_id").alias("top")), "run_tops")
+    order = lower_keys(tops).join(tops.select(F.col("key").alias("lower"), "top"), "lower").select(F.col("key").alias("run"), "top")
+    rows = rows.withColumn("below", F.lag("doc_id").over(Window.partitionBy("run").orderBy("doc_id")))
+    out = materialize(rows.join(order, "run").withColumn("next_id", F.coalesce("below", "top")).drop("run", "below", "top"), "next_ids")
+    release(tops)
+    return out
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document with the text of the next in descending order of (doc_id, text).
+    """(doc_id, text, next_text, next_own): each document with the beginning of the next one in descending order of doc_id, half
+    as long as its own text, and that one's ``rooted`` fingerprint.
 
-    Texts are shuffled once, by runs of doc_ids; the first document of each run is also sent, as a guest, to the run that it
-    follows, and that of the last run to the first.
+    The order is found on ids alone. Texts are shuffled once by doc_id; what a document gives to the one before it goes to that
+    one's doc_id, so a task holds single texts at a time, however long its neighbours are.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known, run = texts.where(F.col("doc_id").isNotNull()), F.shiftright("doc_id", RUN_BITS)
-    tops = materialize(known.groupBy(run.alias("key")).agg(F.max("doc_id").alias("top")), "run_tops")
-    order = lower_keys(tops).join(tops.select(F.col("key").alias("lower"), "top"), "lower")
-    guests = order.select(F.col("top").alias("doc_id"), F.col("key").alias("run"), (F.col("lower") >= F.col("key")).alias("wraps"))
-    own = known.select("doc_id", "text", run.alias("run"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
-    sent = known.join(guests, "doc_id").select("doc_id", "text", "run", "wraps", F.lit(True).alias("guest"))
-    line = Window.partitionBy("run").orderBy("wraps", F.desc("doc_id"), "text")
-    rows = own.unionByName(sent).withColumn("next_text", F.lead("text").over(line)).where(~F.col("guest"))
-    return rows.select("doc_id", "text", "next_text").unionByName(texts.where(F.col("doc_id").isNull()).withColumn("next_text", F.lit(None).cast("string")))
+    known = texts.where(F.col("doc_id").isNotNull())
+    half = F.floor(F.length("text") / 2).cast("int")
+    ids = materialize(known.groupBy("doc_id").agg(F.max(half).alias("half"), F.count("*").alias("rows")), "ids")
+    order = next_ids(ids)
+    given = known.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), "half"), "doc_id")
+    given = given.select("to_id", F.substring("text", F.lit(1), F.col("half")).alias("next_text"), rooted(F.col("text")).alias("next_own"))
+    if order.where("rows > 1").take(1):
+        given = given.groupBy("to_id").agg(F.min(F.struct("next_text", "next_own")).alias("x")).select("to_id", "x.*")
+    release(ids)
+    rows = known.join(given.withColumnRenamed("to_id", "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", "text", "next_text", "next_own").unionByName(texts.where(F.col("doc_id").isNull()), allowMissingColumns=True)
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -157,9 +196,9 @@ def edited(text: Column, next_text: Column) -> Column:
 def query(spark, sf_dir):
     rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumns({"own": printed(F.col("text")), "new": printed(F.col("edited")), "next": printed(F.col("next_text"))})
-    a, b, c = (F.col(x)["print"] for x in ("own", "new", "next"))
-    la, lb, lc = (F.col(x)["leaves"] for x in ("own", "new", "next"))
+    rows = rows.withColumns({"own": printed(F.col("text")), "new": printed(F.col("edited"))})
+    a, b, c = F.col("own")["print"], F.col("new")["print"], F.col("next_own")["root"]
+    la, lb, lc = F.col("own")["leaves"], F.col("new")["leaves"], F.col("next_own")["leaves"]
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -167,5 +206,5 @@ def query(spark, sf_dir):
         a.alias("fingerprint"),
         b.alias("edited_fingerprint"),
         likeness(a, b, la, lb).alias("near_edited"),
-        F.when(F.col("next_text").isNull(), 0.0).otherwise(likeness(a, c, la, lc)).alias("near_next"),
+        F.when(F.col("next_own").isNull(), 0.0).otherwise(likeness(a, c, la, lc)).alias("near_next"),
     )

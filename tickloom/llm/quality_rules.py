@@ -1,7 +1,7 @@
 """Quality rules: a learned decision list over text statistics, applied as an ordered Spark conditional expression.
 
 Sequential covering grows a conjunction of thresholds on two thirds of the labelled rows, prunes it on the last third and
-keeps it if it stays precise there; rows that it covers leave, and the next rule is grown. The list ends up as nested
+keeps it if it is precise there, on rows that did not shape it; rows that it covers leave, and the next rule is grown. The list ends up as nested
 CASE WHEN branches, so scoring is one scan without a shuffle, and every verdict can be explained by one rule.
 
 Edge cases: a NULL or empty text has no words and fails the base rule; without labels the list is empty and only the base
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import let, table, words
+from tickloom.llm.common import let, table, unused, words
 
 #: Labelled rows that a fit uses at most; they are those with the smallest hashes of doc_id.
 MAX_LABELLED = 20_000
@@ -28,11 +28,11 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeated(w: Column) -> Column:
-    """Words that lie in a 3-word window whose words occur as a window twice or more, the first time included."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
-    )
+    """Words that lie in a 3-word window whose words occur as a window twice or more, the first time included.
+
+    Windows are put in order of their hashes only where some hash occurs twice.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def starts(s: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
@@ -42,7 +42,11 @@ def _repeated(w: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(let(F.sort_array(windows), starts), covered)).cast("long")
+    def count(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(ordered, starts), covered))
+
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, count)).cast("long")
 
 
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,8 +62,9 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    out = df.withColumns({"_stats": stats, "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"), "n_dup_lines": dup_lines.cast("long")})
-    return out.withColumns({c: F.col("_stats")[c] for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_stats")
+    (name,) = unused(df, "stats")
+    out = df.withColumns({name: stats, "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"), "n_dup_lines": dup_lines.cast("long")})
+    return out.withColumns({c: F.col(name)[c] for c in ("n_words", "word_chars", "n_repeat_words")}).drop(name)
 
 
 def ratios(text_col: str = "text") -> dict[str, Column]:
@@ -115,10 +120,11 @@ def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.nda
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_rules: int = 12, max_tests: int = 4, precision: float = 0.98, least: int = 4) -> list[list[Test]]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_rules: int = 12, max_tests: int = 4, precision: float = 0.98, least: int = 4, least_pruning: int = 2) -> list[list[Test]]:
     """Sequential covering: rules for the bad rows. ``prune`` marks the rows kept back for pruning.
 
-    A rule is kept if it covers ``least`` bad rows among those it was grown on and is ``precision`` pure over all rows.
+    A rule is kept if it covers ``least`` bad rows among those it was grown on, and ``least_pruning`` among those kept back,
+    where ``precision`` of the rows that it covers must be bad.
     """
     rules: list[list[Test]] = []
     if not len(bad):
@@ -143,7 +149,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_rule
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
         hit = _holds(rule, x, len(bad)) & left
-        if not rule or (hit & bad & ~prune).sum() < least or (hit & bad).sum() < precision * hit.sum():
+        held = (hit & bad & prune).sum()
+        if not rule or (hit & bad & ~prune).sum() < least or held < least_pruning or held < precision * (hit & prune).sum():
             break
         rules.append(rule)
         left &= ~hit
@@ -156,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> list[list
     known = known.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = base_features(docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id"))
     features = ratios()
-    got = rows.select("doc_id", "bad", *(v.alias(k) for k, v in features.items())).collect()
-    got.sort(key=lambda r: (r["doc_id"], *(r[k] for k in features)))
+    # one row a document, the same whatever the order, so that repeated rows do not pass the bound
+    own = F.min(F.struct("bad", *(v.alias(k) for k, v in features.items())))
+    got = sorted(rows.groupBy("doc_id").agg(own.alias("x")).select("doc_id", "x.*").collect(), key=lambda r: r["doc_id"])
     x = {k: np.array([r[k] for r in got], float) for k in features}
     prune = np.array([r["doc_id"] * 2654435761 % 2**32 % 3 == 0 for r in got], bool)
     return learn(x, np.array([r["bad"] for r in got], bool), prune)

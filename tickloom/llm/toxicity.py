@@ -4,14 +4,17 @@ The model is logit P(grade >= k) = w . x - theta_k with increasing thresholds th
 expected severity is the sum of P(grade >= k) over k. Features are lower-cased words and their beginnings of 4 to 7 bytes, so
 that inflected forms share evidence, with the logarithm of one plus their count.
 
-Labels say only whether a document is toxic. Grades follow from them: 0 for the others, and 1 to 3 for toxic ones by thirds
-of the number of tell-tale words in them. Fitting uses at most MAX_LABELLED labelled rows, those with the
-smallest hashes of doc_id, and at most MAX_FEATURES features; both are fixed bounds, and so is the model that is shipped to
-the tasks. Scoring is one pass over whole texts without a shuffle.
-
-Edge cases: NULL and empty texts have no features and get the severity of the intercept alone; without labels of both kinds
-the model is empty, every severity is 0 and nothing is toxic; repeated rows are scored one by one; extra columns pass
-through, those named like an output are replaced.
+Grades are labels: ``fit`` takes whole numbers from 0 on, as many as there are. Where labels hold flags only, ``graded`` makes
+three of them: 0, 1 for toxic documents, and 2 for toxic ones that are also of low quality, the least wanted of all.
+
+Fitting uses at most MAX_LABELLED labelled documents, those with the smallest hashes of doc_id; this bound is fixed, so what
+is fitted on the driver is bounded too. Features are screened by a test of independence from toxicity, of either sign
+(LEAST_Z deviations), and weighted under an L1 penalty that leaves out those that add nothing. Scoring is one pass over whole
+texts without a shuffle.
+
+Edge cases: NULL and empty texts have no features and get the severity of the thresholds alone; without labels of two grades
+the model is empty, every severity is 0 and nothing is toxic; repeated rows are scored one by one, and one row of a
+repeated doc_id, the same whatever the order, is fitted; extra columns pass through, those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import table
 from tickloom.llm.kernels import FOLD, U64, Rolling, slices, text_bytes
 
-MAX_LABELLED, MAX_FEATURES, GRADES = 20_000, 4096, 3
+MAX_LABELLED = 20_000
 PREFIXES = (4, 5, 6, 7)
-#: A feature is taken if it is in so many toxic documents and that many times likelier in toxic ones.
-LEAST_TOXIC, LEAST_LIFT = 4, 20.0
-#: p_toxic from which a document counts as toxic. On held-out labels a cut below one half misses less at no more false alarms.
+#: Deviations from independence that a feature's count among toxic documents must show, upwards or downwards.
+LEAST_Z = 4.5
+#: p_toxic from which a document counts as toxic; chosen on a part of the labels apart from those that figures are given for.
 TOXIC_FROM = 0.3
+#: Weight of the L1 penalty, in units of the log-likelihood of all rows.
+PENALTY = 0.1
 BYTES_AT_ONCE = 2_000_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -83,51 +88,64 @@ class OrdinalModel:
 
     def exceed(self, row: np.ndarray, feature: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         """P(grade >= k) for each row and k = 1, 2, ..."""
-        if not len(self.thresholds):
+        if not len(self.thresholds):  # an empty model
             return np.zeros((n, 1))
         score = np.bincount(row, weights=self.weights[feature] * np.log1p(count), minlength=n)
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(row, feature, count, grade: np.ndarray, n_features: int, steps: int = 800, rate: float = 0.05, penalty: float = 1e-4):
-    """Maximum likelihood of the cumulative-link model by Adam over all rows: (weights, thresholds).
+def likelihood(p: np.ndarray, row, feature, x, grade: np.ndarray, n_features: int) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the grades and its gradient by p: weights, the first threshold, logarithms of the gaps between them.
 
-    Thresholds are the first one plus positive gaps, so they stay in order.
+    x are the values of the sparse features, so thresholds are the first one plus positive gaps and stay in order.
     """
-    n, top = len(grade), GRADES
-    x = np.log1p(count)
+    n, index = len(grade), np.arange(len(grade))
+    gaps = np.exp(p[n_features + 1 :])
+    theta = p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(row, weights=p[feature] * x, minlength=n)
+    above = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -40, 40)))
+    edges = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    prob = np.maximum(edges[index, grade] - edges[index, grade + 1], 1e-12)
+    slope = edges * (1 - edges)
+    d_score = (slope[index, grade] - slope[index, grade + 1]) / prob
+    d_theta = np.zeros((n, len(theta) + 2))
+    d_theta[index, grade] -= slope[index, grade] / prob
+    d_theta[index, grade + 1] += slope[index, grade + 1] / prob
+    d_theta = d_theta[:, 1:-1].sum(0)
+    d_weights = np.bincount(feature, weights=d_score[row] * x, minlength=n_features)
+    d_gaps = d_theta[::-1].cumsum()[::-1][1:] * gaps
+    return float(np.log(prob).mean()), np.concatenate([d_weights, [d_theta.sum()], d_gaps]) / n
+
+
+def fit_ordinal(row, feature, count, grade: np.ndarray, n_features: int, steps: int = 600, rate: float = 0.05, penalty: float = PENALTY):
+    """Weights and thresholds of the largest likelihood less the L1 penalty, by proximal Adam steps over all rows."""
+    x, top = np.log1p(count), int(grade.max())
     at_least = np.stack([(grade >= k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.log((1 - at_least) / at_least)
     p = np.concatenate([np.zeros(n_features), [theta[0]], np.log(np.maximum(np.diff(theta), 0.1))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    index = np.arange(n)
     for step in range(1, steps + 1):
-        w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
-        th = p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(row, weights=w[feature] * x, minlength=n)
-        above = 1 / (1 + np.exp(np.clip(th[None, :] - score[:, None], -40, 40)))
-        edges = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
-        prob = np.maximum(edges[index, grade] - edges[index, grade + 1], 1e-9)
-        slope = edges * (1 - edges)
-        d_score = (slope[index, grade] - slope[index, grade + 1]) / prob
-        d_th = np.zeros((n, top + 2))
-        d_th[index, grade] -= slope[index, grade] / prob
-        d_th[index, grade + 1] += slope[index, grade + 1] / prob
-        d_th = d_th[:, 1:-1].sum(0)
-        grad_w = np.bincount(feature, weights=d_score[row] * x, minlength=n_features) / n - penalty * w
-        grad_gaps = d_th[::-1].cumsum()[::-1][1:] * gaps / n
-        grad = np.concatenate([grad_w, [d_th.sum() / n], grad_gaps])
+        _, grad = likelihood(p, row, feature, x, grade, n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        p = p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p = p + pace * m / (1 - 0.9**step)
+        w, shrink = p[:n_features], pace[:n_features] * penalty / len(grade)
+        p[:n_features] = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
 EMPTY = OrdinalModel(np.zeros(0, U64), np.zeros(0), np.zeros(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    """Fit on labels(doc_id, toxic 0/1) of docs(doc_id, text)."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) from flags(doc_id, quality, toxic): 0, 1 if toxic, 2 if toxic and of low quality."""
+    low = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))
+    return labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1 + low).otherwise(0).alias("grade"))
+
+
+def fit(docs: DataFrame, grades: DataFrame) -> OrdinalModel:
+    """Fit on grades(doc_id, grade 0, 1, ...) of docs(doc_id, text); the highest grade of a doc_id holds."""
+    known = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
@@ -136,18 +154,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
             for part in slices(batch, "text", BYTES_AT_ONCE):
                 key, row, _ = features(*text_bytes(part.column("text")))
                 key, row = (x[0] for x in np.split(np.unique(np.stack([key, row.astype(U64)]), axis=1), 2)) if len(key) else (key, row)
-                toxic = np.array(part.column("toxic").to_pylist(), bool)
+                toxic = np.array(part.column("grade").to_pylist(), np.int64) > 0
                 found, place = np.unique(key, return_inverse=True)
                 n1 = np.bincount(place, weights=toxic[row.astype(np.int64)], minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n1), pa.array(np.bincount(place, minlength=len(found)) - n1)], ["key", "n1", "n0"])
-
-    totals = known.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    toxic, clean = int(totals["t"] or 0), int(totals["n"]) - int(totals["t"] or 0)
-    if not toxic or not clean:
-        return EMPTY
-    counted = rows.mapInArrow(document_counts, "key bigint, n1 bigint, n0 bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    lift = (F.col("n1") / toxic) / ((F.col("n0") + 0.5) / clean)
-    chosen = counted.where((F.col("n1") >= LEAST_TOXIC) & (lift >= LEAST_LIFT)).orderBy(F.desc("n1"), "n0", "key").limit(MAX_FEATURES)
+                n = np.bincount(place, minlength=len(found))
+                # the row without a key counts documents
+                arrays = pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n1, toxic.sum())), pa.array(np.append(n, part.num_rows))
+                yield pa.RecordBatch.from_arrays([*arrays], ["key", "n1", "n"])
+
+    counted = rows.mapInArrow(document_counts, "key bigint, n1 bigint, n bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    total = counted.where("key is null").select(F.col("n1").alias("toxic"), F.col("n").alias("docs"))
+    share = F.col("toxic") / F.col("docs")
+    z = (F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    chosen = counted.where("key is not null").crossJoin(F.broadcast(total.where("0 < n1 and n1 < n"))).where(F.abs(z) >= LEAST_Z)
     keys = np.sort(np.array([r["key"] for r in chosen.select("key").collect()], np.int64).view(U64))
     if not len(keys):
         return EMPTY
@@ -156,21 +175,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     def sparse(batches):
         for batch in batches:
             for part in slices(batch, "text", BYTES_AT_ONCE):
-                row, feature, count, words = picker.counts(*text_bytes(part.column("text")))
+                row, feature, count, _ = picker.counts(*text_bytes(part.column("text")))
                 cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (feature, count)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists, pa.array(words)], ["doc_id", "toxic", "feature", "count", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), *lists], ["doc_id", "grade", "feature", "count"])
 
-    got = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sparse, "doc_id bigint, toxic int, feature array<int>, count array<int>, words bigint").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    got = rows.select("doc_id", "text", "grade").mapInArrow(sparse, "doc_id bigint, grade int, feature array<int>, count array<int>")
+    # one row a document, so that repeated rows do not pass the bound
+    got = got.groupBy("doc_id").agg(F.min(F.struct("grade", "feature", "count")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     sizes = np.array(got["feature"].combine_chunks().value_lengths())
     feature, count = (np.array(got[c].combine_chunks().flatten()) for c in ("feature", "count"))
-    row, is_toxic = np.repeat(np.arange(len(sizes)), sizes), np.array(got["toxic"]) > 0
-    evidence = np.bincount(row, weights=np.log1p(count), minlength=len(sizes))
-    parts = np.quantile(evidence[is_toxic], np.arange(1, GRADES) / GRADES)
-    grade = np.where(is_toxic, 1 + np.searchsorted(parts, evidence, side="right"), 0)
-    weights, thresholds = fit_ordinal(row, feature, count, grade, len(keys))
-    return OrdinalModel(keys, weights, thresholds)
+    weights, thresholds = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), feature, count, np.array(got["grade"], np.int64), len(keys))
+    used = weights != 0
+    return OrdinalModel(keys[used], weights[used], thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -192,4 +209,4 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", toxic_fr
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return score(docs, fit(docs, graded(table(spark, sf_dir, "labels")))).drop("text")
