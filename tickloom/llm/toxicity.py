@@ -36,7 +36,7 @@ LEAST_Z = 4.5
 #: p_toxic from which a document counts as toxic; chosen on a part of the labels apart from those that figures are given for.
 TOXIC_FROM = 0.3
 #: Weight of the L1 penalty, in units of the log-likelihood of all rows.
-PENALTY = 0.1
+PENALTY = 1.0
 BYTES_AT_ONCE = 2_000_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
