@@ -140,3 +140,40 @@ def test_limiter_walks_a_key_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_a_failing_write_keeps_the_old_document(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    payloads.write_cache(spark.createDataFrame([("x", 1)], "a string, b int"), path, 5.0, "now")
+    bad = spark.createDataFrame([("y", 2)], "a string, b int").withColumn("a", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        payloads.write_cache(bad, path, 6.0, "later")
+    schema = "struct<a:string,b:int>"
+    assert payloads.read_cache(spark, path, schema).first().data.a == "x"
+    payloads.write_cache(spark.createDataFrame([("z", 3)], "a string, b int"), path, 7.0, "later")
+    assert payloads.read_cache(spark, path, schema).first().data.a == "z"
+    assert [p.name for p in tmp_path.iterdir()] == ["doc"]
+
+
+def test_a_failing_feed_leaves_the_others(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rss><channel><item><title>t</title><link>u</link></item></channel></rss>")
+    frames, failures = payloads.read_feeds(spark, {"a": str(tmp_path / "a.xml"), "b": str(tmp_path / "none.xml")})
+    assert [r.title for r in payloads.union_feeds(frames).collect()] == ["t"] and list(failures) == ["b"]
+
+
+def test_forced_and_gated_serving(spark):
+    rows = [("k", 1, 90.0, 60.0, "cached", None, None, False), ("k", 2, 95.0, 60.0, "rows", 3, 4, False), ("k", 3, 99.0, 60.0, "computed", None, None, True), ("m", 2, 95.0, 60.0, "rows", 3, 4, False), ("m", 9, 0.0, None, "default", None, None, False)]
+    df = spark.createDataFrame(rows, "cache_key string, priority int, ts double, ttl double, value string, n_rows int, least_rows int, computed boolean")
+    pick = lambda force: {r.cache_key: r.value for r in serving.serve(df, 100.0, force).collect()}
+    assert pick(False) == {"k": "cached", "m": "default"} and pick(True) == {"k": "computed", "m": "default"}
+    assert sorted(r.cache_key for r in serving.cache_keys(df.select("cache_key")).collect()) == ["k", "m"]
+
+
+def test_recently_stored(news):
+    got = feeds.recently_stored(news, "2024-01-01 08:00:00", hours=2, cap=3, column="published_at").collect()
+    assert [r.id for r in got] == [11, 10, 9]
+
+
+def test_bars_of_a_frame(spark):
+    frame = spark.createDataFrame([("2024-01-02", 1.23456, 2.0, 0.5, 1.5, float("nan")), ("2024-01-03", 1.0, 2.0, 0.5, 1.5, 7.9), ("2024-01-04", 1.0, 2.0, 0.5, 1.5, None)], "Date string, Open double, High double, Low double, Close double, Volume double")
+    assert [(r.open_price, r.volume) for r in payloads.bars_from_frame(frame, 4).orderBy("date").collect()] == [(1.2346, 0), (1.0, 7), (1.0, 0)]

@@ -131,3 +131,40 @@ def test_indicators(spark, bars):
     assert indicators.macd(df).count() == 30 and indicators.support_resistance(df, 5).orderBy(F.desc("date")).first().support == 26.0
     assert abs(indicators.trend(df).first().slope - 1) < 1e-9
     assert spark.range(1).select(pct_change(F.lit(1.0), F.lit(0.0))).first()[0] == 0.0
+
+
+def test_repeated_dates_make_one_bar(bars):
+    """Rows of one new date count one after another; applying them one by one gives the same."""
+    base = upserts.seed_bars(bars(("2025-01-02", 10.0, 20.0, 9.0, 15.0, 5)))
+    rows = [("2025-01-02", 11.0, 21.0, 0.0, 16.0, 1), ("2025-01-02", 0.0, 19.0, 8.0, 17.0, 2), ("2025-01-03", 5.0, 6.0, 4.0, 5.5, 3), ("2025-01-03", 0.0, 7.0, 0.0, 6.5, 4)]
+    new = upserts.seed_bars(bars(*rows))
+    got = sorted(map(tuple, upserts.merge_bars(base, new, order=["volume"]).collect()))
+    one_by_one = base
+    for row in rows[:4]:
+        one_by_one = upserts.merge_bars(one_by_one, upserts.seed_bars(bars(row)))
+    assert got == sorted(map(tuple, one_by_one.collect())) and len(got) == 2
+
+
+def test_quotes_leave_open_and_change(bars):
+    base = upserts.seed_bars(bars(("2025-01-02", 10.0, 20.0, 9.0, 15.0, 5)))
+    row = upserts.merge_quotes(base, upserts.seed_bars(bars(("2025-01-02", 50.0, 60.0, 8.0, 40.0, 5)))).first()
+    assert (row.open_price, row.high_price, row.low_price, row.close_price, row.change_percent) == (10.0, 60.0, 8.0, 40.0, 50.0)
+
+
+def test_upsert_without_an_order_and_with_null_keys(spark):
+    base = spark.createDataFrame([("a", "old"), (None, "old")], "name string, rating string")
+    new = spark.createDataFrame([("a", "new", None), (None, "new", 1), ("b", "x", None), ("b", "y", None)], "name string, rating string, seq int")
+    got = {r.name: r.rating for r in upserts.upsert_by_key(base, new, ["name"], {}).collect()}
+    assert got == {"a": "new", None: "new", "b": "y"}
+
+
+def test_insert_counts(spark):
+    base, new = (spark.createDataFrame([(k,) for k in ks], "k string") for ks in (["a", None], ["a", "b", "b", None, "c"]))
+    assert tuple(upserts.insert_counts(base, new, ["k"]).first()) == (2, 3)
+    assert tuple(upserts.insert_counts(base, new.limit(0), ["k"]).first()) == (0, 0)
+
+
+def test_overlay_carries_either_quote(spark):
+    pairs = spark.createDataFrame([("2025-01-02", 10.0, 100.0)], "d string, gold_price double, dollar_index double").selectExpr("cast(d as date) as date", "gold_price", "dollar_index")
+    pick = lambda **q: [(str(r.date), r.gold_price, r.dollar_index) for r in prices.overlay_aligned(pairs, "2025-01-03", **q).orderBy("date").collect()][1:]
+    assert pick(dollar=101.0) == [("2025-01-03", 10.0, 101.0)] and pick(gold=11.0) == [("2025-01-03", 11.0, 100.0)] and pick() == []

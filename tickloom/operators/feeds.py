@@ -43,6 +43,12 @@ def recent(news: DataFrame, as_of: str, hours: int = 24, column: str = "publishe
     return news.where(F.col(column).between(end - F.make_dt_interval(hours=F.lit(hours)), end))
 
 
+def recently_stored(news: DataFrame, as_of: str, hours: int = 24, cap: int = 20, column: str = "created_at") -> DataFrame:
+    """The newest rows stored since so many hours before ``as_of``, open at the upper end, ``cap`` at most."""
+    since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))
+    return newest(news.where(F.col(column) >= since), column, cap)
+
+
 def sentiment_counts(news: DataFrame) -> DataFrame:
     """One row with the number of items of each sentiment, 0 where there are none."""
     return news.agg(*(F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS))

@@ -195,10 +195,14 @@ def overlay_daily(daily: DataFrame, as_of: str, price: float, end: str | None =
     return daily.where(F.col("date") != as_of).unionByName(quote)
 
 
-def overlay_aligned(pairs: DataFrame, as_of: str, gold: float, dollar: float | None = None) -> DataFrame:
-    """An aligned series with a day's quotes; a missing dollar quote carries the last value forward."""
-    last = pairs.agg(F.max_by("dollar_index", "date").alias("last"), F.count("*").alias("n")).where("n > 0")
-    quote = last.select(F.lit(as_of).cast("date").alias("date"), F.lit(gold).cast("double").alias("gold_price"), F.coalesce(F.lit(dollar).cast("double"), "last").alias("dollar_index"))
+def overlay_aligned(pairs: DataFrame, as_of: str, gold: float | None = None, dollar: float | None = None) -> DataFrame:
+    """An aligned series with a day's quotes; a missing quote of either carries its last value forward, and without both
+    nothing changes."""
+    if gold is None and dollar is None:
+        return pairs
+    last = pairs.agg(F.max_by("gold_price", "date").alias("last_gold"), F.max_by("dollar_index", "date").alias("last_dollar"), F.count("*").alias("n")).where("n > 0")
+    value = lambda given, carried: F.coalesce(F.lit(given).cast("double"), carried)
+    quote = last.select(F.lit(as_of).cast("date").alias("date"), value(gold, "last_gold").alias("gold_price"), value(dollar, "last_dollar").alias("dollar_index"))
     return pairs.where(F.col("date") != F.lit(as_of).cast("date")).unionByName(quote)
 
 

@@ -25,13 +25,24 @@ def invalidate(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return entries.where(F.lit(False)) if keys is None else entries.where(~F.col("cache_key").isin(keys))
 
 
-def serve(candidates: DataFrame, as_of: float) -> DataFrame:
+def cache_keys(entries: DataFrame) -> DataFrame:
+    """The keys that have an entry."""
+    return entries.select("cache_key").distinct()
+
+
+def serve(candidates: DataFrame, as_of: float, force: bool = False) -> DataFrame:
     """Per key the candidate of the lowest priority that is fresh.
 
     candidates(cache_key, priority, ts, ttl, value): a NULL ttl never goes stale, as that of a default document; the newest
-    wins among equals, then the smallest value.
+    wins among equals, then the smallest value. Columns n_rows and least_rows, where there are both, gate a candidate that
+    is made of stored rows: with fewer than least_rows it does not count. A column ``computed`` marks results of a fresh
+    computation: with ``force`` those come first, whatever their priority; without it they wait for their turn.
     """
     good = F.col("ttl").isNull() | (F.lit(float(as_of)) - F.col("ts") < F.col("ttl"))
+    if {"n_rows", "least_rows"} <= set(candidates.columns):
+        good &= F.col("least_rows").isNull() | (F.coalesce("n_rows", F.lit(0)) >= F.col("least_rows"))
+    if force and "computed" in candidates.columns:
+        candidates = candidates.withColumn("priority", F.when(F.col("computed"), F.lit(-(2**31)).cast(candidates.schema["priority"].dataType)).otherwise(F.col("priority")))
     order = Window.partitionBy("cache_key").orderBy("priority", F.desc("ts"), "value")
     return candidates.where(good & F.col("value").isNotNull()).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 

@@ -98,6 +98,7 @@ QUERIES = {
     "high_impact_count": _factors(op.high_impact),
     "factor_numbered": _factors(lambda f: f.select("id", op.numbered(F.slice("details", 1, 20)).alias("lines"))),
     "factor_upsert": _factors(factor_upsert),
+    "news_recently_stored": _news(lambda n: op.recently_stored(n, AS_OF, 240, column="published_at").select("id", "title")),
     "institution_counts": _inst(op.rating_counts),
     "institution_names": _inst(op.names_by_rating),
     "institution_logo": _inst(lambda i: i.select("id", first_keyword(F.col("logo"), LOGOS, "BANK").alias("mark"))),
@@ -140,6 +141,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, wo
     "factor_keyword_id": f"{_F} SELECT id, {_FIRST('title', KEYWORDS)} ELSE 'other' END AS factor_id FROM factors",
     "high_impact_count": f"{_F} SELECT type, count(*) FILTER (WHERE impact = 'high') AS high, count(*) AS total FROM factors GROUP BY type",
     "factor_numbered": f"{_F} SELECT id, array_to_string(list_transform(details, lambda x, i: i || '. ' || x), chr(10)) AS lines FROM factors",
+    "news_recently_stored": f"WITH {NEWS_SQL} SELECT id, title FROM news WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR ORDER BY published_at DESC, id LIMIT 20",
     "factor_upsert": f"""{_F}, a AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description, id) AS description, arg_max(impact, id) AS impact FROM factors WHERE id % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description, id) AS description, arg_max(CASE WHEN id % 5 <> 0 THEN impact ELSE 'medium' END, id) AS impact FROM factors WHERE id % 2 = 1 OR id % 3 = 0 GROUP BY 1, 2)
 SELECT coalesce(a.type, b.type) AS type, coalesce(a.title, b.title) AS title, coalesce(b.subtitle, a.subtitle) AS subtitle, coalesce(b.description, a.description) AS description,

@@ -47,6 +47,21 @@ def bar_upsert(bars):
     return up.merge_bars(*_halves(bars))
 
 
+def bar_upsert_repeated(bars):
+    """As bar_upsert, with a second row of each incoming date that comes first and has an open of its own."""
+    base, new = _halves(bars)
+    first = new.withColumns({"open_price": F.col("open_price") + 1, "low_price": F.col("low_price") - 1, "close_price": F.lit(1.0)})
+    return up.merge_bars(base, first.withColumn("seq", F.lit(1)).unionByName(new.withColumn("seq", F.lit(2))), order=["seq"])
+
+
+def quote_upsert(bars):
+    return up.merge_quotes(*_halves(bars))
+
+
+def bar_insert_counts(bars):
+    return up.insert_counts(*_halves(bars), ["date"])
+
+
 def bar_insert(bars):
     base, new = _halves(bars)
     return up.insert_if_absent(base, new, ["date"])
@@ -88,6 +103,9 @@ QUERIES = {
     "overlay_aligned": _both(lambda a, b: op.overlay_aligned(op.align(a, b), AS_OF, QUOTE)),
     "quote_or_history": _gold(quote_or_history),
     "bar_upsert": _gold(bar_upsert),
+    "bar_upsert_repeated": _gold(bar_upsert_repeated),
+    "quote_upsert": _gold(quote_upsert),
+    "bar_insert_counts": _gold(bar_insert_counts),
     "bar_insert_if_absent": _gold(bar_insert),
     "dollar_synth_upsert": lambda spark, sf_dir: dollar_upsert(dollar_bars(spark, sf_dir)),
     "sma_bollinger": _gold(lambda b: _round(ind.bollinger(b), 0, "sma", "upper", "lower")),
@@ -175,6 +193,22 @@ UNION ALL SELECT DATE '{AS_OF}', {QUOTE}, (SELECT dollar_index FROM pairs ORDER
   coalesce(i.close_price, b.close_price) AS close_price, CASE WHEN b.date IS NULL THEN 0 ELSE b.volume END AS volume,
   CASE WHEN i.date IS NULL THEN b.change_percent ELSE i.change_percent END AS change_percent
 FROM base b FULL JOIN inc i ON b.date = i.date""",
+    "bar_upsert_repeated": f"""{_G}{_HALVES} SELECT coalesce(b.date, i.date) AS date,
+  CASE WHEN i.date IS NULL THEN b.open_price WHEN i.open_price <> 0 THEN i.open_price WHEN i.open_price + 1 <> 0 THEN i.open_price + 1 ELSE b.open_price END AS open_price,
+  greatest(b.high_price, CASE WHEN b.date IS NULL THEN i.high_price ELSE nullif(i.high_price, 0) END) AS high_price,
+  least(CASE WHEN i.date IS NULL THEN b.low_price ELSE nullif(b.low_price, 0) END, least(nullif(i.low_price - 1, 0), nullif(i.low_price, 0))) AS low_price,
+  CASE WHEN i.date IS NULL THEN b.close_price ELSE i.close_price END AS close_price, coalesce(b.volume, 0) AS volume,
+  CASE WHEN i.date IS NULL THEN b.change_percent ELSE i.change_percent END AS change_percent
+  FROM base b FULL JOIN inc i ON b.date = i.date""",
+    "quote_upsert": f"""{_G}{_HALVES} SELECT coalesce(b.date, i.date) AS date,
+  CASE WHEN b.date IS NULL THEN nullif(i.open_price, 0) ELSE b.open_price END AS open_price,
+  greatest(b.high_price, CASE WHEN b.date IS NULL THEN i.high_price ELSE nullif(i.high_price, 0) END) AS high_price,
+  least(CASE WHEN i.date IS NULL THEN b.low_price ELSE nullif(b.low_price, 0) END, CASE WHEN b.date IS NULL THEN i.low_price ELSE nullif(i.low_price, 0) END) AS low_price,
+  CASE WHEN i.date IS NULL THEN b.close_price ELSE i.close_price END AS close_price, coalesce(b.volume, 0) AS volume,
+  CASE WHEN b.date IS NULL THEN i.change_percent ELSE b.change_percent END AS change_percent
+  FROM base b FULL JOIN inc i ON b.date = i.date""",
+    "bar_insert_counts": f"""{_G}{_HALVES} SELECT count(*) FILTER (WHERE date NOT IN (SELECT date FROM base)) AS inserted,
+  count(*) FILTER (WHERE date IN (SELECT date FROM base)) AS skipped FROM inc""",
     "bar_insert_if_absent": f"{_G}{_HALVES} SELECT * FROM base UNION ALL SELECT * FROM inc WHERE date NOT IN (SELECT date FROM base)",
     "dollar_synth_upsert": f"""WITH {DOLLAR_SQL}, n AS (SELECT *, {_DAY} AS k FROM dollar),
 tick AS (SELECT a.date, a.close_price AS price, coalesce(p.close_price, a.close_price) AS prev FROM n a LEFT JOIN n p ON p.date + 1 = a.date WHERE a.k % 2 = 1 OR a.k % 3 = 0),

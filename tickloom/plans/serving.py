@@ -55,6 +55,22 @@ def quote_cents(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", doc.quote_c(body).alias("q")).select("event_id", "q.price", "q.high", "q.prev_close", "q.change_pct")
 
 
+def quote_safe(spark, sf_dir):
+    """Payloads of the second format; every tenth price is malformed, every seventh payload has too few fields."""
+    price = F.when(F.col("event_id") % 10 == 0, F.lit("-")).otherwise(F.col("event_id").cast("string"))
+    fields = [price, *[F.lit("")] * 3, F.lit("2.5"), F.lit("0.5"), F.lit("10:00"), F.lit("50"), F.lit("49"), *[F.lit("")] * 3]
+    body = F.concat_ws(",", *fields, F.when(F.col("event_id") % 7 != 0, F.lit("2024-01-01")))
+    rows = _events(spark, sf_dir).select("event_id", doc.quote_b(F.concat(F.lit('hq_str_hf_GC="'), body, F.lit('"'))).alias("q"))
+    return rows.where("q is not null").select("event_id", "q.price", "q.high", "q.low", "q.open", "q.prev_close", "q.change_pct", "q.time")
+
+
+def history_frame(spark, sf_dir):
+    """The daily bars as a data frame of prices and volumes, every fifth volume missing."""
+    day = F.unix_date("date")
+    frame = gold_bars(spark, sf_dir).select(F.col("date").alias("Date"), *(F.col(f"{c}_price").alias(c.title()) for c in ("open", "high", "low", "close")), F.when(day % 5 != 0, F.col("volume")).alias("Volume"))
+    return payloads.bars_from_frame(frame, 4)
+
+
 def history_jsonp(spark, sf_dir):
     """The daily bars written as one payload per month and read again."""
     row = F.to_json(F.array(F.col("date").cast("string"), *(F.col(c).cast("string") for c in ("open_price", "high_price", "low_price", "close_price", "volume"))))
@@ -98,6 +114,8 @@ QUERIES = {
     "answer_chains": answer_chains,
     "quote_parse": quote_parse,
     "quote_dollar": quote_dollar,
+    "quote_safe": quote_safe,
+    "history_frame": history_frame,
     "quote_cents": quote_cents,
     "history_jsonp": history_jsonp,
     "history_klines": history_klines,
@@ -110,6 +128,10 @@ QUERIES = {
 
 _AROUND = "(SELECT event_id, event_id % 4 AS form, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 ORACLE = {
+    "quote_safe": """WITH q AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS price FROM events WHERE event_id % 7 <> 0)
+  SELECT event_id, price, 2.5::DOUBLE AS high, 0.5::DOUBLE AS low, 49.0::DOUBLE AS open, 50.0::DOUBLE AS prev_close, (price - 50.0) / 50.0 * 100 AS change_pct, '2024-01-01 10:00' AS time FROM q""",
+    "history_frame": f"""WITH {GOLD_SQL} SELECT date, round(open_price, 4) AS open_price, round(high_price, 4) AS high_price, round(low_price, 4) AS low_price,
+  round(close_price, 4) AS close_price, CASE WHEN date_diff('day', DATE '1970-01-01', date) % 5 <> 0 THEN volume ELSE 0 END AS volume FROM gold""",
     "json_props": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events",
     "answer_chains": f"""SELECT event_id, CASE WHEN form < 3 THEN k ELSE -1 END AS fence_braces, CASE WHEN form < 3 THEN k ELSE -1 END AS braces,
   CASE WHEN form IN (0, 2) THEN k ELSE -1 END AS fence, CASE WHEN form < 3 THEN k ELSE -1 END AS braces_only FROM {_AROUND}""",

@@ -5,6 +5,7 @@ Each reader takes a DataFrame with one payload per row and yields rows; malforme
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,12 +42,11 @@ def bars_from_frame(frame: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def first_source(sources: list[DataFrame]) -> DataFrame:
-    """The rows of the first source that has any; an error if none has."""
-    tagged = [s.withColumn("_priority", F.lit(k)) for k, s in enumerate(sources)]
-    rows = reduce(lambda a, b: a.unionByName(b), tagged)
-    best = rows.agg(F.min("_priority").alias("_best"))
-    best = best.withColumn("_best", F.when(F.col("_best").isNull(), F.raise_error(F.lit("all sources are empty"))).otherwise(F.col("_best")))
-    return rows.join(F.broadcast(best), F.col("_priority") == F.col("_best")).drop("_priority", "_best")
+    """The rows of the first source that has any; an error if none has. Sources behind that one are not run."""
+    for rows in sources:
+        if not rows.isEmpty():
+            return rows
+    raise ValueError("all sources are empty")
 
 
 def read_rss(spark: SparkSession, path: str, source: str, limit: int = 10) -> DataFrame:
@@ -56,6 +56,22 @@ def read_rss(spark: SparkSession, path: str, source: str, limit: int = 10) -> Da
     return rows.select("title", F.col("description").alias("content"), F.col("link").alias("url"), F.lit(source).alias("source"), F.col("pubDate").alias("published")).limit(limit)
 
 
+def read_feeds(spark: SparkSession, feeds: dict[str, str], limit: int = 10) -> tuple[list[DataFrame], dict[str, str]]:
+    """(frames, failures): the feeds that can be read, source to path, and the errors of those that cannot.
+
+    A feed that fails leaves the others as they are.
+    """
+    frames, failures = [], {}
+    for source, path in feeds.items():
+        try:
+            rows = read_rss(spark, path, source, limit)
+            rows.isEmpty()
+            frames.append(rows)
+        except Exception as error:  # whatever a source does wrong
+            failures[source] = str(error).split("\n")[0]
+    return frames, failures
+
+
 def union_feeds(feeds: list[DataFrame], per_source: int = 5, summary: int | None = None) -> DataFrame:
     """All feeds, so many rows of each; ``summary`` cuts the content to that many characters."""
     rows = reduce(lambda a, b: a.unionByName(b), feeds)
@@ -78,6 +94,29 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_cache(data: DataFrame, path: str, now: float, created_at: str) -> None:
-    """One-row data as a cached document; the committer replaces the old one at once."""
+    """One-row data as a cached document, in place of the old one once it is written."""
     row = data.select(F.struct("*").alias("data"), F.lit(now).alias("_timestamp"), F.lit(created_at).alias("_created_at"))
-    row.coalesce(1).write.mode("overwrite").json(path)
+    replace_json(row, path)
+
+
+def replace_json(rows: DataFrame, path: str, **options: str) -> None:
+    """rows as one JSON file in the folder ``path``, which keeps its old content if writing fails.
+
+    They are written beside it and renamed; between the two renames a reader finds no folder.
+    """
+    context = rows.sparkSession.sparkContext
+    mark, place = uuid.uuid4().hex, context._jvm.org.apache.hadoop.fs.Path
+    fresh, old, final = place(f"{path}.new-{mark}"), place(f"{path}.old-{mark}"), place(path)
+    files = final.getFileSystem(context._jsc.hadoopConfiguration())
+    try:
+        rows.coalesce(1).write.options(**options).json(fresh.toString())
+    except Exception:
+        files.delete(fresh, True)
+        raise
+    had = files.exists(final) and files.rename(final, old)
+    if not files.rename(fresh, final):
+        if had:
+            files.rename(old, final)
+        raise OSError(f"cannot rename {fresh} to {final}")
+    if had:
+        files.delete(old, True)

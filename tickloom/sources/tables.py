@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.payloads import replace_json
+
 _BAR = "id INT, date DATE NOT NULL, open_price DOUBLE, high_price DOUBLE, low_price DOUBLE, close_price DOUBLE NOT NULL"
 _STAMPS = "created_at TIMESTAMP, updated_at TIMESTAMP"
 TABLES = {
@@ -32,5 +34,5 @@ def as_json(df: DataFrame, pretty: bool = False) -> DataFrame:
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:
-    """One-row statistics as JSON; the committer replaces the old file at once."""
-    stats.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One-row statistics as JSON, in place of the old ones once they are written."""
+    replace_json(stats, path, ignoreNullFields="false")
