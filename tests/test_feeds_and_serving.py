@@ -177,3 +177,28 @@ def test_recently_stored(news):
 def test_bars_of_a_frame(spark):
     frame = spark.createDataFrame([("2024-01-02", 1.23456, 2.0, 0.5, 1.5, float("nan")), ("2024-01-03", 1.0, 2.0, 0.5, 1.5, 7.9), ("2024-01-04", 1.0, 2.0, 0.5, 1.5, None)], "Date string, Open double, High double, Low double, Close double, Volume double")
     assert [(r.open_price, r.volume) for r in payloads.bars_from_frame(frame, 4).orderBy("date").collect()] == [(1.2346, 0), (1.0, 7), (1.0, 0)]
+
+
+def test_tables_of_a_database_are_read_in_ranges(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:bars;create=true"
+    rows = spark.range(100).select(F.col("id").alias("ID"), (F.col("id") * 1.5).alias("PRICE"))
+    rows.write.jdbc(url, "BARS", mode="overwrite")
+    whole = payloads.read_jdbc(spark, url, "BARS")
+    ranges = payloads.read_jdbc(spark, url, "BARS", "ID", ("10", "60"), 4)
+    assert (whole.rdd.getNumPartitions(), ranges.rdd.getNumPartitions()) == (1, 4)
+    expected = [(k, k * 1.5) for k in range(100)]
+    # the bounds only cut the ranges; rows outside them are read too
+    assert all(sorted(map(tuple, d.collect())) == expected for d in (whole, ranges))
+
+
+def test_zero_text_can_count_as_missing(spark):
+    rows = spark.createDataFrame([(None,), (" ",), ("0.0",), ("0",), ("7",)], "t string")
+    got = rows.select(safe_double(F.col("t"), -1.0), safe_double(F.col("t"), -1.0, zero_is_missing=True)).collect()
+    assert [tuple(r) for r in got] == [(-1.0, -1.0), (-1.0, -1.0), (0.0, -1.0), (0.0, 0.0), (7.0, 7.0)]
+
+
+def test_a_null_key_survives_the_removal_of_others(spark):
+    entries = spark.createDataFrame([("a", 1.0), ("b", 1.0), (None, 1.0)], "cache_key string, ts double")
+    assert {r.cache_key for r in serving.invalidate(entries, ["a"]).collect()} == {"b", None}
+    assert serving.invalidate(entries).isEmpty()

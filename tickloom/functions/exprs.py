@@ -59,9 +59,12 @@ def market_status(rule: Column, part: int) -> Column:
     return out
 
 
-def safe_double(text: Column, default: float = 0.0) -> Column:
-    """Blank or malformed text gives the default."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")).try_cast("double"), F.lit(default))
+def safe_double(text: Column, default: float = 0.0, zero_is_missing: bool = False) -> Column:
+    """Blank or malformed text gives the default, and with ``zero_is_missing`` the text 0.0 too."""
+    given = F.nullif(F.trim(text), F.lit(""))
+    if zero_is_missing:
+        given = F.nullif(given, F.lit("0.0"))
+    return F.coalesce(given.try_cast("double"), F.lit(default))
 
 
 def first_keyword(text: Column, table: dict[str, str], default: str) -> Column:

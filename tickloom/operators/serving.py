@@ -21,8 +21,8 @@ def cache_summary(entries: DataFrame, as_of: float, ttl: float) -> DataFrame:
 
 
 def invalidate(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """entries without the keys; without any for None."""
-    return entries.where(F.lit(False)) if keys is None else entries.where(~F.col("cache_key").isin(keys))
+    """entries without the keys; without any for None. Entries with a NULL key stay unless all go."""
+    return entries.where(F.lit(False)) if keys is None else entries.where(F.coalesce(~F.col("cache_key").isin(keys), F.lit(True)))
 
 
 def cache_keys(entries: DataFrame) -> DataFrame:

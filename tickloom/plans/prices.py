@@ -101,6 +101,7 @@ QUERIES = {
     "axis_domain": _gold(op.axis_domain),
     "overlay_daily": _gold(lambda b: op.overlay_daily(op.date_range(b, ANCHOR, AS_OF), AS_OF, QUOTE, AS_OF)),
     "overlay_aligned": _both(lambda a, b: op.overlay_aligned(op.align(a, b), AS_OF, QUOTE)),
+    "overlay_carried": _both(lambda a, b: op.overlay_aligned(op.align(a, b), AS_OF, None, QUOTE)),
     "quote_or_history": _gold(quote_or_history),
     "bar_upsert": _gold(bar_upsert),
     "bar_upsert_repeated": _gold(bar_upsert_repeated),
@@ -185,6 +186,8 @@ SELECT q.*, s.start_price, (close_price - start_price) / start_price * 100 AS yt
 UNION ALL SELECT '{AS_OF}', {QUOTE}, 0""",
     "overlay_aligned": f"""{_GD}, {_PAIRS} SELECT * FROM pairs WHERE date <> DATE '{AS_OF}'
 UNION ALL SELECT DATE '{AS_OF}', {QUOTE}, (SELECT dollar_index FROM pairs ORDER BY date DESC LIMIT 1)""",
+    "overlay_carried": f"""{_GD}, {_PAIRS} SELECT * FROM pairs WHERE date <> DATE '{AS_OF}'
+UNION ALL SELECT DATE '{AS_OF}', (SELECT gold_price FROM pairs ORDER BY date DESC LIMIT 1), {QUOTE}""",
     "quote_or_history": f"SELECT 2 AS priority, {QUOTE}::DOUBLE AS price, 0.5::DOUBLE AS change_pct",
     "bar_upsert": f"""{_G}{_HALVES} SELECT coalesce(b.date, i.date) AS date,
   CASE WHEN i.date IS NULL THEN b.open_price ELSE coalesce(nullif(i.open_price, 0), b.open_price) END AS open_price,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import documents as doc
+from tickloom.functions.exprs import safe_double
 from tickloom.operators import serving as op
-from tickloom.sources import payloads
-from tickloom.sources.views import GOLD_SQL, gold_bars, table
+from tickloom.sources import payloads, tables
+from tickloom.sources.views import DOLLAR_SQL, GOLD_SQL, dollar_bars, gold_bars, table
 
 SCHEMA = "k bigint, event string"
 
@@ -71,17 +72,68 @@ def history_frame(spark, sf_dir):
     return payloads.bars_from_frame(frame, 4)
 
 
-def history_jsonp(spark, sf_dir):
-    """The daily bars written as one payload per month and read again."""
+def jsonp_payloads(bars):
+    """Daily bars as one payload per month."""
     row = F.to_json(F.array(F.col("date").cast("string"), *(F.col(c).cast("string") for c in ("open_price", "high_price", "low_price", "close_price", "volume"))))
-    months = gold_bars(spark, sf_dir).groupBy(F.date_format("date", "yyyy-MM")).agg(F.concat(F.lit("var GC = ["), F.array_join(F.collect_list(row), ","), F.lit("];")).alias("payload"))
-    return payloads.bars_from_jsonp(months, "2000-01-01")
+    return bars.groupBy(F.date_format("date", "yyyy-MM")).agg(F.concat(F.lit("var GC = ["), F.array_join(F.collect_list(row), ","), F.lit("];")).alias("payload"))
 
 
-def history_klines(spark, sf_dir):
+def kline_payloads(bars):
     line = F.concat_ws(",", F.col("date").cast("string"), "open_price", "close_price", "low_price", "high_price", "volume")
-    months = gold_bars(spark, sf_dir).groupBy(F.date_format("date", "yyyy-MM")).agg(F.to_json(F.struct(F.struct(F.collect_list(line).alias("klines")).alias("data"))).alias("payload"))
-    return payloads.bars_from_klines(months, "2000-01-01")
+    return bars.groupBy(F.date_format("date", "yyyy-MM")).agg(F.to_json(F.struct(F.struct(F.collect_list(line).alias("klines")).alias("data"))).alias("payload"))
+
+
+def history_jsonp(spark, sf_dir):
+    """The daily bars written as payloads and read again."""
+    return payloads.bars_from_jsonp(jsonp_payloads(gold_bars(spark, sf_dir)), "2000-01-01")
+
+
+def history_klines(spark, sf_dir):
+    return payloads.bars_from_klines(kline_payloads(gold_bars(spark, sf_dir)), "2000-01-01")
+
+
+def _index(spark, sf_dir):
+    return dollar_bars(spark, sf_dir).withColumn("volume", F.lit(0))
+
+
+def dollar_jsonp(spark, sf_dir):
+    return payloads.without_volume(payloads.bars_from_jsonp(jsonp_payloads(_index(spark, sf_dir)), "2000-01-01"))
+
+
+def dollar_klines(spark, sf_dir):
+    return payloads.without_volume(payloads.bars_from_klines(kline_payloads(_index(spark, sf_dir)), "2000-01-01"))
+
+
+def dollar_fallback(spark, sf_dir):
+    """The index from the first source with rows: payloads of the far future, then those of a data frame."""
+    bars = _index(spark, sf_dir)
+    frame = bars.select(F.col("date").alias("Date"), *(F.col(f"{c}_price").alias(c.title()) for c in ("open", "high", "low", "close")), F.col("volume").alias("Volume"))
+    later = payloads.bars_from_jsonp(jsonp_payloads(bars), "2100-01-01")
+    return payloads.first_source([payloads.without_volume(b) for b in (later, payloads.bars_from_frame(frame, 4))])
+
+
+def answer_array(spark, sf_dir):
+    """The array in prose, two copies of each event's properties; a quarter of the answers break off."""
+    text = F.when(F.col("event_id") % 4 == 3, F.lit('list: [{"k":')).otherwise(F.concat(F.lit("list: ["), "props", F.lit(","), "props", F.lit("] end")))
+    found = _events(spark, sf_dir).select("event_id", doc.parse_array(text, "struct<k:bigint>").alias("a"))
+    return found.select("event_id", F.size("a").alias("n"), F.coalesce(F.get("a", F.lit(1))["k"], F.lit(-1)).alias("k"))
+
+
+def document_pretty(spark, sf_dir):
+    kind = F.concat(F.lit("黄金 "), "event_type")
+    return _events(spark, sf_dir).select("event_id", doc.pretty(F.struct("event_id", kind.alias("title"), F.lit(None).cast("string").alias("note"))).alias("json"))
+
+
+def safe_numbers(spark, sf_dir):
+    """Number texts of five kinds (empty, blank, malformed, 0.0, whole) under both rules for missing ones."""
+    kinds = F.array(F.lit(""), F.lit(" "), F.lit("abc"), F.lit("0.0"), F.col("event_id").cast("string"))
+    text = F.get(kinds, (F.col("event_id") % 5).cast("int"))
+    return _events(spark, sf_dir).select("event_id", safe_double(text, -1.0).alias("blank_rule"), safe_double(text, -1.0, zero_is_missing=True).alias("zero_rule"))
+
+
+def json_rows(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"))
+    return tables.as_json(rows)
 
 
 def history_fallback(spark, sf_dir):
@@ -120,6 +172,14 @@ QUERIES = {
     "history_jsonp": history_jsonp,
     "history_klines": history_klines,
     "history_fallback": history_fallback,
+    "dollar_jsonp": dollar_jsonp,
+    "dollar_klines": dollar_klines,
+    "dollar_fallback": dollar_fallback,
+    "answer_array": answer_array,
+    "document_pretty": document_pretty,
+    "safe_numbers": safe_numbers,
+    "json_rows": json_rows,
+    "cache_admin": lambda spark, sf_dir: op.cache_keys(op.invalidate(entries(_events(spark, sf_dir)), ["click", "none"])),
     "rate_window": lambda spark, sf_dir: op.trailing_counts(requests(_events(spark, sf_dir)), 86_400, 2),
     "rate_limit_exact": lambda spark, sf_dir: op.limit_requests(requests(_events(spark, sf_dir)), 86_400, 2).groupBy("allowed").agg(F.count("*").alias("n")),
     "cache_freshness": lambda spark, sf_dir: op.cache_summary(entries(_events(spark, sf_dir)), AS_OF, 7200),
@@ -127,7 +187,24 @@ QUERIES = {
 }
 
 _AROUND = "(SELECT event_id, event_id % 4 AS form, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+_INDEX = f"""WITH {DOLLAR_SQL} SELECT date, round(open_price, 4) AS open_price, round(high_price, 4) AS high_price, round(low_price, 4) AS low_price,
+  round(close_price, 4) AS close_price FROM dollar"""
 ORACLE = {
+    "dollar_jsonp": f"{_INDEX} WHERE date >= DATE '2000-01-01'",
+    "dollar_klines": f"{_INDEX} WHERE date >= DATE '2000-01-01'",
+    "dollar_fallback": _INDEX,
+    "answer_array": f"SELECT event_id, CASE WHEN form < 3 THEN 2 ELSE 0 END AS n, CASE WHEN form < 3 THEN k ELSE -1 END AS k FROM {_AROUND}",
+    "document_pretty": """SELECT event_id, '{' || chr(10) || '  "event_id" : ' || event_id || ',' || chr(10) || '  "title" : "黄金 ' || event_type || '",' || chr(10)
+  || '  "note" : null' || chr(10) || '}' AS json FROM events""",
+    "safe_numbers": """SELECT event_id, CASE event_id % 5 WHEN 4 THEN event_id WHEN 3 THEN 0 ELSE -1 END::DOUBLE AS blank_rule,
+  CASE event_id % 5 WHEN 4 THEN event_id ELSE -1 END::DOUBLE AS zero_rule FROM events""",
+    "json_rows": """SELECT '{"event_id":' || event_id || ',"kind":' || CASE WHEN event_id % 3 <> 0 THEN '"' || event_type || '"' ELSE 'null' END || '}' AS json FROM events""",
+    "cache_admin": "SELECT DISTINCT event_type AS cache_key FROM events WHERE event_type NOT IN ('click', 'none')",
+    "rate_limit_exact": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL),
+walk AS (SELECT user_id, rn, [t] AS times, true AS allowed FROM e WHERE rn = 1 UNION ALL
+  SELECT e.user_id, e.rn, CASE WHEN len(w.times) < 2 OR w.times[-2] <= e.t - 86400000000 THEN list_append(w.times, e.t)[-2:] ELSE w.times END,
+    len(w.times) < 2 OR w.times[-2] <= e.t - 86400000000 FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.rn = w.rn + 1)
+SELECT allowed, count(*) AS n FROM walk GROUP BY allowed""",
     "quote_safe": """WITH q AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS price FROM events WHERE event_id % 7 <> 0)
   SELECT event_id, price, 2.5::DOUBLE AS high, 0.5::DOUBLE AS low, 49.0::DOUBLE AS open, 50.0::DOUBLE AS prev_close, (price - 50.0) / 50.0 * 100 AS change_pct, '2024-01-01 10:00' AS time FROM q""",
     "history_frame": f"""WITH {GOLD_SQL} SELECT date, round(open_price, 4) AS open_price, round(high_price, 4) AS high_price, round(low_price, 4) AS low_price,

@@ -41,6 +41,11 @@ def bars_from_frame(frame: DataFrame, digits: int = 2) -> DataFrame:
     return frame.select(F.to_date("Date").alias("date"), price("Open").alias("open_price"), price("High").alias("high_price"), price("Low").alias("low_price"), price("Close").alias("close_price"), F.coalesce(F.nanvl(F.col("Volume").cast("double"), F.lit(0.0)), F.lit(0.0)).cast("int").alias("volume"))
 
 
+def without_volume(bars: DataFrame, digits: int = 4) -> DataFrame:
+    """The bars of an index, which has no volume, with rounded prices."""
+    return bars.select("date", *(F.round(c, digits).alias(c) for c in ("open_price", "high_price", "low_price", "close_price")))
+
+
 def first_source(sources: list[DataFrame]) -> DataFrame:
     """The rows of the first source that has any; an error if none has. Sources behind that one are not run."""
     for rows in sources:
