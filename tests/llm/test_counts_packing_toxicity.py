@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from tickloom.llm import packing, token_counts, toxicity
 
@@ -100,8 +101,10 @@ def test_batches_are_full_and_whole(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 7)
     rnd = random.Random(3)
     rows = [(k, rnd.choice([0, None, 1, 5, 9, 17, 40, 95])) for k in range(300)] + [(5, 9), (None, 3)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, n_tokens int, batch string")
+    df = spark.createDataFrame([(*r, "clash", "mine") for r in rows], "doc_id long, n_tokens int, batch string, _salt string")
+    df = df.withColumns({c: F.lit("mine") for c in ("_room", "_rank", "_start", "_n")})
     got = packing.pack(df, max_length=30, buckets=3, budget=120).collect()
+    assert all(r[c] == "mine" for r in got for c in ("_salt", "_room", "_rank", "_start", "_n"))
     whole = {}
     for r in got:
         whole.setdefault(r.doc_id, []).append(r.part_tokens)

@@ -18,10 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, table
+from tickloom.llm.common import materialize, table, unused
 from tickloom.llm.sentencepiece_bpe import count_column
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 16, 65_536
+OUT = ("part", "part_tokens", "bucket", "batch", "slot")
 #: Rows of a bucket that one salted group has on average at most.
 GROUP_ROWS = 20_000
 
@@ -64,9 +65,11 @@ def pack(df: DataFrame, length_col: str = "n_tokens", key_cols: tuple[str, ...]
     ``key_cols`` order the parts inside a bucket, after a hash of them. The input is read twice; materialise it where it
     is costly.
     """
+    clear = df.drop(*OUT)
+    salted, roomy, ranks, begin, rows_of = unused(clear, "_salt", "_room", "_rank", "_start", "_n")
     n = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
     last = F.greatest(F.floor((n - 1) / max_length), F.lit(0))
-    parts = df.drop("part", "part_tokens", "bucket", "batch", "slot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    parts = clear.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     parts = parts.withColumn("part_tokens", F.least(n - F.col("part") * max_length, F.lit(max_length).cast("long")))
     bars = parts.where(F.col("part_tokens") > 0).groupBy("part_tokens").count().collect()
     bounds = optimal_bounds([r["part_tokens"] for r in bars], [r["count"] for r in bars], buckets)
@@ -78,16 +81,15 @@ def pack(df: DataFrame, length_col: str = "n_tokens", key_cols: tuple[str, ...]
         room = F.when(inside, max(1, budget // bounds[k])).otherwise(room)
     empty = F.col("part_tokens") <= 0
     hashed = F.xxhash64(*key_cols, "part")
-    parts = parts.withColumns({"bucket": F.when(~empty, bucket), "_salt": F.when(~empty, F.pmod(hashed, salts)).otherwise(F.pmod(hashed, F.lit(1 << 20))), "_room": F.when(~empty, room)})
-    group = Window.partitionBy("bucket", "_salt").orderBy(F.xxhash64(*key_cols, "part"), *key_cols, "part", "part_tokens")
-    sizes = parts.where(~empty).groupBy("bucket", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("bucket", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = parts.withColumn("_rank", F.row_number().over(group)).join(starts, ["bucket", "_salt"], "left")
-    rank = F.col("_start") + F.col("_rank") - 1
-    out = ranked.withColumns({"batch": F.floor(rank / F.col("_room")), "slot": F.pmod(rank, F.col("_room")).cast("int")})
-    kept = [c for c in df.columns if c not in ("part", "part_tokens", "bucket", "batch", "slot")]
-    return out.select(*kept, "part", "part_tokens", "bucket", "batch", "slot")
+    parts = parts.withColumns({"bucket": F.when(~empty, bucket), salted: F.when(~empty, F.pmod(hashed, salts)).otherwise(F.pmod(hashed, F.lit(1 << 20))), roomy: F.when(~empty, room)})
+    group = Window.partitionBy("bucket", salted).orderBy(F.xxhash64(*key_cols, "part"), *key_cols, "part", "part_tokens")
+    sizes = parts.where(~empty).groupBy("bucket", salted).agg(F.count("*").alias(rows_of))
+    before = Window.partitionBy("bucket").orderBy(salted).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", salted, F.coalesce(F.sum(rows_of).over(before), F.lit(0)).alias(begin))
+    ranked = parts.withColumn(ranks, F.row_number().over(group)).join(starts, ["bucket", salted], "left")
+    rank = F.col(begin) + F.col(ranks) - 1
+    out = ranked.withColumns({"batch": F.floor(rank / F.col(roomy)), "slot": F.pmod(rank, F.col(roomy)).cast("int")})
+    return out.select(*clear.columns, *OUT)
 
 
 def query(spark, sf_dir):
