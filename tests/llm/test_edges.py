@@ -9,6 +9,8 @@ TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
     "conversations": "conv_id bigint, turn int, role string, text string",
 }
 TEXT = "a text of some words that is longer than a hundred bytes, so that its copies share a passage, and it goes on for a while here. "
@@ -16,6 +18,8 @@ ROWS = {
     "documents": [(None, None, None, None, None), (1, None, None, None, None), (None, TEXT, None, None, None), (2, "", "en", "s", 0), (3, TEXT, "en", "s", None), (3, TEXT, "en", "s", None), (4, TEXT * 2, None, "s", 9), (5, " \n ", "en", None, 3)],
     "labels": [(None, None, None), (3, None, 1), (4, 1, None), (None, 0, 0), (3, 1, 0), (4, 0, 1)],
     "pages": [(None, None, None), (1, None, None), (2, "no host", None), (None, "http://a.example.com/en/7", None), (3, "HTTP://A.org", ""), (3, "HTTP://A.org", "")],
+    "benchmark": [(None, None), (1, TEXT), (1, TEXT), (2, "")],
+    "embeddings": [(None, None, None), (0, [1.0, None], 1), (50, [1.0, 2.0], 1), (50, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 1.0], 2), (None, [1.0, 1.0], 3), (3, None, 1), (4, [1.0], None)],
     "conversations": [(None, None, None, None), (1, None, None, None), (1, 1, "user", None), (1, 2, "assistant", "x"), (1, 2, "assistant", "x"), (None, 1, None, "y")],
 }
 QUERIES = queries.queries() | {"pipeline": corpus_pipeline.run}
@@ -50,6 +54,9 @@ def test_nulls_and_repeats(spark, nulls, name):
         assert len(got) == len(ROWS["pages"]) and all(r.verdict in ("allow", "block") for r in got)
     elif name == "op6_chat_format":
         assert {r.conv_id: r.n_turns for r in got} == {None: 2, 1: 4, -1: 2}
+    elif name == "op11_hard_negatives":
+        # each copy of anchor 50 has the other one and row 1 as positives
+        assert sorted((r.anchor_id, r.positive_id, r.rank, str(r.negative_id)) for r in got) == sorted([(50, 1, 1, "2"), (50, 1, 2, "None"), (50, 50, 1, "2"), (50, 50, 2, "None")] * 2)
     elif name == "pipeline":
         assert not got
     else:
