@@ -153,3 +153,14 @@ def test_query_equals_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     rows = duckdb.sql(op.SQL.replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
     assert sorted(map(tuple, op.query(spark, folder).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("letters", [1_024, 2_048, 4_096])
+def test_words_that_agree_modulo_two_to_64_are_not_linked(frame, letters):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2 ** 64 under any base."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(letters))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} {other} x y z"), (4, f"{other} {word} x y z"), (5, word)]
+    check(frame, rows)
+    got = {r.doc_id: r.component_id for r in op.near_duplicates(frame(rows), 4, 80).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}

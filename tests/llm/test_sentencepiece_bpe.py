@@ -38,6 +38,31 @@ def test_decoding_of_broken_bytes():
         assert op.decode(model, np.array(ids), np.array([len(ids)])) == [LIBRARY.decode(ids)]
 
 
+def test_words_with_one_hash_are_told_apart():
+    """The Thue-Morse word and its complement agree modulo 2 ** 64 under any odd base, in one batch and across batches."""
+    pairs = []
+    for letters in (1_024, 2_048, 4_096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(letters))
+        pairs += [word, word.translate(str.maketrans("ab", "ba"))]
+    for batches in ([pairs], [[x] for x in pairs], [[x] for x in pairs[::-1]] + [pairs, pairs[::-1]]):
+        enc = op.encoder(op.read_model(PATH))
+        enc.clear()
+        for xs in batches:
+            ids, counts = enc.encode(xs)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == LIBRARY.encode(xs)
+            assert op.decode(enc.model, ids, counts) == xs
+
+
+def test_every_key_taken(monkeypatch):
+    """With all words under one key at first, each finds a key of its own."""
+    monkeypatch.setattr(op, "mix", lambda x: (x % op.U64(7)) * op.U64(3) + x // op.U64(1 << 61))
+    xs = ["ab cd ef", "cd ab", "gh ab zz", "a b c d"]
+    enc = op.Encoder(op.Model(op.read_model(PATH)))
+    for _ in range(2):
+        ids, counts = enc.encode(xs)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == LIBRARY.encode(xs)
+
+
 def test_a_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(op, "CACHED_WORDS", 50)
     enc = op.Encoder(op.Model(op.read_model(PATH)))

@@ -78,6 +78,38 @@ class Rolling:
         return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 
 
+#: A prime below 2 ** 31, so that products of residues fit 64 bits, and a base that is no small power of another.
+PRIME = (1 << 31) - 1
+PRIME_BASE = 1_103_515_245
+
+
+def _residues(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo PRIME."""
+    out = np.ones(max(n, 1), U64)
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        out[have : have + step] = out[:step] * U64(pow(base, have, PRIME)) % U64(PRIME)
+        have += step
+    return out[:n]
+
+
+class Residues:
+    """Hashes of any byte ranges modulo a prime.
+
+    Sums modulo 2 ** 64 have texts that agree whatever the odd base (the Thue-Morse word of 1,024 letters and its complement);
+    modulo a prime those differ, so both together tell them apart.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.inverse = _residues(pow(PRIME_BASE, -1, PRIME), len(data) + 1)
+        self.prefix = np.zeros(len(data) + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * _residues(PRIME_BASE, len(data)) % U64(PRIME), out=self.prefix[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) % U64(PRIME) * self.inverse[start] % U64(PRIME)
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import LOWER, UPPER, materialize, release, table, unused
 from tickloom.llm.components import components
-from tickloom.llm.kernels import FOLD, U64, Rolling, mix, ranges, slices, text_bytes, word_spans
+from tickloom.llm.kernels import FOLD, U64, Residues, Rolling, mix, ranges, slices, text_bytes, word_spans
 
 SYMBOLS, CHUNK, DISTANCE = 65, 5, 25
 CHUNKS = SYMBOLS // CHUNK
@@ -58,7 +58,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = FOLD[data]
     start, end, first = word_spans(data, offsets)
-    own = Rolling(data).hash(start, end)
+    own = mix(Rolling(data).hash(start, end) + mix(Residues(data).hash(start, end)))
     n = np.diff(first)
     size = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     at = ranges(first[:-1], size)

@@ -28,6 +28,8 @@ BLANK = "▁"
 NEVER = np.int32(2**31 - 1)
 #: Bytes of text that are encoded at a time, and words that the cache of a task holds at most.
 BYTES_AT_ONCE, CACHED_WORDS = 2_000_000, 400_000
+#: Code points of those words that it keeps to tell words apart.
+CACHED_CHARACTERS = 20_000_000
 
 
 class Model:
@@ -170,6 +172,17 @@ def merge_rounds(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tupl
     return ids[ranges(start[back], got[back])], got[back]
 
 
+def unlike(code: np.ndarray, start: np.ndarray, length: np.ndarray, code2: np.ndarray, start2: np.ndarray, length2: np.ndarray) -> np.ndarray:
+    """Which words of one array of code points differ from their partners in another; no word is empty."""
+    out = length != length2
+    same = np.flatnonzero(~out & ((start != start2) | (code is not code2)))
+    if len(same):
+        n = length[same]
+        differs = code[ranges(start[same], n)] != code2[ranges(start2[same], n)]
+        out[same] = np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return out
+
+
 class Encoder:
     """Encodes batches of texts, keeping the ids of words seen before up to a bound."""
 
@@ -182,6 +195,9 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.spelt_at = np.zeros(0, np.int64)
+        self.spelt = np.zeros(0, np.int64)
+        self.spelling = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
@@ -202,6 +218,17 @@ class Encoder:
         value = mix(code.astype(U64) + U64(1)) * _powers(BASE, int(length.max()))[np.arange(len(code)) - np.repeat(start, length)]
         keys = mix(np.add.reduceat(value, start) + length.astype(U64))
         unique, place, which = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) + len(unique) > CACHED_WORDS or len(self.spelling) + int(length[place].sum()) > CACHED_CHARACTERS:
+            self.clear()
+        while True:
+            other = self._unlike(unique, start[place], length[place], code)[which]
+            first = place[which]
+            other |= unlike(code, start, length, code, start[first], length[first])
+            if not other.any():
+                break
+            # a hash is no proof: a word that is spelt otherwise than the one that has its key takes the next key
+            keys[other] = mix(keys[other] + U64(1))
+            unique, place, which = np.unique(keys, return_index=True, return_inverse=True)
         self._learn(unique, start[place], length[place], code, kind)
         at = np.searchsorted(self.keys, unique)[which]
         count = self.length[at]
@@ -209,13 +236,23 @@ class Encoder:
         text_of = np.searchsorted(edge, start, side="right")
         return ids, np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
 
+    def _known(self, unique) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known) of keys among those of words seen before."""
+        if not len(self.keys):
+            return np.zeros(len(unique), np.int64), np.zeros(len(unique), bool)
+        at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+        return at, self.keys[at] == unique
+
+    def _unlike(self, unique, start, length, code) -> np.ndarray:
+        """Which words are spelt otherwise than the word seen before that has their key."""
+        at, known = self._known(unique)
+        out = np.zeros(len(unique), bool)
+        at = at[known]
+        out[known] = unlike(code, start[known], length[known], self.spelling, self.spelt_at[at], self.spelt[at])
+        return out
+
     def _learn(self, unique, start, length, code, kind) -> None:
-        if len(self.keys) + len(unique) > CACHED_WORDS:
-            self.clear()
-        known = np.zeros(len(unique), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
-            known = self.keys[at] == unique
+        _, known = self._known(unique)
         if known.all():
             return
         m, start, length = self.model, start[~known], length[~known]
@@ -226,9 +263,13 @@ class Encoder:
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
         self.length = np.concatenate([self.length, count])
         self.pool = np.concatenate([self.pool, ids])
+        self.spelt_at = np.concatenate([self.spelt_at, len(self.spelling) + np.cumsum(length) - length])
+        self.spelt = np.concatenate([self.spelt, length])
+        self.spelling = np.concatenate([self.spelling, code[flat]])
         self.keys = np.concatenate([self.keys, unique[~known]])
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.start, self.length = self.keys[order], self.start[order], self.length[order]
+        for name in ("keys", "start", "length", "spelt_at", "spelt"):
+            setattr(self, name, getattr(self, name)[order])
 
     def _outside(self, ids, count, code, length):
         """Replace symbols that are no piece by byte ids or the unknown id.
