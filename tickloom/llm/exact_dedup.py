@@ -4,9 +4,10 @@ Texts are equal when they are identical after each run of ASCII white space is r
 
 1. A first look at each row gives the length of its text and a hash of its first 256 characters: 12 bytes a row are kept.
 2. Rows whose length no other row has are done. Of the others, those with a length and a beginning of their own are done.
-3. The lengths and beginnings that are left set bits in a screen of fixed size (8 MB whatever the corpus), which goes to every
-   task. The second look at the texts hashes only those that the screen lets through. A bit that is set by chance costs a
-   hash that meets no other; no row of a group is missed.
+3. What is left sets bits in a screen of fixed size (8 MB whatever the corpus), which goes to every task: one of lengths
+   before beginnings are grouped, one of lengths and beginnings before the second look at the texts, which hashes only those that
+   it lets through. A bit that is set by chance costs a row or a hash that meets no other; no row of a group is missed. No
+   length or beginning gathers its rows in one task, however common it is.
 4. Groups have equal length and equal SHA-256. They are counted before the shuffle, and their one row each is joined back on
    the rows that are in question; rows with a text of their own are never shuffled. A group of any size is split by Spark's
    skew handling, as the join's other side has one row for it.
@@ -38,36 +39,44 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def shared_beginnings(keys: DataFrame, length: str, prefix: str) -> DataFrame:
-    """The (length, prefix) that more than one row has, among lengths that more than one row has."""
-    lengths = keys.groupBy(length).agg(F.count("*").alias("n")).where("n > 1").select(length)
-    alike = keys.join(lengths, length, "left_semi").groupBy(length, prefix).agg(F.count("*").alias("n"))
-    return alike.where("n > 1").select(length, prefix)
+def _slot(keys: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
-def _slot(length: str, prefix: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(bits))
+def screen(keys: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """(bucket, bits): a bitmap with a bit for each value of cols that more than one row has."""
+    slot = _slot(cols, bits)
+    shared = keys.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
+    return shared.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def through(df: DataFrame, bitmap: DataFrame, cols: list[str], bits: int, flag: str) -> DataFrame:
+    """df with a flag that is true for all values of the screen, and for few others. The bitmap's size is fixed, so it is broadcast."""
+    own, bucket, bitset = unused(df, "_own", "_bucket", "_bits")
+    slot = _slot(cols, bits)
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(bitset, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.col(bitset).isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+    joined = df.withColumn(own, F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap.toDF(bucket, bitset)), F.col(own) == F.col(bucket), "left")
+    return joined.select(*df.columns, on.alias(flag))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = (), prefix_chars: int = PREFIX, screen_bits: int = SCREEN_BITS) -> DataFrame:
     """Every row as (id, carried columns, keep_id, group_size, kept). The texts are read twice."""
     kept_cols = [c for c in dict.fromkeys([id_col, *carry]) if c.lower() not in OUT]
-    length, prefix, full, row, bucket, bits, own, first, size = unused(df, "_length", "_prefix", "_full", "_row", "_bucket", "_bits", "_own", "_first", "_size")
+    length, prefix, full, row, asked_for, first, size = unused(df, "_length", "_prefix", "_full", "_row", "_open", "_first", "_size")
     normal = normalised(F.col(text_col))
     keyed = df.withColumns({length: F.octet_length(normal), prefix: F.xxhash64(F.substring(normal, 1, prefix_chars))})
     keys = materialize(keyed.select(length, prefix), "beginnings")
-    slot = _slot(length, prefix, screen_bits)
-    screen = shared_beginnings(keys, length, prefix).groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    through = F.col(bits).isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-    seen = keyed.withColumn(own, F.bitmap_bucket_number(slot)).join(F.broadcast(screen), F.col(own) == F.col(bucket), "left")
-    marked = seen.select(*kept_cols, F.col(length), F.when(through, F.unhex(F.sha2(normal, 256))).alias(full), F.monotonically_increasing_id().alias(row))
+    alike = through(keys, screen(keys, [length], screen_bits), [length], screen_bits, asked_for).where(asked_for)
+    seen = through(keyed, screen(alike, [length, prefix], screen_bits), [length, prefix], screen_bits, asked_for)
+    marked = seen.select(*kept_cols, F.col(length), F.when(F.col(asked_for), F.unhex(F.sha2(normal, 256))).alias(full), F.monotonically_increasing_id().alias(row))
     marked = materialize(marked, "hashed")
     alone = marked.where(F.col(full).isNull()).select(*kept_cols, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     asked = marked.where(F.col(full).isNotNull())
     best = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias(first)
-    found = asked.groupBy(length, full).agg(best, F.count("*").alias(size)).where(F.col(size) > 1)
+    # written, so that both sides of the join are plain shuffles, which Spark can split where a group is large
+    found = materialize(asked.groupBy(length, full).agg(best, F.count("*").alias(size)).where(F.col(size) > 1), "groups")
     joined = asked.join(found, [length, full], "left")
     grouped = F.col(size).isNotNull()
     together = joined.select(
