@@ -124,11 +124,11 @@ def test_upsert_by_key_defaults(spark):
 
 def test_indicators(spark, bars):
     rows = [(f"2025-01-{d:02d}", float(d), float(d + 1), float(d), float(d), 1) for d in range(1, 31)]
-    df = bars(*rows)
-    last = indicators.rsi(indicators.bollinger(df, 5)).orderBy(F.desc("date")).first()
+    df = bars(*rows).withColumn("series", F.lit("gold"))
+    last = indicators.rsi(indicators.bollinger(df, "series", 5), "series").orderBy(F.desc("date")).first()
     assert last.sma == 28.0 and last.rsi == 100.0
-    assert indicators.bollinger(df, 5).where("sma is null").count() == 4
-    assert indicators.macd(df).count() == 30 and indicators.support_resistance(df, 5).orderBy(F.desc("date")).first().support == 26.0
+    assert indicators.bollinger(df, "series", 5).where("sma is null").count() == 4
+    assert indicators.macd(df, "series").count() == 30 and indicators.support_resistance(df, "series", 5).orderBy(F.desc("date")).first().support == 26.0
     assert abs(indicators.trend(df).first().slope - 1) < 1e-9
     assert spark.range(1).select(pct_change(F.lit(1.0), F.lit(0.0))).first()[0] == 0.0
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import rolling_sums
+
 
 def fresh_entries(entries: DataFrame, as_of: float, ttl: float) -> DataFrame:
     """entries(cache_key, ts in epoch seconds, ...) with age and whether it is under the time to live."""
@@ -50,10 +52,11 @@ def serve(candidates: DataFrame, as_of: float, force: bool = False) -> DataFrame
 def trailing_counts(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
     """Per request(key, ts) the requests of its key in the last seconds, itself included, and whether they exceed the cap.
 
-    All requests count, also those that a limiter would refuse; ``limit_requests`` has the exact rule.
+    All requests count, also those that a limiter would refuse; ``limit_requests`` has the exact rule. A key is counted in time
+    slices, so a busy one is many tasks. Requests without a time are left out.
     """
-    line = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.withColumn("n_window", F.count("*").over(line)).withColumn("over_cap", F.col("n_window") > cap)
+    counted = rolling_sums(requests, {"n_window": F.lit(1)}, "ts", seconds, max(4 * seconds, 3_600), ("key",))
+    return counted.withColumn("over_cap", F.col("n_window") > cap)
 
 
 def limit_requests(requests: DataFrame, seconds: int, cap: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import indicators as ind
 from tickloom.operators import prices as op
 from tickloom.operators import upserts as up
-from tickloom.sources.views import DOLLAR_SQL, GOLD_SQL, dollar_bars, gold_bars
+from tickloom.sources.views import DOLLAR_SQL, GOLD_SQL, SERIES_SQL, dollar_bars, gold_bars, series_bars
 
 ANCHOR, AS_OF, QUOTE = "2000-01-01", "2001-08-01", 250000.0
 
@@ -34,6 +34,10 @@ def _both(run):
     return lambda spark, sf_dir: run(gold_bars(spark, sf_dir), dollar_bars(spark, sf_dir))
 
 
+def _series(run):
+    return lambda spark, sf_dir: run(series_bars(spark, sf_dir))
+
+
 def _halves(bars):
     """Test inputs of an upsert: bars of even days as the table, those of odd days and of days divisible by 3 as incoming, changed."""
     day = F.unix_date("date")
@@ -109,11 +113,11 @@ QUERIES = {
     "bar_insert_counts": _gold(bar_insert_counts),
     "bar_insert_if_absent": _gold(bar_insert),
     "dollar_synth_upsert": lambda spark, sf_dir: dollar_upsert(dollar_bars(spark, sf_dir)),
-    "sma_bollinger": _gold(lambda b: _round(ind.bollinger(b), 0, "sma", "upper", "lower")),
-    "rsi": _gold(lambda b: _round(ind.rsi(b), 4, "rsi")),
-    "macd": _gold(lambda b: _round(ind.macd(b), 4, "macd")),
-    "support_resistance": _gold(ind.support_resistance),
-    "log_volatility": _gold(lambda b: _round(ind.log_volatility(b), 8, "log_vol")),
+    "sma_bollinger": _series(lambda b: _round(ind.bollinger(b, "series"), 4, "sma", "upper", "lower")),
+    "rsi": _series(lambda b: _round(ind.rsi(b, "series"), 4, "rsi")),
+    "macd": _series(lambda b: _round(ind.macd(b, "series"), 4, "macd")),
+    "support_resistance": _series(lambda b: ind.support_resistance(b, "series")),
+    "log_volatility": _series(lambda b: _round(ind.log_volatility(b, "series"), 8, "log_vol")),
     "trend_line": _gold(lambda b: _round(ind.trend(b), 4, "slope", "intercept")),
     "outlier_filter": _gold(lambda b: ind.without_outliers(b.select("date", F.col("close_price").alias("price")), z=1.5)),
 }
@@ -134,7 +138,9 @@ base AS (SELECT date, open_price, high_price, low_price, close_price, volume, (c
 inc0 AS (SELECT date, CASE WHEN n % 5 = 0 THEN 0.0 ELSE open_price END AS open_price, CASE WHEN n % 7 = 0 THEN 0.0 ELSE high_price + 10 END AS high_price,
   low_price - 10 AS low_price, close_price + 1 AS close_price, volume FROM seeded WHERE n % 2 = 1 OR n % 3 = 0),
 inc AS (SELECT *, CASE WHEN open_price = 0 THEN 0.0 ELSE (close_price - open_price) / open_price * 100 END AS change_percent FROM inc0)"""
-_LINE = "OVER (ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
+_S = f"WITH {SERIES_SQL}"
+_BARS = "series, date, open_price, high_price, low_price, close_price"
+_LINE = "OVER (PARTITION BY series ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 
 ORACLE = {
     "stats_ytd": f"""{_G},
@@ -219,18 +225,18 @@ base AS (SELECT * FROM n WHERE k % 2 = 0)
 SELECT coalesce(b.date, t.date) AS date, coalesce(t.prev, b.open_price) AS open_price, greatest(b.high_price, t.price, t.prev) AS high_price,
   least(b.low_price, t.price, t.prev) AS low_price, coalesce(t.price, b.close_price) AS close_price, 0 AS volume,
   CASE WHEN t.date IS NULL THEN 0.0 ELSE (t.price - t.prev) / t.prev * 100 END AS change_percent FROM base b FULL JOIN tick t ON b.date = t.date""",
-    "sma_bollinger": f"""{_G}, w AS (SELECT *, count(close_price) {_LINE.format(n=19)} AS c, avg(close_price) {_LINE.format(n=19)} AS m, stddev_pop(close_price) {_LINE.format(n=19)} AS s FROM gold)
-SELECT date, open_price, high_price, low_price, close_price, volume, CASE WHEN c = 20 THEN round(m, 0) END AS sma, CASE WHEN c = 20 THEN round(m + 2 * s, 0) END AS upper, CASE WHEN c = 20 THEN round(m - 2 * s, 0) END AS lower FROM w""",
-    "rsi": f"""{_G}, v AS (SELECT *, close_price - lag(close_price) OVER (ORDER BY date) AS move FROM gold),
+    "sma_bollinger": f"""{_S}, w AS (SELECT *, count(close_price) {_LINE.format(n=19)} AS c, avg(close_price) {_LINE.format(n=19)} AS m, stddev_pop(close_price) {_LINE.format(n=19)} AS s FROM bars)
+SELECT {_BARS}, CASE WHEN c = 20 THEN round(m, 4) END AS sma, CASE WHEN c = 20 THEN round(m + 2 * s, 4) END AS upper, CASE WHEN c = 20 THEN round(m - 2 * s, 4) END AS lower FROM w""",
+    "rsi": f"""{_S}, v AS (SELECT *, close_price - lag(close_price) OVER (PARTITION BY series ORDER BY date) AS move FROM bars),
 w AS (SELECT *, count(move) {_LINE.format(n=13)} AS c, sum(CASE WHEN move > 0 THEN move ELSE 0.0 END) {_LINE.format(n=13)} AS g, sum(CASE WHEN move < 0 THEN -move ELSE 0.0 END) {_LINE.format(n=13)} AS l FROM v)
-SELECT date, open_price, high_price, low_price, close_price, volume, CASE WHEN c = 14 THEN round(CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END, 4) END AS rsi FROM w""",
-    "macd": f"""{_G.replace("WITH", "WITH RECURSIVE")}, r AS (SELECT date, close_price, row_number() OVER (ORDER BY date) AS rn FROM gold),
-e AS (SELECT rn, date, close_price AS f, close_price AS l FROM r WHERE rn = 1
-  UNION ALL SELECT r.rn, r.date, e.f * (1 - 2.0::DOUBLE / 13) + r.close_price * (2.0::DOUBLE / 13), e.l * (1 - 2.0::DOUBLE / 27) + r.close_price * (2.0::DOUBLE / 27) FROM e JOIN r ON r.rn = e.rn + 1)
-SELECT date, round(f - l, 4) AS macd FROM e""",
-    "support_resistance": f"{_G} SELECT *, min(low_price) {_LINE.format(n=19)} AS support, max(high_price) {_LINE.format(n=19)} AS resistance FROM gold",
-    "log_volatility": f"""{_G}, v AS (SELECT *, ln(close_price) - ln(lag(close_price) OVER (ORDER BY date)) AS r FROM gold)
-SELECT date, open_price, high_price, low_price, close_price, volume, round(stddev_samp(r) {_LINE.format(n=19)}, 8) AS log_vol FROM v""",
+SELECT {_BARS}, CASE WHEN c = 14 THEN round(CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END, 4) END AS rsi FROM w""",
+    "macd": f"""{_S.replace("WITH", "WITH RECURSIVE", 1)}, r AS (SELECT series, date, close_price, row_number() OVER (PARTITION BY series ORDER BY date) AS rn FROM bars),
+e AS (SELECT series, rn, date, close_price AS f, close_price AS l FROM r WHERE rn = 1
+  UNION ALL SELECT r.series, r.rn, r.date, e.f * (1 - 2.0::DOUBLE / 13) + r.close_price * (2.0::DOUBLE / 13), e.l * (1 - 2.0::DOUBLE / 27) + r.close_price * (2.0::DOUBLE / 27) FROM e JOIN r ON r.series = e.series AND r.rn = e.rn + 1)
+SELECT series, date, round(f - l, 4) AS macd FROM e""",
+    "support_resistance": f"{_S} SELECT *, min(low_price) {_LINE.format(n=19)} AS support, max(high_price) {_LINE.format(n=19)} AS resistance FROM bars",
+    "log_volatility": f"""{_S}, v AS (SELECT *, ln(close_price) - ln(lag(close_price) OVER (PARTITION BY series ORDER BY date)) AS r FROM bars)
+SELECT {_BARS}, round(stddev_samp(r) {_LINE.format(n=19)}, 8) AS log_vol FROM v""",
     "trend_line": f"{_G}, v AS (SELECT close_price AS y, CAST(date - (SELECT min(date) FROM gold) AS DOUBLE) AS x FROM gold) SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM v",
     "outlier_filter": f"{_G}, s AS (SELECT avg(close_price) AS m, stddev_pop(close_price) AS s FROM gold) SELECT date, close_price AS price FROM gold, s WHERE s.s = 0 OR abs(close_price - m) <= 1.5 * s.s",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import feeds, prices, reports, serving
+from tickloom.plans import feeds, prices, reports, series, serving
 
-MODULES = (prices, feeds, serving, reports)
+MODULES = (prices, feeds, serving, reports, series)
 
 
 def queries() -> dict:

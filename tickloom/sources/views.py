@@ -62,6 +62,19 @@ dollar AS (
   FROM ranked GROUP BY date)"""
 
 
+def series_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both daily series, with their name."""
+    columns = ("date", "open_price", "high_price", "low_price", "close_price")
+    both = (("gold", gold_bars), ("dollar", dollar_bars))
+    gold, dollar = (bars(spark, sf_dir).select(F.lit(name).alias("series"), *columns) for name, bars in both)
+    return gold.union(dollar)
+
+
+SERIES_SQL = f"""{GOLD_SQL}, {DOLLAR_SQL}, bars AS (
+  SELECT 'gold' AS series, date, open_price, high_price, low_price, close_price FROM gold
+  UNION ALL SELECT 'dollar', date, open_price, high_price, low_price, close_price FROM dollar)"""
+
+
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A news feed from events."""
     kind = F.col("event_type")
