@@ -88,16 +88,50 @@ def rating_counts(institutions: DataFrame) -> DataFrame:
     return institutions.agg(*(F.count_if(F.col("rating") == r).alias(r) for r in ("bullish", "bearish", "neutral")))
 
 
-def names_by_rating(institutions: DataFrame) -> DataFrame:
-    """Per rating the first words of the names, in order, joined by "、"."""
-    first = F.split("institution_name", " ")[0]
-    return institutions.groupBy("rating").agg(F.array_join(F.array_sort(F.collect_list(first)), "、").alias("names"))
+def names_by_rating(institutions: DataFrame, most: int = 1_000) -> DataFrame:
+    """Per rating the first words of the names, in order, joined by "、"; the first ``most`` names, as it is one line of a report.
+
+    ``n_names`` says how many there are.
+    """
+    line = Window.partitionBy("rating").orderBy("name")
+    named = institutions.select("rating", F.split("institution_name", " ")[0].alias("name")).where("name IS NOT NULL")
+    counts = institutions.groupBy("rating").agg(F.count("institution_name").alias("n_names"))
+    first = named.withColumn("rn", F.row_number().over(line)).where(F.col("rn") <= most)
+    lines = first.groupBy(F.col("rating").alias("r")).agg(F.array_join(F.array_sort(F.collect_list("name")), "、").alias("names"))
+    return counts.join(lines, F.col("rating").eqNullSafe(F.col("r")), "left").select("rating", F.coalesce("names", F.lit("")).alias("names"), "n_names")
 
 
 def target_range(institutions: DataFrame) -> DataFrame:
     return institutions.agg(F.min("target_price").alias("lowest"), F.max("target_price").alias("highest"), F.avg("target_price").alias("average"), F.mode("rating", True).alias("consensus"))
 
 
+def target_consensus(views: DataFrame, weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: the weighted target, how many views it is made of and their weight, the rating of most views and how many have it.
+
+    weights(institution_name, weight). Weights are those of the views present: institutions without a positive weight, and views without a target,
+    take no part in the target. Every view with a rating has one vote; a tie goes to the rating with more weight, then to
+    the first in the alphabet. Counted per rating first, so a large group is a few rows.
+    """
+    known = weights.where("weight > 0").groupBy("institution_name").agg(F.max("weight").alias("weight"))
+    rows = views.join(known, "institution_name", "left")
+    counts = F.col("weight").isNotNull() & F.col("target_price").isNotNull()
+    each = rows.groupBy(*by, "rating").agg(
+        F.sum(F.when(counts, F.col("weight") * F.col("target_price"))).alias("value"),
+        F.sum(F.when(counts, F.col("weight"))).alias("weight"),
+        F.count_if(counts).alias("n"),
+        F.count("*").alias("votes"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("heavy"),
+    )
+    ahead = F.when(F.col("rating").isNotNull(), F.struct((-F.col("votes")).alias("votes"), (-F.col("heavy")).alias("heavy"), "rating"))
+    return each.groupBy(*by).agg(
+        (F.sum("value") / F.sum("weight")).alias("weighted_target"),
+        F.sum("n").alias("n_targets"),
+        F.sum("weight").alias("total_weight"),
+        F.min_by("rating", ahead).alias("rating"),
+        F.min_by("votes", ahead).alias("votes"),
+    )
+
+
 def fresh_rows(df: DataFrame, as_of: int, ttl: int, least: int, take: int, stamp: str = "updated_at") -> DataFrame:
     """The first rows by id that are no older than ttl, if at least ``least`` are; else none. Stamps are epoch seconds."""
     fresh = df.where(F.lit(as_of) - F.col(stamp) <= ttl)
@@ -117,5 +151,5 @@ def advice_context(stats: DataFrame, bullish: DataFrame, bearish: DataFrame, ins
     """The four one-row inputs of an advice side by side; a missing one gives NULL columns."""
     out = stats
     for side in (bullish, bearish, institutions):
-        out = out.join(F.broadcast(side), F.lit(True), "left")
+        out = out.join(F.broadcast(side.limit(1)), F.lit(True), "left")
     return out

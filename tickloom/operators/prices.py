@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import distance_from_high, falsy_coalesce, market_rule, market_status, pct_change, present
+from tickloom.operators.series import carry_forward
 
 #: Fixed values of an empty year: its start price and the date reported for its low.
 DEFAULT_START, DEFAULT_MIN_DATE = 2633.0, "2025-01-02"
@@ -206,6 +207,29 @@ def overlay_aligned(pairs: DataFrame, as_of: str, gold: float | None = None, dol
     return pairs.where(F.col("date") != F.lit(as_of).cast("date")).unionByName(quote)
 
 
+def overlay_quotes(pairs: DataFrame, quotes: DataFrame, width: int = 365) -> DataFrame:
+    """An aligned series with the quotes(ts, gold, dollar) of many days; the last value of each of a day holds.
+
+    A day that lacks a quote of one side keeps its stored value, else it takes the last one before it, stored or quoted. Quoted days
+    for which a side has no value at all are left out; so is a quote without a time. Laying the same quotes over the result changes
+    nothing. ``width`` is the days of a time slice (``operators.series``).
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))
+    days = quotes.where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("__date")).agg(last("gold").alias("__gold"), last("dollar").alias("__dollar"))
+    both = pairs.join(days, F.col("date") == F.col("__date"), "full_outer")
+    both = both.select(
+        F.coalesce("date", "__date").alias("date"),
+        F.coalesce("__gold", "gold_price").alias("gold_price"),
+        F.coalesce("__dollar", "dollar_index").alias("dollar_index"),
+        F.col("__date").isNotNull().alias("__quoted"),
+        F.struct("gold_price", "dollar_index").alias("__stored"),
+    )
+    carried = carry_forward(both, ["gold_price", "dollar_index"], "date", width)
+    value = lambda c: F.when(F.col("__quoted"), F.col(c)).otherwise(F.col(f"__stored.{c}")).alias(c)
+    whole = ~F.col("__quoted") | (F.col("gold_price").isNotNull() & F.col("dollar_index").isNotNull())
+    return carried.where(whole).select("date", value("gold_price"), value("dollar_index"))
+
+
 def resolve_quote(bars: DataFrame, quotes: DataFrame) -> DataFrame:
     """The best realtime quote, by ascending priority, or else the latest close with its change to the day before.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import rolling_sums
+from tickloom.operators.series import as_of, rolling_sums
 
 
 def fresh_entries(entries: DataFrame, as_of: float, ttl: float) -> DataFrame:
@@ -49,6 +49,24 @@ def serve(candidates: DataFrame, as_of: float, force: bool = False) -> DataFrame
     return candidates.where(good & F.col("value").isNotNull()).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+def served_operations(operations: DataFrame, ttl: float, slice_seconds: float = 3_600) -> DataFrame:
+    """Every get of operations(cache_key, ts, op, value) with what the cache holds then: ts, event (hit or miss), value and age.
+
+    The batch form of ``streaming.cache.served``: op is put, remove or get, those of one time in that order; an entry is fresh for less
+    than ``ttl`` seconds. Of puts of one time the one with the largest value holds. Rows without a time are left out.
+    """
+    timed = operations.where("ts IS NOT NULL").withColumn("cache_key", F.col("cache_key").cast("string"))
+    # NULL is a key of a cache
+    timed = timed.withColumn("__key", F.concat(F.lit("k"), "cache_key")).fillna({"__key": ""})
+    gets, changes = timed.where("op = 'get'").select("cache_key", "ts", "__key"), timed.where("op IN ('put', 'remove')")
+    changes = changes.withColumn("__rank", F.when(F.col("op") == "remove", 1).otherwise(0))
+    found = as_of(gets, changes, "ts", {"value": "value", "__op": "op", "__at": "ts"}, slice_seconds, ("__key",), order=("__rank", "value"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    age = (micros("ts") - micros("__at")) / 1e6
+    fresh = F.coalesce((F.col("__op") == "put") & (age < ttl), F.lit(False))
+    return found.select("cache_key", "ts", F.when(fresh, "hit").otherwise("miss").alias("event"), F.when(fresh, F.col("value")).alias("value"), F.when(fresh, age).alias("age"))
+
+
 def trailing_counts(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
     """Per request(key, ts) the requests of its key in the last seconds, itself included, and whether they exceed the cap.
 
@@ -59,29 +77,43 @@ def trailing_counts(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
     return counted.withColumn("over_cap", F.col("n_window") > cap)
 
 
-def limit_requests(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
-    """requests(key, ts) with ``allowed``: fewer than cap allowed requests of its key lie in the seconds before.
+def limit_by_class(requests: DataFrame, limits: DataFrame) -> DataFrame:
+    """requests(key, class, ts) under limits(class, cap, seconds): each with ``allowed`` and, if refused, ``retry_after`` in seconds.
 
-    Acceptance feeds back, so each key is walked in order: Spark's sort brings its requests one after another, and the walk
-    holds the last cap allowed times only. Requests without a time are left out.
+    A request is allowed if fewer than cap allowed requests of its key and class lie in the seconds before; a refused one may come
+    back when the oldest of the last cap has left, never under a cap of 0 (NULL). Classes without a limit are allowed all. Acceptance
+    feeds back, so each (key, class) is walked in order: Spark's sort brings its requests one after another, and the walk holds the
+    last cap allowed times only. Requests without a time are left out. limits has one row a class.
     """
-    micros, cap = seconds * 1_000_000, max(cap, 0)
-    kind = requests.schema["key"].dataType.simpleString()
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    caps = limits.select(F.col("class").alias("__class"), F.greatest("cap", F.lit(0)).cast("long").alias("cap"), (F.col("seconds").cast("long") * 1_000_000).alias("span"))
+    timed = requests.select("key", "class", micros.alias("at")).where("at IS NOT NULL").join(caps, F.col("class") == F.col("__class"), "left").drop("__class")
+    free = timed.where("cap IS NULL").select("key", "class", "at", F.lit(True).alias("allowed"), F.lit(None).cast("double").alias("retry_after"))
+    kinds = [requests.schema[c].dataType.simpleString() for c in ("key", "class")]
 
     def walk(batches):
         # no key equals the object that stands before the first
-        key, times = object(), deque(maxlen=cap)
+        last, times = object(), deque()
         for batch in batches:
-            out = []
-            for k, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                if k != key and (k == k or key == key):  # NaN is one key
-                    key, times = k, deque(maxlen=cap)
-                ok = len(times) < cap or (cap > 0 and times[0] <= at - micros)
+            allowed, retry = [], []
+            columns = [batch.column(c).to_pylist() for c in ("key", "class", "at", "cap", "span")]
+            for key, kind, at, cap, span in zip(*columns, strict=True):
+                own = ("NaN" if key != key else (key,), kind)  # NaN is one key
+                if own != last:
+                    last, times = own, deque(maxlen=cap)
+                ok = len(times) < cap or (cap > 0 and times[0] <= at - span)
+                retry.append(None if ok or not cap else (times[0] + span - at) / 1e6)
+                allowed.append(ok)
                 if ok:
                     times.append(at)
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), pa.array(out, pa.bool_())], ["key", "at", "allowed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "class", "at")), pa.array(allowed, pa.bool_()), pa.array(retry, pa.float64())], ["key", "class", "at", "allowed", "retry_after"])
+
+    capped = timed.where("cap IS NOT NULL").repartition("key", "class").sortWithinPartitions("key", "class", "at")
+    walked = capped.mapInArrow(walk, f"key {kinds[0]}, class {kinds[1]}, at bigint, allowed boolean, retry_after double")
+    return free.unionByName(walked).withColumn("at", F.timestamp_micros("at").cast(requests.schema["ts"].dataType)).withColumnRenamed("at", "ts")
 
-    timed = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL")
-    walked = timed.repartition("key").sortWithinPartitions("key", "at").mapInArrow(walk, f"key {kind}, at bigint, allowed boolean")
-    return walked.select("key", F.timestamp_micros("at").alias("ts"), "allowed")
+
+def limit_requests(requests: DataFrame, seconds: int, cap: int) -> DataFrame:
+    """requests(key, ts) with ``allowed``, under one limit for all; see ``limit_by_class``."""
+    one = requests.sparkSession.range(1).select(F.lit("all").alias("class"), F.lit(cap).alias("cap"), F.lit(seconds).alias("seconds"))
+    return limit_by_class(requests.select("key", F.lit("all").alias("class"), "ts"), one).select("key", "ts", "allowed")

@@ -33,7 +33,7 @@ def news_dedup(spark, sf_dir):
     """Documents in the role of a feed whose url is the text: those of even ids are stored, the others come in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("url"))
     fresh = up.insert_if_absent(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), ["url"], "doc_id")
-    return fresh.groupBy((F.col("doc_id") % 2).alias("side")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return fresh.select("doc_id", F.md5("url").alias("url_md5"))
 
 
 def factor_upsert(all_factors):
@@ -55,9 +55,10 @@ def fresh_gate(all_rows):
 
 
 def consensus(all_rows):
-    """Equal weights per timeframe's mean target, and the majority rating."""
-    each = all_rows.groupBy("timeframe").agg(F.sum(F.round("target_price", 2).cast("decimal(20,2)")).cast("double").alias("s"), F.count("*").alias("n"))
-    return each.select("timeframe", F.round(F.col("s") / F.col("n"), 4).alias("average_target"), F.lit(0.25).alias("weight"))
+    """Per timeframe; weights go from 0.25 to 1 with the institution, every seventh has none."""
+    weights = all_rows.where("id % 7 <> 0").select("institution_name", ((F.col("id") % 4 + 1) / 4.0).alias("weight"))
+    found = op.target_consensus(all_rows, weights, ("timeframe",))
+    return found.withColumn("weighted_target", F.round("weighted_target", 4))
 
 
 def advice(spark, sf_dir):
@@ -131,8 +132,8 @@ SELECT *, positive::DOUBLE / total AS positive_share, neutral::DOUBLE / total AS
     "news_context_lines": f"{_N} SELECT string_agg('[' || source || '] ' || title, chr(10) ORDER BY published_at DESC, id) AS context FROM (SELECT * FROM news ORDER BY published_at DESC, id LIMIT 15)",
     "news_feed_union": f"{_N} SELECT title, substring(title, 1, 8) AS content, source, published_at AS published FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, title) AS rn FROM news) WHERE rn <= 5",
     "news_dedup_ingest": """WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0),
-b AS (SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM a) GROUP BY text),
-u AS (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) SELECT doc_id % 2 AS side, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM u GROUP BY 1""",
+b AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM a) GROUP BY text)
+SELECT doc_id, md5(text) AS url_md5 FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "news_tfidf": f"""{_N}, s AS (SELECT id, title FROM news), w AS (SELECT id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) AS word FROM s),
 tf AS (SELECT id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
 x AS (SELECT id, word, tf * ln((SELECT count(DISTINCT id) FROM s) / df::DOUBLE) AS weight FROM tf JOIN df USING (word)),
@@ -147,13 +148,17 @@ b AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description
 SELECT coalesce(a.type, b.type) AS type, coalesce(a.title, b.title) AS title, coalesce(b.subtitle, a.subtitle) AS subtitle, coalesce(b.description, a.description) AS description,
   coalesce(b.impact, a.impact) AS impact FROM a FULL JOIN b ON a.type = b.type AND a.title = b.title""",
     "institution_counts": f"{_I} SELECT count(*) FILTER (WHERE rating = 'bullish') AS bullish, count(*) FILTER (WHERE rating = 'bearish') AS bearish, count(*) FILTER (WHERE rating = 'neutral') AS neutral FROM institutions",
-    "institution_names": f"{_I} SELECT rating, string_agg(string_split(institution_name, ' ')[1], '、' ORDER BY string_split(institution_name, ' ')[1]) AS names FROM institutions GROUP BY rating",
+    "institution_names": f"""{_I}, n AS (SELECT rating, string_split(institution_name, ' ')[1] AS name, row_number() OVER (PARTITION BY rating ORDER BY string_split(institution_name, ' ')[1]) AS rn,
+  count(*) OVER (PARTITION BY rating) AS n_names FROM institutions) SELECT rating, string_agg(name, '、' ORDER BY name) AS names, n_names FROM n WHERE rn <= 1000 GROUP BY rating, n_names""",
     "institution_logo": f"{_I} SELECT id, {_FIRST('logo', LOGOS)} ELSE 'BANK' END AS mark FROM institutions",
     "institution_upsert": f"""{_I}, a AS (SELECT * FROM institutions WHERE id % 2 = 0), b AS (SELECT * FROM institutions WHERE id % 2 = 1 OR id % 3 = 0)
 SELECT coalesce(a.institution_name, b.institution_name) AS institution_name, CASE WHEN a.id IS NULL THEN 'NEW' ELSE a.logo END AS logo,
   CASE WHEN b.id IS NULL THEN a.rating ELSE 'neutral' END AS rating, coalesce(b.target_price + 1, a.target_price) AS target_price FROM a FULL JOIN b ON a.institution_name = b.institution_name""",
     "target_range": f"{_I} SELECT min(target_price) AS lowest, max(target_price) AS highest, round(avg(target_price), 4) AS average, (SELECT rating FROM institutions GROUP BY rating ORDER BY count(*) DESC, rating LIMIT 1) AS consensus FROM institutions",
-    "target_consensus": f"{_I} SELECT timeframe, round(CAST(sum(CAST(round(target_price, 2) AS DECIMAL(20, 2))) AS DOUBLE) / count(*), 4) AS average_target, 0.25::DOUBLE AS weight FROM institutions GROUP BY timeframe",
+    "target_consensus": f"""{_I}, w AS (SELECT *, CASE WHEN id % 7 <> 0 THEN (id % 4 + 1) / 4.0::DOUBLE END AS weight FROM institutions),
+t AS (SELECT timeframe, round(sum(weight * target_price) / sum(weight), 4) AS weighted_target, CAST(count(weight) AS BIGINT) AS n_targets, sum(weight) AS total_weight FROM w GROUP BY timeframe),
+v AS (SELECT timeframe, rating, count(*) AS votes, row_number() OVER (PARTITION BY timeframe ORDER BY count(*) DESC, coalesce(sum(weight), 0) DESC, rating) AS rn FROM w GROUP BY timeframe, rating)
+SELECT t.*, v.rating, v.votes FROM t JOIN v USING (timeframe) WHERE rn = 1""",
     "fresh_gate": f"{_I}, f AS (SELECT *, id * 60 AS updated_at FROM institutions WHERE 6000 - id * 60 <= 7200) SELECT * FROM f WHERE (SELECT count(*) FROM f) >= 4 ORDER BY id LIMIT 5",
     "prediction_latest": f"{_P} SELECT * FROM predictions ORDER BY id DESC LIMIT 1",
     "prediction_topn": f"{_P} SELECT id, prediction_type AS type, target_price, confidence FROM predictions ORDER BY id DESC LIMIT 10",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import feeds, prices, reports, series, serving
+from tickloom.plans import feeds, ingest, prices, reports, series, serving
 
-MODULES = (prices, feeds, serving, reports, series)
+MODULES = (prices, feeds, serving, reports, series, ingest)
 
 
 def queries() -> dict:

@@ -145,6 +145,15 @@ def requests(events):
     return events.select(F.col("user_id").alias("key"), "ts")
 
 
+#: Class, requests and seconds; errors have no limit.
+LIMITS = (("view", 3, 172_800), ("click", 1, 86_400), ("purchase", 2, 259_200), ("signup", 0, 60))
+
+
+def rate_limit_classes(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_type").alias("class"), "ts")
+    return op.limit_by_class(rows, spark.createDataFrame(LIMITS, "class string, cap int, seconds int"))
+
+
 def entries(events):
     return events.select(F.col("event_type").alias("cache_key"), F.unix_timestamp("ts").cast("double").alias("ts"))
 
@@ -161,7 +170,28 @@ def serve(spark, sf_dir):
     return op.serve(rows, AS_OF).select("cache_key", "priority", "ts", "value")
 
 
+def serve_forced(spark, sf_dir):
+    """A forced refresh: per user the fresh computation comes first, if it has rows enough; else what ``serve`` gives."""
+    kind, day = F.col("event_type"), F.unix_timestamp("ts").cast("double")
+    computed = kind == "purchase"
+    rows = _events(spark, sf_dir).where(kind.isin("view", "click", "purchase")).select(
+        F.col("user_id").cast("string").alias("cache_key"), F.when(kind == "view", 1).when(kind == "click", 2).otherwise(3).alias("priority"), day.alias("ts"),
+        F.lit(2_592_000.0).alias("ttl"), F.concat(kind, F.lit(" "), F.col("event_id")).alias("value"), computed.alias("computed"),
+        (F.col("event_id") % 10).alias("n_rows"), F.when(computed, 4).alias("least_rows"),
+    )
+    return op.serve(rows, AS_OF, force=True).select("cache_key", "ts", "value", "computed")
+
+
+def cache_operations(spark, sf_dir):
+    """Views put, errors remove and clicks get a user's entry, which lives for a day."""
+    does = F.when(F.col("event_type") == "view", "put").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "click", "get")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("cache_key"), "ts", does.alias("op"), F.concat(F.lit("v"), F.col("event_id")).alias("value"))
+    return op.served_operations(rows, 86_400.0, 6 * 3_600)
+
+
 QUERIES = {
+    "serve_forced": serve_forced,
+    "cache_operations": cache_operations,
     "json_props": json_props,
     "answer_chains": answer_chains,
     "quote_parse": quote_parse,
@@ -181,7 +211,8 @@ QUERIES = {
     "json_rows": json_rows,
     "cache_admin": lambda spark, sf_dir: op.cache_keys(op.invalidate(entries(_events(spark, sf_dir)), ["click", "none"])),
     "rate_window": lambda spark, sf_dir: op.trailing_counts(requests(_events(spark, sf_dir)), 86_400, 2),
-    "rate_limit_exact": lambda spark, sf_dir: op.limit_requests(requests(_events(spark, sf_dir)), 86_400, 2).groupBy("allowed").agg(F.count("*").alias("n")),
+    "rate_limit_exact": lambda spark, sf_dir: op.limit_requests(requests(_events(spark, sf_dir)), 86_400, 2),
+    "rate_limit_classes": rate_limit_classes,
     "cache_freshness": lambda spark, sf_dir: op.cache_summary(entries(_events(spark, sf_dir)), AS_OF, 7200),
     "serve_priority": serve,
 }
@@ -190,6 +221,12 @@ _AROUND = "(SELECT event_id, event_id % 4 AS form, CAST(json_extract_string(prop
 _INDEX = f"""WITH {DOLLAR_SQL} SELECT date, round(open_price, 4) AS open_price, round(high_price, 4) AS high_price, round(low_price, 4) AS low_price,
   round(close_price, 4) AS close_price FROM dollar"""
 ORACLE = {
+    "serve_forced": f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS cache_key, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE -1 END AS p, CAST(epoch_us(ts) // 1000000 AS DOUBLE) AS ts,
+  event_type || ' ' || event_id AS value, event_type = 'purchase' AS computed FROM events WHERE event_type IN ('view', 'click', 'purchase') AND (event_type <> 'purchase' OR event_id % 10 >= 4)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY p, ts DESC, value) AS rn FROM c WHERE {AS_OF} - ts < 2592000) SELECT cache_key, ts, value, computed FROM r WHERE rn = 1""",
+    "cache_operations": """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS cache_key, ts FROM events WHERE event_type = 'click'), c AS (SELECT CAST(user_id AS VARCHAR) AS cache_key, ts, event_type, 'v' || event_id AS value FROM events WHERE event_type IN ('view', 'error')),
+j AS (SELECT g.cache_key, g.ts, c.event_type, c.value, (epoch_us(g.ts) - epoch_us(c.ts)) / 1000000.0::DOUBLE AS age FROM g ASOF LEFT JOIN c ON g.cache_key = c.cache_key AND g.ts >= c.ts)
+SELECT cache_key, ts, CASE WHEN event_type = 'view' AND age < 86400 THEN 'hit' ELSE 'miss' END AS event, CASE WHEN event_type = 'view' AND age < 86400 THEN value END AS value, CASE WHEN event_type = 'view' AND age < 86400 THEN age END AS age FROM j""",
     "dollar_jsonp": f"{_INDEX} WHERE date >= DATE '2000-01-01'",
     "dollar_klines": f"{_INDEX} WHERE date >= DATE '2000-01-01'",
     "dollar_fallback": _INDEX,
@@ -200,11 +237,19 @@ ORACLE = {
   CASE event_id % 5 WHEN 4 THEN event_id ELSE -1 END::DOUBLE AS zero_rule FROM events""",
     "json_rows": """SELECT '{"event_id":' || event_id || ',"kind":' || CASE WHEN event_id % 3 <> 0 THEN '"' || event_type || '"' ELSE 'null' END || '}' AS json FROM events""",
     "cache_admin": "SELECT DISTINCT event_type AS cache_key FROM events WHERE event_type NOT IN ('click', 'none')",
-    "rate_limit_exact": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL),
+    "rate_limit_exact": """WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL),
 walk AS (SELECT user_id, rn, [t] AS times, true AS allowed FROM e WHERE rn = 1 UNION ALL
   SELECT e.user_id, e.rn, CASE WHEN len(w.times) < 2 OR w.times[-2] <= e.t - 86400000000 THEN list_append(w.times, e.t)[-2:] ELSE w.times END,
     len(w.times) < 2 OR w.times[-2] <= e.t - 86400000000 FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.rn = w.rn + 1)
-SELECT allowed, count(*) AS n FROM walk GROUP BY allowed""",
+SELECT e.user_id AS key, e.ts, w.allowed FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.rn = w.rn""",
+    "rate_limit_classes": f"""WITH RECURSIVE l(class, cap, seconds) AS (VALUES {", ".join(str(x) for x in LIMITS)}),
+e AS (SELECT user_id, event_type, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL AND event_type IN (SELECT class FROM l)),
+c AS (SELECT e.*, cap, seconds * 1000000::BIGINT AS span FROM e JOIN l ON class = event_type),
+walk AS (SELECT user_id, event_type, rn, ts, CASE WHEN cap > 0 THEN [t] ELSE [] END AS times, cap > 0 AS allowed, NULL::DOUBLE AS retry_after FROM c WHERE rn = 1
+  UNION ALL SELECT c.user_id, c.event_type, c.rn, c.ts, CASE WHEN ok THEN list_append(times, t)[-cap:] ELSE times END, ok, CASE WHEN NOT ok AND cap > 0 THEN (times[-cap] + span - t) / 1000000.0::DOUBLE END
+  FROM (SELECT c.*, w.times, cap > 0 AND (len(w.times) < cap OR w.times[-cap] <= c.t - c.span) AS ok FROM walk w JOIN c ON c.user_id IS NOT DISTINCT FROM w.user_id AND c.event_type = w.event_type AND c.rn = w.rn + 1) c)
+SELECT user_id AS key, event_type AS class, ts, allowed, retry_after FROM walk
+UNION ALL SELECT user_id, event_type, ts, true, NULL FROM events WHERE ts IS NOT NULL AND (event_type IS NULL OR event_type NOT IN (SELECT class FROM l))""",
     "quote_safe": """WITH q AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS price FROM events WHERE event_id % 7 <> 0)
   SELECT event_id, price, 2.5::DOUBLE AS high, 0.5::DOUBLE AS low, 49.0::DOUBLE AS open, 50.0::DOUBLE AS prev_close, (price - 50.0) / 50.0 * 100 AS change_pct, '2024-01-01 10:00' AS time FROM q""",
     "history_frame": f"""WITH {GOLD_SQL} SELECT date, round(open_price, 4) AS open_price, round(high_price, 4) AS high_price, round(low_price, 4) AS low_price,

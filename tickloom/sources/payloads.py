@@ -64,14 +64,14 @@ def read_rss(spark: SparkSession, path: str, source: str, limit: int = 10) -> Da
 def read_feeds(spark: SparkSession, feeds: dict[str, str], limit: int = 10) -> tuple[list[DataFrame], dict[str, str]]:
     """(frames, failures): the feeds that can be read, source to path, and the errors of those that cannot.
 
-    A feed that fails leaves the others as they are.
+    A feed is read to its last row here, ``limit`` rows at most, so one that breaks late fails here too and leaves the others as
+    they are.
     """
     frames, failures = [], {}
     for source, path in feeds.items():
         try:
             rows = read_rss(spark, path, source, limit)
-            rows.isEmpty()
-            frames.append(rows)
+            frames.append(spark.createDataFrame(rows.collect(), rows.schema))
         except Exception as error:  # whatever a source does wrong
             failures[source] = str(error).split("\n")[0]
     return frames, failures

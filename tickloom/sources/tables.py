@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.sources.payloads import replace_json
@@ -36,3 +39,41 @@ def as_json(df: DataFrame, pretty: bool = False) -> DataFrame:
 def write_statistics(stats: DataFrame, path: str) -> None:
     """One-row statistics as JSON, in place of the old ones once they are written."""
     replace_json(stats, path, ignoreNullFields="false")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
+
+
+def write_partitions(rows: DataFrame, path: str, partition: str, value: Column) -> None:
+    """rows as a table partitioned by a column that is a function of each row; partitions that rows don't touch stay as they are."""
+    placed = rows.withColumn(partition, value).repartition(partition)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str, schema: str, partition: str) -> DataFrame:
+    """The table without its partition column; empty before the first write."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], f"{schema}, {partition} string")
+    return spark.read.schema(f"{schema}, {partition} string").parquet(path)
+
+
+def upsert_partitions(batch: DataFrame, path: str, schema: str, partition: str, value: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[str]:
+    """Merge a batch into a partitioned table: only partitions that it touches are read, merged and written. Returns their names.
+
+    ``value`` must follow from the key that ``merge(stored, batch)`` goes by. The names of touched partitions go through the driver: as
+    many as the batch has. A batch that is applied again changes nothing more, if that holds for merge; the files of other partitions
+    are not touched. Spark moves the new files in after the job; a driver lost between removing and moving leaves a touched partition
+    without rows, so keep the batches of a table, or use a table format with MERGE, where that must not happen.
+    """
+    spark = batch.sparkSession
+    placed = batch.withColumn("__part", value).where("__part IS NOT NULL")
+    touched = sorted(r[0] for r in placed.select(F.col("__part").cast("string")).distinct().collect())
+    if touched:
+        stored = read_partitions(spark, path, schema, partition).where(F.col(partition).isin(touched)).drop(partition)
+        write_partitions(merge(stored, placed.drop("__part")), path, partition, value)
+    return touched

@@ -1,15 +1,19 @@
-"""Structured Streaming forms of bar maintenance, news ingest and the request limiter."""
+"""Structured Streaming forms of bar maintenance, realtime quotes, news ingest and the request limiter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.functions.exprs import pct_change
+from tickloom.operators.prices import overlay_quotes
 from tickloom.operators.upserts import merge_bars
+from tickloom.sources.tables import upsert_partitions
 
 
 def daily_bars(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -40,6 +44,51 @@ def upsert_into(read: Callable[[], DataFrame], write: Callable[[DataFrame, int],
     return merge
 
 
+def upsert_into_partitions(path: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_bars) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges bars into a table by month; months that a batch doesn't touch are neither read nor
+    written, so a batch costs what its days cost. A repeated batch is harmless."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            upsert_partitions(batch, path, schema, "month", F.date_format("date", "yyyy-MM"), merge)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def overlay_into(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that lays a batch of quotes(ts, gold, dollar) over the stored aligned series.
+
+    The writer gets the batch number, as in ``upsert_into``. Laying a batch over its own result changes nothing.
+    """
+
+    def overlay(batch: DataFrame, number: int) -> None:
+        write(overlay_quotes(read(), batch), number)
+
+    return overlay
+
+
+def overlay_stream(quotes: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds", once: bool = False) -> StreamingQuery:
+    """Keep the aligned series up to date with a quote stream, a batch every few seconds; ``once`` takes what is there and ends."""
+    writer = quotes.writeStream.foreachBatch(overlay_into(read, write)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def quote_changes(quotes: DataFrame, bars: DataFrame) -> DataFrame:
+    """A quote stream(ts, series, price) with the close of the series' last stored day before the quote and the change to it.
+
+    A stream-static join on the series and the day: ``bars`` (series, date, close_price) become the days from each close to the next, so a
+    quote meets one row, whatever the length of the series. Quotes of unknown series keep NULLs.
+    """
+    line = Window.partitionBy("series").orderBy("date")
+    days = bars.select(F.col("series").alias("__series"), F.col("date").alias("__from"), F.lead("date").over(line).alias("__to"), F.col("close_price").alias("prev_close"))
+    day = F.to_date("ts")
+    at = (F.col("series") == F.col("__series")) & (day > F.col("__from")) & (F.col("__to").isNull() | (day <= F.col("__to")))
+    return quotes.join(days, at, "left").drop("__series", "__from", "__to").withColumn("change_pct", F.when(F.col("prev_close").isNotNull(), pct_change(F.col("price"), F.col("prev_close"))))
+
+
 def limited(requests: DataFrame, seconds: int = 60, cap: int = 60, delay: str = "1 minute") -> DataFrame:
     """A request stream(key, ts) with ``allowed``: fewer than cap allowed requests of the key lie in the seconds before.
 
