@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import analyzers, documents
 from tickloom.operators import feeds, ingest, serving, upserts
+from tickloom.sources import payloads, tables
 
 FACTORS = "id int, title string, impact string, confidence double"
 
@@ -88,3 +90,46 @@ def test_names_are_a_line_of_the_report(spark, most):
     df = spark.createDataFrame([("b x", "buy"), ("a y", "buy"), (None, "buy"), ("c", None), (None, "sell")], "institution_name string, rating string")
     got = {r.rating: (r.names, r.n_names) for r in feeds.names_by_rating(df, most).collect()}
     assert got == {"buy": ("a" if most == 1 else "a、b", 2), None: ("c", 1), "sell": ("", 0)}
+
+
+def test_raw_files_in_gb2312(spark, tmp_path):
+    """The files' rows are those of the same payload as text; bytes that are no character are replaced."""
+    fields = "2600.5,,,,2.5,0.5,10:00,50,49,,,,2024-01-01,"
+    for k, name in enumerate(("黄金", "纽约黄金", "")):
+        (tmp_path / f"{k}.txt").write_bytes(f'hq_str_hf_GC="{fields}{name}"'.encode("gb2312"))
+    (tmp_path / "3.txt").write_bytes(b'hq_str_hf_GC="' + fields.encode() + b'\xff\xbb\xc6"')
+    (tmp_path / "4.txt").write_bytes(b"")
+    rows = payloads.read_bytes(spark, str(tmp_path))
+    got = {r.path[-5]: (r.q, r.f[13] if r.f else None) for r in rows.select("path", documents.quote_b(F.col("payload")).alias("q"), documents.quote_fields(F.col("payload"), "hq_str_hf_GC").alias("f")).collect()}
+    text = spark.createDataFrame([(f'hq_str_hf_GC="{fields}"',)], "payload string").select(documents.quote_b(F.col("payload"))).first()[0]
+    assert [got[k][1] for k in "0123"] == ["黄金", "纽约黄金", "", "\ufffd黄"] and all(got[k][0] == text for k in "0123") and "4" not in got
+    odd = spark.createDataFrame([(1, None), (2, bytearray(b"a"))], "a int, payload binary")
+    assert [(r.a, r.payload) for r in payloads.decoded(odd, "payload").orderBy("a").collect()] == [(1, None), (2, "a")]
+    with pytest.raises(LookupError):
+        payloads.decoded(odd, "payload", "no such charset")
+
+
+def test_a_document_is_there_at_every_moment(spark, tmp_path):
+    path, schema = str(tmp_path / "s"), "n long"
+    write = lambda n: tables.write_statistics(spark.range(n).selectExpr("count(*) AS n"), path)
+    write(1)
+    old = tables.read_statistics(spark, path, schema)
+    (tmp_path / "s" / "version=2").mkdir()  # a write that has not ended
+    assert tables.read_statistics(spark, path, schema).first().n == 1
+    write(2)
+    assert old.first().n == 1 and tables.read_statistics(spark, path, schema).first().n == 2
+    write(3)
+    assert tables.read_statistics(spark, path, schema).first().n == 3
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["version=3", "version=4"]
+
+
+def test_analyzers_from_frames_and_sql(spark):
+    docs = spark.createDataFrame([("t", 1, "美元与通胀", "up"), ("t", 2, None, "up"), ("t", 3, "美元", None), ("u", 4, "none", "up")], "topic string, id long, text string, sentiment string")
+    got = sorted(map(tuple, analyzers.analyze(docs, "factor_mentions").collect()))
+    assert got == [("t", 1, "美元", "dollar", 1), ("t", 1, "通胀", "inflation", 1), ("t", 3, "美元", "dollar", 2)]
+    assert "sentiment_runs" in analyzers.register(spark)
+    runs = spark.sql("SELECT * FROM sentiment_runs(TABLE({docs}) PARTITION BY topic ORDER BY id)", docs=docs).collect()
+    assert sorted(map(tuple, runs), key=str) == sorted([("t", "up", 1, 2, 2), ("t", None, 3, 3, 1), ("u", "up", 4, 4, 1)], key=str)
+    assert analyzers.analyze(docs.limit(0), "sentiment_runs").count() == 0
+    with pytest.raises(ValueError, match="no analyzer"):
+        analyzers.analyze(docs, "other")

@@ -5,11 +5,13 @@ Each reader takes a DataFrame with one payload per row and yields rows; malforme
 
 from __future__ import annotations
 
-import uuid
+import codecs
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.exprs import safe_double
 
@@ -85,6 +87,27 @@ def union_feeds(feeds: list[DataFrame], per_source: int = 5, summary: int | None
     return rows if summary is None else rows.withColumn("content", F.substring("content", 1, summary))
 
 
+def decoded(df: DataFrame, column: str, charset: str = "gb2312") -> DataFrame:
+    """df with a binary column as text. Bytes that the charset doesn't know become U+FFFD, one for each as Python's codec counts
+    them; NULL stays NULL. Spark's own decoding takes Unicode charsets only, so the bytes pass through Arrow batches."""
+    codecs.lookup(charset)
+    names, place = df.columns, df.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == column else f.dataType, True) for f in df.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            text = [None if b is None else b.decode(charset, "replace") for b in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def read_bytes(spark: SparkSession, path: str, charset: str = "gb2312") -> DataFrame:
+    """(path, payload): the text of each raw file, as a source sent it. A file is one row; an empty one has none."""
+    files = spark.read.format("binaryFile").load(path)
+    return decoded(files.select("path", F.col("content").alias("payload")), "payload", charset)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, partition_column: str | None = None, bounds: tuple[str, str] | None = None, partitions: int = 8, **options: str) -> DataFrame:
     """A database table, read in ranges of a column where one is given."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000", **options)
@@ -95,7 +118,7 @@ def read_jdbc(spark: SparkSession, url: str, name: str, partition_column: str |
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A cached document with its envelope: data, _timestamp (epoch seconds), _created_at."""
-    return spark.read.schema(f"data {schema}, _timestamp double, _created_at string").json(path, multiLine=True)
+    return spark.read.schema(f"data {schema}, _timestamp double, _created_at string").json(current(spark, path), multiLine=True)
 
 
 def write_cache(data: DataFrame, path: str, now: float, created_at: str) -> None:
@@ -104,24 +127,34 @@ def write_cache(data: DataFrame, path: str, now: float, created_at: str) -> None
     replace_json(row, path)
 
 
-def replace_json(rows: DataFrame, path: str, **options: str) -> None:
-    """rows as one JSON file in the folder ``path``, which keeps its old content if writing fails.
+def _versions(spark: SparkSession, path: str):
+    """(file system, folder, numbers of complete versions ascending, all numbers)."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = sorted(int(n.removeprefix("version=")) for n in found if n.startswith("version=") and n.removeprefix("version=").isdigit())
+    done = [n for n in numbers if files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+    return files, folder, done, numbers
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete version of what ``replace_json`` wrote; the path itself where there are no versions."""
+    done = _versions(spark, path)[2]
+    return f"{path}/version={done[-1]}" if done else path
+
+
+def replace_json(rows: DataFrame, path: str, keep: int = 2, **options: str) -> None:
+    """rows as one JSON file, the new version of the document at ``path``; ``current`` finds it.
 
-    They are written beside it and renamed; between the two renames a reader finds no folder.
+    A version is a folder of its own that counts once Spark has marked it as complete, so there is a document at every moment: a
+    write that fails leaves the old one, and a reader that has started keeps the version that it found. The last ``keep`` versions
+    stay. One writer at a time.
     """
-    context = rows.sparkSession.sparkContext
-    mark, place = uuid.uuid4().hex, context._jvm.org.apache.hadoop.fs.Path
-    fresh, old, final = place(f"{path}.new-{mark}"), place(f"{path}.old-{mark}"), place(path)
-    files = final.getFileSystem(context._jsc.hadoopConfiguration())
-    try:
-        rows.coalesce(1).write.options(**options).json(fresh.toString())
-    except Exception:
-        files.delete(fresh, True)
-        raise
-    had = files.exists(final) and files.rename(final, old)
-    if not files.rename(fresh, final):
-        if had:
-            files.rename(old, final)
-        raise OSError(f"cannot rename {fresh} to {final}")
-    if had:
-        files.delete(old, True)
+    spark = rows.sparkSession
+    files, _, _, numbers = _versions(spark, path)
+    rows.coalesce(1).write.options(**options).json(f"{path}/version={numbers[-1] + 1 if numbers else 1}")
+    *_, done, numbers = _versions(spark, path)
+    for n in numbers:
+        if n < done[-1] and n not in done[-keep:]:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}"), True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.sources.payloads import replace_json
+from tickloom.sources.payloads import current, replace_json
 
 _BAR = "id INT, date DATE NOT NULL, open_price DOUBLE, high_price DOUBLE, low_price DOUBLE, close_price DOUBLE NOT NULL"
 _STAMPS = "created_at TIMESTAMP, updated_at TIMESTAMP"
@@ -41,6 +41,10 @@ def write_statistics(stats: DataFrame, path: str) -> None:
     replace_json(stats, path, ignoreNullFields="false")
 
 
+def read_statistics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(current(spark, path))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
