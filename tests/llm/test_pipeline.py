@@ -57,7 +57,7 @@ def test_documents_that_a_rule_rejects_go(spark, steps):
 
 def test_documents_that_the_model_finds_toxic_go(spark, steps):
     """Every text scored on its own: its words and their beginnings looked up in the model, one document at a time."""
-    model = toxicity.fit(steps[1], toxicity.graded(spark.read.parquet(f"{SF}/labels.parquet")))
+    model = toxicity.fit(steps[1], toxicity.flagged(spark.read.parquet(f"{SF}/labels.parquet")))
     weight = dict(zip(model.keys.tolist(), model.weights, strict=True))
 
     def toxic(text):
