@@ -4,7 +4,7 @@ A stage is (name, function); the function takes (spark, docs, sf_dir) and return
 columns of ``documents``. The order goes from cheap row filters to the jobs that compare documents with each other:
 
 1. quality rules: documents that fail the base rule or that the learned list rejects go.
-2. toxicity: documents that the model finds toxic, with a probability of 0.3 or more, go.
+2. toxicity: documents that the model finds toxic, with a probability of 0.5 or more, go.
 3. MinHash near-dedup: one document of each group stays.
 4. suffix-array dedup: passages of 100 bytes and more that an earlier document has are cut out; every document stays, with
    n_chars of the new text.
@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, toxicity.graded(table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.flagged(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where("not toxic").select(docs.columns)
 
 
