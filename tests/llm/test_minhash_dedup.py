@@ -164,3 +164,13 @@ def test_words_that_agree_modulo_two_to_64_are_not_linked(frame, letters):
     check(frame, rows)
     got = {r.doc_id: r.component_id for r in op.near_duplicates(frame(rows), 4, 80).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_a_bucket_of_any_size_has_the_same_rule(frame, monkeypatch):
+    """With a distance that parts many pairs of the similarity, split and whole buckets part the same ones."""
+    monkeypatch.setattr(op, "DISTANCE", 4)
+    rows = near_copies(11, 12, 9)
+    split, whole = (sorted(map(tuple, op.near_duplicates(frame(rows), 4, 80, hot).collect())) for hot in (1, 10**9))
+    assert split == whole
+    monkeypatch.undo()
+    assert split != sorted(map(tuple, op.near_duplicates(frame(rows), 4, 80).collect()))

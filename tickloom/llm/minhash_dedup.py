@@ -19,7 +19,8 @@ Links, not pairs:
 5. Buckets of more than HOT_BUCKET classes, as those of unlike texts that share boilerplate, are split by a further key
    instead of comparing all members with each other: two linked sets have a shingle in common among the rarest fifth of
    either one, in any common order, so their classes meet there. Common shingles come last in that order, so classes that
-   share only these do not meet. Final components come from all links.
+   share only these do not meet. Pairs that meet must be within the signature distance as everywhere, so whether two texts are
+   linked does not depend on the size of a bucket. Final components come from all links.
 
 Edge cases: words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is one
 shingle, a NULL, empty or blank text has none and is linked with nothing. Rows with a repeated doc_id share its component. A
@@ -240,7 +241,7 @@ def cross_pairs(classes: DataFrame, sets: DataFrame, percent: int, hot: int = HO
       and transform(array({errors}), errs -> {first_key})[0])[0]""")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
     pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-    split_up = rare_pairs(ids.where("hot").select("id", "component"), sets, maps, percent)
+    split_up = within_distance(rare_pairs(ids.where("hot").select("id", "component"), sets, maps, percent), classes).select("a", "b")
     out = materialize(pairs.union(split_up), "cross_pairs")
     release(rows, ids, maps, cool)
     return out
