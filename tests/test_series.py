@@ -96,6 +96,14 @@ def test_rolling_sums_and_correlation(spark, width):
             assert math.isclose(corr[o][1], cross / math.sqrt(xx * yy), abs_tol=1e-9)
 
 
+def test_equal_values_have_no_correlation(spark):
+    """Constants that are far from the key's mean leave rounding, which is no spread."""
+    rows = [("a", t, 0.1 if t < 40 else 1e3 + t, float(t)) for t in range(60)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, y double")
+    got = {r.t: r.correlation for r in op.rolling_correlation(df, "x", "y", "t", 9, 20, ("k",)).collect()}
+    assert all(got[t] is None for t in range(40)) and all(abs(got[t] - 1) < 1e-6 for t in range(50, 60))
+
+
 def test_times_of_all_kinds(spark):
     """Slices of dates are days, those of timestamps seconds."""
     start = dt.datetime(2024, 1, 1)

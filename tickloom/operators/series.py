@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MICROS = 1_000_000
+#: Share of the mean square below which a variance is rounding.
+NO_SPREAD = 1e-10
 
 
 def ticks(df: DataFrame, on: str) -> tuple[Column, int]:
@@ -150,7 +152,8 @@ def rolling_sums(df: DataFrame, sums: dict[str, Column], on: str, span: float, w
 def rolling_correlation(df: DataFrame, x: str, y: str, on: str, span: float, width: float, by: tuple[str, ...] = (), least: int = 2) -> DataFrame:
     """df with ``n_rows`` and ``correlation`` of x and y over the span before each row; NULL for less than ``least`` pairs or no spread.
 
-    Co-moments are rolling sums of values less their key's mean; pairs with a NULL count as nothing.
+    Co-moments are rolling sums of values less their key's mean; pairs with a NULL count as nothing. A variance of less than NO_SPREAD
+    of the mean square is no spread.
     """
     pair = F.col(x).isNotNull() & F.col(y).isNotNull()
     means = df.groupBy(*_keyed(by)).agg(F.avg(F.when(pair, F.col(x))).alias("__mx"), F.avg(F.when(pair, F.col(y))).alias("__my"))
@@ -162,7 +165,9 @@ def rolling_correlation(df: DataFrame, x: str, y: str, on: str, span: float, wid
     out = rolling_sums(centred.drop(*keys), sums, on, span, width, by)
     n = F.col("n_rows")
     sx, sy, sxy = n * F.col("__uu") - F.col("__u") ** 2, n * F.col("__vv") - F.col("__v") ** 2, n * F.col("__uv") - F.col("__u") * F.col("__v")
-    value = F.when((n >= least) & (sx > 0) & (sy > 0), sxy / F.sqrt(sx) / F.sqrt(sy))
+    # what is left of equal values after rounding is no spread
+    spread = (sx > NO_SPREAD * n * F.col("__uu")) & (sy > NO_SPREAD * n * F.col("__vv"))
+    value = F.when((n >= least) & spread, sxy / F.sqrt(sx) / F.sqrt(sy))
     return out.select(*(c for c in df.columns if c not in ("n_rows", "correlation")), "n_rows", value.alias("correlation"))
 
 

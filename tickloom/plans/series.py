@@ -106,7 +106,7 @@ SELECT *, CASE WHEN prev_close_price > 0 THEN (close_price - prev_close_price) /
     "rolling_values": f"""SELECT event_id, user_id, ts, event_type, count(*) OVER {_SPAN} AS n, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER {_SPAN}, 0) AS BIGINT) AS cents FROM events WHERE ts IS NOT NULL""",
     "rolling_corr": f"""WITH {SERIES_SQL}, p AS (SELECT 'gold-dollar' AS series, date, g.close_price AS x, d.close_price AS y FROM gold g JOIN dollar d USING (date)
   UNION ALL SELECT series, date, close_price, high_price - low_price FROM bars)
-SELECT series, date, count(*) OVER {_ROLL} AS n_rows, CASE WHEN count(*) OVER {_ROLL} >= 3 THEN round(corr(x, y) OVER {_ROLL}, 6) END AS correlation FROM p""",
+SELECT series, date, count(*) OVER {_ROLL} AS n_rows, CASE WHEN count(*) OVER {_ROLL} >= 3 AND NOT isnan(corr(x, y) OVER {_ROLL}) THEN round(corr(x, y) OVER {_ROLL}, 6) END AS correlation FROM p""",
     "price_levels": f"""WITH {SERIES_SQL}, near AS (SELECT *, lag(low_price) OVER l AS pl, lead(low_price) OVER l AS nl, lag(high_price) OVER l AS ph, lead(high_price) OVER l AS nh FROM bars WINDOW l AS (PARTITION BY series ORDER BY date)),
 ext AS (SELECT series, date, 'support' AS side, low_price AS price FROM near WHERE low_price < pl AND low_price < nl AND low_price > 0
   UNION ALL SELECT series, date, 'resistance', high_price FROM near WHERE high_price > ph AND high_price > nh AND high_price > 0),
