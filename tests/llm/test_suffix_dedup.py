@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import suffix_dedup as op
 from tickloom.llm.kernels import U64
@@ -66,14 +67,36 @@ def test_equal_rows_of_multikey_quicksort():
 
 def test_many_small_batches_and_ranges(spark, frame, monkeypatch):
     """Settling inside batches, single starts in parts, and splitters change nothing."""
-    for name, value in (("RUNS_AT_ONCE", 50), ("STARTS_AT_ONCE", 37), ("SORTED_AT_ONCE", 500), ("ONE_IN", 1), ("BUCKET_BYTES", 100), ("MOST_RANGES", 5)):
+    for name, value in (("RUNS_AT_ONCE", 50), ("STARTS_AT_ONCE", 37), ("SORTED_AT_ONCE", 500), ("SORTED_STARTS", 30), ("ONE_IN", 1), ("BUCKET_BYTES", 100), ("MOST_RANGES", 5)):
         monkeypatch.setattr(op, name, value)
     rows = passages(5, 40)
     check(frame, rows)
     check(frame, rows, hot_runs=1)
     docs = frame(rows).select("doc_id", "text")
     splitters, parts = op.splitters_of(op.repeated_grams(op.gram_rows(docs, 7, 100, 32)), 100)
-    assert len(splitters) > 2 and parts > 2
+    assert len(splitters) > 2 and len(parts) == len(splitters) + 1 and parts.min() > 2
+
+
+def test_a_common_heading_has_many_buckets(spark, frame, monkeypatch):
+    """Grams that begin in a heading share their leading bytes; their range is dealt to as many buckets as it is quantiles."""
+    monkeypatch.setattr(op, "ONE_IN", 1)
+    monkeypatch.setattr(op, "LEAST_BUCKETS", 1000)
+    rnd = random.Random(11)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    heading, tails = own(40), [own(100) for _ in range(800)]
+    rows = [(k, heading + tails[k // 2] + own(30)) for k in range(1600)]
+    docs = frame(rows).select("doc_id", "text")
+    runs = op.repeated_grams(op.gram_rows(docs, 7, 100, 32))
+    splitters, parts = op.splitters_of(runs, 100)
+    places = runs.groupBy("doc_id").agg(F.collect_list("place").alias("runs")).withColumn("hot", F.array().cast("array<bigint>"))
+    texts = docs.join(places, "doc_id").select("doc_id", "text", "runs", "hot")
+
+    def largest(parts):
+        sent = op.send_runs(texts, splitters, parts, 100, 32).where("not settled")
+        return sent.groupBy("bucket").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0]
+
+    assert parts.max() > 5 and 2 * largest(parts) < largest(np.ones_like(parts))
+    check(frame, rows)
 
 
 @pytest.mark.parametrize(("length", "gram"), [(159, 32), (160, 32), (300, 32), (500, 32), (64, 64), (40, 8)])

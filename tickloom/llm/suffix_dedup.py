@@ -7,7 +7,8 @@ A full suffix array of the corpus would shuffle every byte's suffix with its byt
    have equal anchors, so the starts of a document fall into runs that share an anchor, about one run in 35 bytes. Runs whose
    gram has no equal hash anywhere hold no repeat and go; hashes decide nothing else.
 2. The runs that are left get their bytes from their texts. Sampled splitters range-partition them by their leading tokens, the
-   first bytes of the gram. A bucket sorts its runs by multikey quicksort over eight-byte words. Runs that equal an earlier
+   first bytes of the gram; leading bytes that many grams share are a range of many buckets, by gram. A bucket sorts its runs
+   by multikey quicksort over eight-byte words. Runs that equal an earlier
    neighbour, byte by byte, are repeats as a whole; of the others with one gram the suffixes of all starts are sorted and
    compared with their neighbours in the same way.
 3. Equal strings have equal grams and so equal leading tokens: no splitter can stand between them, and nothing is left to compare
@@ -41,8 +42,8 @@ from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are searched for anchors together, that its arrays cover at a time, and whose runs are sorted together.
 BYTES_AT_ONCE, PIECE, SORTED_AT_ONCE = 3_000_000, 500_000, 32_000_000
-#: Runs that a task packs together, and starts of hot grams that it sends together.
-RUNS_AT_ONCE, STARTS_AT_ONCE = 500_000, 100_000
+#: Runs that a task packs together, starts of hot grams that it sends together, and starts that it sorts together.
+RUNS_AT_ONCE, STARTS_AT_ONCE, SORTED_STARTS = 500_000, 100_000, 400_000
 #: One gram in so many is sampled for splitters, leading bytes that these look at, and the most samples that the driver gets.
 ONE_IN, LEAD, MOST_SAMPLES = 16, 16, 200_000
 #: Bytes of runs for a bucket, the least number of buckets, and ranges that they are parts of at most.
@@ -350,13 +351,14 @@ def _single_starts(x: dict[str, np.ndarray], data: np.ndarray, place: np.ndarray
         yield {"gram": _mixed(padded, p, length), "doc": x["doc"][r], "lo": s, "before": np.zeros(len(r), np.int64), "span": np.zeros(len(r), np.int64)}, p
 
 
-def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int, gram: int) -> DataFrame:
+def send_runs(rows: DataFrame, splitters: np.ndarray, parts: np.ndarray, length: int, gram: int) -> DataFrame:
     """Rows (bucket, settled, base, wide, rows, blob, bytes): runs for their buckets, and spans that repeat an earlier one of a batch.
 
-    rows(doc_id, text, runs, hot) has the places of each text's runs, those of hot grams apart. A bucket is one of ``parts`` of
-    a range between two splitters.
+    rows(doc_id, text, runs, hot) has the places of each text's runs, those of hot grams apart. Range k, before splitter k, is
+    dealt by gram to ``parts[k]`` buckets.
     """
-    buckets = (len(splitters) + 1) * parts
+    first = np.cumsum(parts) - parts
+    buckets = int(parts.sum())
     schema = ["bucket", "settled", "base", "wide", "rows", "blob", "bytes"]
     types = (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
 
@@ -373,10 +375,11 @@ def send_runs(rows: DataFrame, splitters: np.ndarray, parts: int, length: int, g
         return out
 
     def ranged(x, data, place):
-        """The bucket of each run, by the leading bytes of its gram."""
-        padded = np.concatenate([data, np.zeros(LEAD, np.uint8)])
-        leads = np.ascontiguousarray(padded[(place + x["before"])[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
-        return np.searchsorted(splitters, leads, side="right") * parts + (mix(x["gram"]) % U64(parts)).astype(np.int64)
+        """The bucket of each run: the range of the leading bytes of its gram, and a part of it by the gram."""
+        padded, at = np.concatenate([data, np.zeros(LEAD, np.uint8)]), place + x["before"]
+        leads = np.stack([_word(padded, at + k) for k in (0, 8)], axis=1).astype(">u8").view(f"S{LEAD}").ravel()
+        own = np.searchsorted(splitters, leads, side="right")
+        return first[own] + (mix(x["gram"]) % parts[own].astype(U64)).astype(np.int64)
 
     def _row(x, layout):
         base, wide, blob = _pack(x, layout)
@@ -432,10 +435,22 @@ def sort_buckets(rows: DataFrame, length: int) -> DataFrame:
         known = equal_runs(x, data, place, length)
         yield spans(_spans(x["doc"][known], x["lo"][known], (x["lo"] + x["span"])[known]))
         x, place = {n: v[~known] for n, v in x.items()}, place[~known]
-        group = np.unique(x["gram"], return_inverse=True)[1]
-        open_ = np.bincount(group, minlength=1)[group] > 1
-        doc, start = later_starts({n: v[open_] for n, v in x.items()}, data, place[open_], length)
-        yield spans(_spans(doc, start, start))
+        order = np.argsort(x["gram"], kind="stable")
+        group = np.cumsum(_first_of_equal(x["gram"][order])) - 1
+        many = np.bincount(group, minlength=1)[group] > 1
+        order, group = order[many], group[many]
+        # strings of different grams differ: whole groups go together, about SORTED_STARTS at a time
+        starts = np.cumsum(x["span"][order] + 1)
+        at = 0
+        while at < len(order):
+            to = int(np.searchsorted(starts, starts[at] + SORTED_STARTS))
+            to = int(np.searchsorted(group, group[min(to, len(order) - 1)], side="right"))
+            own = order[at:to]
+            used = ranges(place[own], x["span"][own] + length)
+            sizes = x["span"][own] + length
+            doc, start = later_starts({n: v[own] for n, v in x.items()}, data[used], np.cumsum(sizes) - sizes, length)
+            yield spans(_spans(doc, start, start))
+            at = to
 
     def run(batches):
         bucket, parts = None, []
@@ -456,19 +471,24 @@ def sort_buckets(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, lo int, hi int")
 
 
-def splitters_of(runs: DataFrame, length: int) -> tuple[np.ndarray, int]:
-    """(splitters, parts of each range): quantiles of the sampled leading bytes, for buckets of about BUCKET_BYTES."""
+def splitters_of(runs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(splitters, parts of each range): quantiles of the sampled leading bytes, for buckets of about BUCKET_BYTES.
+
+    Leading bytes that many grams have, as those of a common heading, are several quantiles: as a splitter they count once, and
+    the range that they begin has so many times the parts.
+    """
     total = runs.agg(F.sum(F.col("place").bitwiseAND(0xFFFF) + length).alias("size"), F.count("lead").alias("sampled")).first()
     n = max(LEAST_BUCKETS, (total["size"] or 0) // BUCKET_BYTES)
-    parts = -(-n // MOST_RANGES)
+    each = -(-n // MOST_RANGES)
     one_in = -(-total["sampled"] // MOST_SAMPLES)
     sample = runs.where("lead is not null")
     if one_in > 1:
         sample = sample.where(F.pmod(F.xxhash64("doc_id", "place"), F.lit(one_in)) == 0)
     leads = np.sort(np.array([bytes(r["lead"]) for r in sample.select("lead").collect()], f"S{LEAD}"))
     if not len(leads):
-        return leads, parts
-    return np.unique(leads[np.arange(1, n // parts) * len(leads) // (n // parts)]), parts
+        return leads, np.array([each])
+    splitters, times = np.unique(leads[np.arange(1, n // each) * len(leads) // (n // each)], return_counts=True)
+    return splitters, np.concatenate([[1], times]) * each
 
 
 def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
