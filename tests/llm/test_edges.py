@@ -61,3 +61,16 @@ def test_nulls_and_repeats(spark, nulls, name):
         assert not got
     else:
         assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS["documents"])
+
+
+def test_few_partitions_are_dealt_to_all_cores(spark, tmp_path):
+    """One file with one row group is read in one task; spread deals its rows anew, and leaves wide tables and all rows as they are."""
+    from tickloom.llm.common import spread
+
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one, cores = spark.read.parquet(f"{tmp_path}/one"), spark.sparkContext.defaultParallelism
+    dealt = spread(one)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == cores and min(sizes) > 0 and sorted(r.id for r in dealt.collect()) == list(range(5000))
+    wide = spark.range(0, 5000, 1, cores + 1)
+    assert spread(wide) is wide and spread(one.limit(0)).count() == 0

@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, over at least as many partitions as the cluster has cores: for operators to which a row costs far more
+    work than its way to another task.
+
+    A table that comes in fewer partitions, such as one file with a single row group, which Spark reads in one task, is dealt anew;
+    any other stays as it is. Only the order of rows can change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores behind it where a column of df has it; for columns that an operator adds on its way."""
     taken, out = {c.lower() for c in df.columns}, []

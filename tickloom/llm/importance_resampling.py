@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, release, table
+from tickloom.llm.common import materialize, release, spread, table
 from tickloom.llm.kernels import FOLD, ranges, slices, text_bytes, word_spans
 
 BUCKETS, GRAMS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, "2024"
@@ -184,7 +184,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
 
 def query(spark, sf_dir):
-    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    drawn = resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 

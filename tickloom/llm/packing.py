@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, table, unused
+from tickloom.llm.common import materialize, spread, table, unused
 from tickloom.llm.sentencepiece_bpe import count_column
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 16, 65_536
@@ -95,6 +95,6 @@ def pack(df: DataFrame, length_col: str = "n_tokens", key_cols: tuple[str, ...]
 def query(spark, sf_dir):
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counted = materialize(count_column(docs, public_tokenizers.path("piece_bpe_32k.model")), "token_counts")
     return pack(counted)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from tickloom.llm.common import table
+from tickloom.llm.common import spread, table
 from tickloom.llm.kernels import BASE, U64, _powers, mix, ranges, slices
 
 BLANK = "▁"
@@ -420,4 +420,4 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
 def query(spark, sf_dir):
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, table, unused
+from tickloom.llm.common import materialize, spread, table, unused
 from tickloom.llm.kernels import U64, Rolling, mix, ranges, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
@@ -592,4 +592,4 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int =
 
 
 def query(spark, sf_dir):
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(spread(table(spark, sf_dir, "documents")))

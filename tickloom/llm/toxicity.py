@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import spread, table
 from tickloom.llm.kernels import FOLD, U64, Rolling, slices, text_bytes
 
 MAX_LABELLED = 20_000
@@ -211,5 +211,5 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", toxic_fr
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return score(docs, fit(docs, flagged(table(spark, sf_dir, "labels")))).drop("text")
