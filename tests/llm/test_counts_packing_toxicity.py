@@ -68,6 +68,20 @@ def test_stored_trees_take_batches_of_edits(spark, frame, odd):
     assert one[2].n_recounted == one[3].n_recounted == one[6].n_recounted == 0
 
 
+def test_untouched_trees_neither_move_nor_meet_python(spark, frame):
+    """The plan of the rows without edits has no shuffle and no Python; ids of another integer type find their documents."""
+    trees = token_counts.build_trees(frame([(k, f"text {k} of some") for k in range(400)]), VOCABULARY, PATTERN)
+    edits = spark.createDataFrame([(7, 1, 0, 4, "word"), (7, 2, 0, 1, "W")], "doc_id int, seq int, start int, length int, replacement string")
+    out = token_counts.apply_edits(spark.createDataFrame(trees.collect(), trees.schema), edits, VOCABULARY, PATTERN)
+    moved, rest = (out._jdf.queryExecution().optimizedPlan().children().apply(k).toString() for k in (0, 1))
+    assert "MapInArrow" in moved and "MapInArrow" not in rest
+    assert rest.count("Join") == 1 and "rightHint=(strategy=broadcast)" in rest
+    rows = {r.doc_id: r for r in out.withColumn("text", token_counts.text_of()).collect()}
+    assert len(rows) == 400 and rows[7].text == "Word 7 of some" and rows[7].n_recounted > 0
+    assert all(r.text == f"text {k} of some" and r.n_recounted == 0 for k, r in rows.items() if k != 7)
+    assert token_counts.apply_edits(trees, edits.limit(0), VOCABULARY, PATTERN).count() == 400
+
+
 def test_query_counts_equal_fresh_ones(spark):
     import duckdb
 

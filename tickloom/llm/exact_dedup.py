@@ -39,25 +39,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _slot(keys: list[str], bits: int) -> Column:
+def slot(keys: list[str], bits: int) -> Column:
+    """The bit of a screen that the keys' values have."""
     return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
 def screen(keys: DataFrame, cols: list[str], bits: int) -> DataFrame:
     """(bucket, bits): a bitmap with a bit for each value of cols that more than one row has."""
-    slot = _slot(cols, bits)
+    place = slot(cols, bits)
     shared = keys.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
-    return shared.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    return shared.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
 
 
 def through(df: DataFrame, bitmap: DataFrame, cols: list[str], bits: int, flag: str) -> DataFrame:
     """df with a flag that is true for all values of the screen, and for few others. The bitmap's size is fixed, so it is broadcast."""
     own, bucket, bitset = unused(df, "_own", "_bucket", "_bits")
-    slot = _slot(cols, bits)
-    at = F.bitmap_bit_position(slot)
+    place = slot(cols, bits)
+    at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(bitset, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.col(bitset).isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-    joined = df.withColumn(own, F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap.toDF(bucket, bitset)), F.col(own) == F.col(bucket), "left")
+    joined = df.withColumn(own, F.bitmap_bucket_number(place)).join(F.broadcast(bitmap.toDF(bucket, bitset)), F.col(own) == F.col(bucket), "left")
     return joined.select(*df.columns, on.alias(flag))
 
 

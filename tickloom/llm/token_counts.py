@@ -2,7 +2,8 @@
 
 Leaves of the tree are short runs of pre-tokens; every node holds the characters and tokens below it. ``build_trees`` encodes
 texts once into a table of trees; ``apply_edits`` takes such a table, however old, and a batch of edits to the next state of the
-table. Documents without edits pass through as they are. An edit restarts the pre-token pattern at the start of the leaf
+table. Documents without edits pass through as they are: a bitmap of the edited ids, of fixed size, tells them from the others, and
+they are neither shuffled nor seen by Python. An edit restarts the pre-token pattern at the start of the leaf
 that holds the last character that it cannot influence (a match depends on one character behind its end at most, so two
 characters of context are enough) and stops at the first start of an old leaf behind the edit that is a boundary again: from there on
 the old leaves hold. Only the pre-tokens between are encoded, and the sums on their leaves' paths to the root are updated.
@@ -23,7 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, table, unused
+from tickloom.llm.common import materialize, spread, table, unused
+from tickloom.llm.exact_dedup import SCREEN_BITS, slot, through
 
 LEAF = 32
 #: Pre-tokens whose counts a Python worker remembers at most.
@@ -230,12 +232,22 @@ def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, edits_col: str =
 
 
 def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """The next state of a table of trees by doc_id after edits(doc_id, seq, start, length, replacement), with n_recounted."""
-    (name,) = unused(trees, "edits")
+    """The next state of a table of trees by doc_id after edits(doc_id, seq, start, length, replacement), with n_recounted.
+
+    Both tables are read twice. A bit that two ids share sends a document to the edits' join, where it meets none; with many more
+    edited ids than bits, all go there.
+    """
+    name, asked = unused(trees, "edits", "asked")
+    edits = edits.withColumn("doc_id", F.col("doc_id").cast(trees.schema["doc_id"].dataType)).where("doc_id is not null")
+    place = slot(["doc_id"], SCREEN_BITS)
+    ids = edits.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marked = through(trees, ids, ["doc_id"], SCREEN_BITS, asked)
+    untouched = marked.where(~F.col(asked)).drop(asked).withColumn("n_recounted", F.lit(0).cast("bigint"))
     fields = ("start", "length", "replacement")
     each = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", *fields))).alias(name))
     each = each.withColumn(name, F.transform(name, lambda e: F.struct(*(e[f].alias(f) for f in fields))))
-    return edit_trees(trees.join(each, "doc_id", "left"), vocabulary, pattern, name)
+    edited = edit_trees(marked.where(asked).drop(asked).join(each, "doc_id", "left"), vocabulary, pattern, name)
+    return edited.union(untouched.select(*edited.columns))
 
 
 def query_edits(text):
@@ -251,7 +263,7 @@ def query(spark, sf_dir):
     import public_tokenizers
 
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     trees = materialize(build_trees(docs, vocabulary, pattern), "count_trees", compression="zstd")
     pretokens = F.aggregate("leaf_pretokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
     rows = trees.withColumns({"n_before": F.col("n_tokens"), "n_pretokens": pretokens, "edits": query_edits(text_of())})
