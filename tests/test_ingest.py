@@ -92,6 +92,13 @@ def test_names_are_a_line_of_the_report(spark, most):
     assert got == {"buy": ("a" if most == 1 else "a、b", 2), None: ("c", 1), "sell": ("", 0)}
 
 
+def test_a_rating_lists_all_its_names(spark):
+    """More names than the 1,000 that a line once stopped at, some of them twice."""
+    df = spark.range(2600).selectExpr("concat('n', lpad(cast(id % 2500 as string), 5, '0'), ' bank') AS institution_name", "'buy' AS rating")
+    row = feeds.names_by_rating(df).first()
+    assert row.names.split("、") == sorted(f"n{k % 2500:05d}" for k in range(2600)) and row.n_names == 2600
+
+
 def test_raw_files_in_gb2312(spark, tmp_path):
     """The files' rows are those of the same payload as text; bytes that are no character are replaced."""
     fields = "2600.5,,,,2.5,0.5,10:00,50,49,,,,2024-01-01,"

@@ -88,15 +88,17 @@ def rating_counts(institutions: DataFrame) -> DataFrame:
     return institutions.agg(*(F.count_if(F.col("rating") == r).alias(r) for r in ("bullish", "bearish", "neutral")))
 
 
-def names_by_rating(institutions: DataFrame, most: int = 1_000) -> DataFrame:
-    """Per rating the first words of the names, in order, joined by "、"; the first ``most`` names, as it is one line of a report.
+def names_by_rating(institutions: DataFrame, most: int | None = None) -> DataFrame:
+    """Per rating the first words of all names, in order, joined by "、"; with ``most`` only that many of them, for a short line.
 
     ``n_names`` says how many there are.
     """
+    named = institutions.select("rating", F.split("institution_name", " ")[0].alias("name"))
+    if most is None:
+        return named.groupBy("rating").agg(F.array_join(F.array_sort(F.collect_list("name")), "、").alias("names"), F.count("name").alias("n_names"))
     line = Window.partitionBy("rating").orderBy("name")
-    named = institutions.select("rating", F.split("institution_name", " ")[0].alias("name")).where("name IS NOT NULL")
-    counts = institutions.groupBy("rating").agg(F.count("institution_name").alias("n_names"))
-    first = named.withColumn("rn", F.row_number().over(line)).where(F.col("rn") <= most)
+    counts = named.groupBy("rating").agg(F.count("name").alias("n_names"))
+    first = named.where("name IS NOT NULL").withColumn("rn", F.row_number().over(line)).where(F.col("rn") <= most)
     lines = first.groupBy(F.col("rating").alias("r")).agg(F.array_join(F.array_sort(F.collect_list("name")), "、").alias("names"))
     return counts.join(lines, F.col("rating").eqNullSafe(F.col("r")), "left").select("rating", F.coalesce("names", F.lit("")).alias("names"), "n_names")
 

@@ -148,8 +148,7 @@ b AS (SELECT type, title, arg_max(subtitle, id) AS subtitle, arg_max(description
 SELECT coalesce(a.type, b.type) AS type, coalesce(a.title, b.title) AS title, coalesce(b.subtitle, a.subtitle) AS subtitle, coalesce(b.description, a.description) AS description,
   coalesce(b.impact, a.impact) AS impact FROM a FULL JOIN b ON a.type = b.type AND a.title = b.title""",
     "institution_counts": f"{_I} SELECT count(*) FILTER (WHERE rating = 'bullish') AS bullish, count(*) FILTER (WHERE rating = 'bearish') AS bearish, count(*) FILTER (WHERE rating = 'neutral') AS neutral FROM institutions",
-    "institution_names": f"""{_I}, n AS (SELECT rating, string_split(institution_name, ' ')[1] AS name, row_number() OVER (PARTITION BY rating ORDER BY string_split(institution_name, ' ')[1]) AS rn,
-  count(*) OVER (PARTITION BY rating) AS n_names FROM institutions) SELECT rating, string_agg(name, '、' ORDER BY name) AS names, n_names FROM n WHERE rn <= 1000 GROUP BY rating, n_names""",
+    "institution_names": f"{_I} SELECT rating, string_agg(string_split(institution_name, ' ')[1], '、' ORDER BY string_split(institution_name, ' ')[1]) AS names, count(*) AS n_names FROM institutions GROUP BY rating",
     "institution_logo": f"{_I} SELECT id, {_FIRST('logo', LOGOS)} ELSE 'BANK' END AS mark FROM institutions",
     "institution_upsert": f"""{_I}, a AS (SELECT * FROM institutions WHERE id % 2 = 0), b AS (SELECT * FROM institutions WHERE id % 2 = 1 OR id % 3 = 0)
 SELECT coalesce(a.institution_name, b.institution_name) AS institution_name, CASE WHEN a.id IS NULL THEN 'NEW' ELSE a.logo END AS logo,
