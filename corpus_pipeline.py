@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import minhash_dedup, packing, quality_rules, suffix_dedup, toxicity
 from tickloom.llm.common import materialize, spread, table
-from tickloom.llm.sentencepiece_bpe import count_column
 
 #: The model that counts tokens for packing.
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,8 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counted = materialize(count_column(docs.select("doc_id", "text"), TOKENIZER), "token_counts")
-    return packing.pack(counted)
+    return packing.pack(packing.counted(docs, TOKENIZER))
 
 
 STAGES = [

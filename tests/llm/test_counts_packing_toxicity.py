@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, token_counts, toxicity
+from tickloom.llm import common, packing, token_counts, toxicity
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -241,3 +242,27 @@ def test_toxicity_without_labels(spark, frame):
     model = toxicity.fit(frame([(1, "a b")]), spark.createDataFrame([], "doc_id long, grade int"))
     assert [r.severity for r in toxicity.score(frame([(1, "a b")]), model).collect()] == [0.0]
     assert toxicity.score(frame([]), model).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Token counts get their texts in batches of bounded bytes, and the session keeps its settings."""
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 500) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with common.arrow_batches(spark, packing.ARROW_BATCH):
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 5_000_000
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "32m")
+    try:
+        with common.arrow_batches(spark, packing.ARROW_BATCH):
+            assert spark.conf.get(name) == "32m"
+        assert spark.conf.get(name) == "32m"
+    finally:
+        spark.conf.unset(name)
+    counts = packing.counted(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert counts.count() == 4000 and counts.select("n_tokens").distinct().count() == 1

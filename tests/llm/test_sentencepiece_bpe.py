@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from tickloom.llm import sentencepiece_bpe as op
@@ -70,6 +72,22 @@ def test_a_small_cache_changes_nothing(monkeypatch):
         assert enc.encode([x])[0].tolist() == LIBRARY.encode(x)
 
 
+def test_memory_does_not_grow_with_the_batch():
+    """A batch of 6 MB takes no more than 60 MB at a time besides the model."""
+    rnd, serialized = random.Random(1), op.read_model(PATH)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(rnd.choices(words, k=500)) for _ in range(2000)]})
+    op.encoder(serialized)
+    tracemalloc.start()
+    try:
+        total = sum(int(counts.sum()) for _, _, counts in op.encode_texts(serialized, batch, "text"))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 5_500_000 and total == sum(map(len, LIBRARY.encode(batch["text"].to_pylist())))
+    assert most < 60_000_000
+
+
 def test_digests(frame, odd):
     rows = op.digests(frame(odd), PATH).collect()
     assert len(rows) == len(odd)

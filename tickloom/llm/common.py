@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,22 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Jobs that are started inside send Arrow batches of about ``size`` to Python, so that an executor's memory doesn't depend on
+    how long the texts of Spark's 10,000 rows are. A session with a size of its own keeps it; a longer row comes alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None:
+        spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the tables of frames that ``materialize`` returned, once nothing lazy reads them any more."""
     for df in frames:

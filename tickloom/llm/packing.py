@@ -18,13 +18,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, spread, table, unused
+from tickloom.llm.common import arrow_batches, materialize, spread, table, unused
 from tickloom.llm.sentencepiece_bpe import count_column
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 16, 65_536
 OUT = ("part", "part_tokens", "bucket", "batch", "slot")
 #: Rows of a bucket that one salted group has on average at most.
 GROUP_ROWS = 20_000
+#: Texts that go to Python together for their token counts.
+ARROW_BATCH = "4m"
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -92,9 +94,13 @@ def pack(df: DataFrame, length_col: str = "n_tokens", key_cols: tuple[str, ...]
     return out.select(*clear.columns, *OUT)
 
 
+def counted(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_tokens), written once as ``pack`` reads it twice."""
+    with arrow_batches(docs.sparkSession, ARROW_BATCH):
+        return materialize(count_column(docs.select("doc_id", "text"), model_path), "token_counts")
+
+
 def query(spark, sf_dir):
     import public_tokenizers
 
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counted = materialize(count_column(docs, public_tokenizers.path("piece_bpe_32k.model")), "token_counts")
-    return pack(counted)
+    return pack(counted(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model")))

@@ -26,8 +26,9 @@ from tickloom.llm.kernels import BASE, U64, _powers, mix, ranges, slices
 
 BLANK = "▁"
 NEVER = np.int32(2**31 - 1)
-#: Bytes of text that are encoded at a time, and words that the cache of a task holds at most.
-BYTES_AT_ONCE, CACHED_WORDS = 2_000_000, 400_000
+#: Bytes of text that are encoded at a time (its arrays take about 50 bytes for each, which the Python worker keeps for later
+#: tasks), and words that the cache of a task holds at most.
+BYTES_AT_ONCE, CACHED_WORDS = 500_000, 400_000
 #: Code points of those words that it keeps to tell words apart.
 CACHED_CHARACTERS = 20_000_000
 
